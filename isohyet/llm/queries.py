@@ -5,10 +5,13 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_backoff": "op1_backoff",
+    "op2_jaccard": "op2_jaccard",
     "op5_decontamination": "op5_decontamination",
     "op6_packing": "op6_packing",
     "op7_codes": "op7_codes",
     "op8_quality": "op8_quality",
+    "op9_bayes": "op9_bayes",
     "op10_ring": "op10_ring",
 }
 
@@ -18,4 +21,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .op1_backoff import ORACLE
+
+    return {"op1_backoff": ORACLE}
