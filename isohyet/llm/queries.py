@@ -7,6 +7,8 @@ import importlib
 _MODULES = {
     "op1_backoff": "op1_backoff",
     "op2_jaccard": "op2_jaccard",
+    "op3_warc": "op3_warc",
+    "op4_chat": "op4_chat",
     "op5_decontamination": "op5_decontamination",
     "op6_packing": "op6_packing",
     "op7_codes": "op7_codes",
@@ -21,6 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .op1_backoff import ORACLE
+    from . import op1_backoff, op4_chat
 
-    return {"op1_backoff": ORACLE}
+    return {"op1_backoff": op1_backoff.ORACLE, "op4_chat": op4_chat.ORACLE}
