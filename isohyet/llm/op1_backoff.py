@@ -182,7 +182,7 @@ ORACLE = r"""
 WITH w AS (
   SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
     SELECT doc_id, list_filter(regexp_split_to_array(
-      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
     FROM documents)
 ), g AS (
   SELECT doc_id, i, w AS g1,

@@ -81,7 +81,8 @@ class Index:
 
 def set_id(h: np.ndarray) -> int:
     """A 64-bit id of a set of hashes."""
-    return int(mix(mix(h).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)) * _STEP).view(np.int64)[0])
+    total = mix(h).sum(dtype=np.uint64, keepdims=True) + mix(np.array([len(h)], np.uint64))
+    return int(mix(total).view(np.int64)[0])
 
 
 def _sets(docs: DataFrame, k: int, words: Callable) -> DataFrame:

@@ -103,9 +103,9 @@ def write_archives(
     # only revisits are sent to the payloads, by page: copies of one payload meet nowhere
     again = rows.select("page_id", "url", "sha", "size").join(first, ["sha", "size"]).where(other)
     again = again.select("page_id", "url", "sha", F.coalesce(F.col("first.page_id").cast("string"), F.lit("None")).alias("ref"))
-    again = again.dropDuplicates(["page_id", "url", "sha"])
-    same = rows["page_id"].eqNullSafe(again["page_id"]) & rows["url"].eqNullSafe(again["url"]) & (rows["sha"] == again["sha"])
-    ready = rows.join(again, same, "left").select(rows["page_id"], rows["url"], "payload", rows["sha"], "ref")
+    again = again.dropDuplicates(["page_id", "url", "sha"]).alias("again")
+    same = F.expr("rows.page_id <=> again.page_id AND rows.url <=> again.url AND rows.sha = again.sha")
+    ready = rows.alias("rows").join(again, same, "left").select("rows.page_id", "rows.url", "payload", "rows.sha", "ref")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0

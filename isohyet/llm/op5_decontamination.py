@@ -57,6 +57,49 @@ def sketches(items: DataFrame, k: int, least: int) -> DataFrame:
     return rows.mapInArrow(work, "h long, item_id long, text string")
 
 
+class Matcher:
+    """The items of one broadcast: finds those that a text contains."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], k: int, least: int):
+        self.k, self.least = k, least
+        self.names = [i for i, _ in items]
+        self.words = [letters_and_digits(t) for _, t in items]
+        self.grams = [texts_of(w, k) for w in self.words]
+        self.by_hash = defaultdict(list)
+        for n, words in enumerate(self.words):
+            h = np.unique(windows(word_hashes(words, _SEEN), k))
+            for x in h[: len(h) - -(-least * len(h) // 100) + 1 if len(h) else 0].tolist():
+                self.by_hash[x].append(n)
+        self.probe = np.array(sorted(self.by_hash), np.uint64)
+
+    def found(self, text: str | None) -> list[tuple[int | None, int, int]]:
+        """(item, shared shingles, the item's shingles) of each item in the text."""
+        if not len(self.probe):
+            return []
+        words = letters_and_digits(text)
+        h = windows(word_hashes(words, _SEEN), self.k)
+        at = np.minimum(np.searchsorted(self.probe, h), len(self.probe) - 1)
+        hits = np.unique(h[self.probe[at] == h]).tolist()
+        if not hits:
+            return []
+        own, out = texts_of(words, self.k), []
+        for n in sorted({n for x in hits for n in self.by_hash[x]}):
+            both, size = len(self.grams[n] & own), len(self.grams[n])
+            whole = len(self.words[n]) >= self.k or self.words[n] == words
+            if whole and 100 * both >= self.least * size:
+                out.append((self.names[n], both, size))
+        return out
+
+
+def _shared(items: DataFrame, broadcast_bytes: int):
+    """The items as a broadcast while they are below ``broadcast_bytes``, else None."""
+    size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    if (size[0] or 0) + 64 * size[1] > broadcast_bytes:
+        return None
+    listed = [tuple(r) for r in items.select(F.col("item_id").cast("long"), "text").collect()]
+    return items.sparkSession.sparkContext.broadcast(listed)
+
+
 def contained(
     docs: DataFrame, items: DataFrame, k: int = 5, least: int = 80, broadcast_bytes: int = 32 << 20
 ) -> DataFrame:
@@ -65,45 +108,41 @@ def contained(
     The items' texts go to the tasks while they are below ``broadcast_bytes``; larger
     sets of items are joined by sketch hash with the documents' shingles instead.
     """
-    size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    if (size[0] or 0) + 64 * size[1] > broadcast_bytes:
+    shared = _shared(items, broadcast_bytes)
+    if shared is None:
         return _by_join(docs, items, k, least)
-    listed = [tuple(r) for r in items.select(F.col("item_id").cast("long"), "text").collect()]  # below broadcast_bytes
-    shared = docs.sparkSession.sparkContext.broadcast(listed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_words = [(i, letters_and_digits(t)) for i, t in shared.value]
-        by_hash, sizes, grams = defaultdict(list), [], []
-        for n, (_, words) in enumerate(item_words):
-            h = np.unique(windows(word_hashes(words, _SEEN), k))
-            grams.append(texts_of(words, k))
-            sizes.append(len(grams[-1]))
-            for x in h[: len(h) - -(-least * len(h) // 100) + 1 if len(h) else 0].tolist():
-                by_hash[x].append(n)
-        probe = np.array(sorted(by_hash), np.uint64)
+        matcher = Matcher(shared.value, k, least)
         for batch in batches:
-            out = {"doc_id": [], "item_id": [], "shared": [], "item_shingles": []}
+            rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not len(probe):
-                    continue
-                words = letters_and_digits(text.as_py())
-                h = windows(word_hashes(words, _SEEN), k)
-                at = np.minimum(np.searchsorted(probe, h), len(probe) - 1)
-                hits = np.unique(h[probe[at] == h]).tolist()
-                if not hits:
-                    continue
-                own = texts_of(words, k)
-                for n in sorted({n for x in hits for n in by_hash[x]}):
-                    both = len(grams[n] & own)
-                    whole = len(item_words[n][1]) >= k or item_words[n][1] == words
-                    if whole and 100 * both >= least * sizes[n]:
-                        for name, v in zip(out, (doc, item_words[n][0], both, sizes[n]), strict=True):
-                            out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
+                rows += [(doc, *x) for x in matcher.found(text.as_py())]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "shared", "item_shingles"]
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _SCHEMA)
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, k: int = 5, least: int = 80, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns."""
+    shared = _shared(items, broadcast_bytes)
+    if shared is None:
+        marked = docs.withColumn("_th", F.xxhash64("text"))
+        bad = _by_join(marked.select(F.col("_th").alias("doc_id"), "text"), items, k, least).select(F.col("doc_id").alias("_th"))
+        return marked.join(bad.distinct(), "_th", "left_anti").drop("_th")
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value, k, least)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.found(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def _by_join(docs: DataFrame, items: DataFrame, k: int, least: int) -> DataFrame:
     """The same result for items that no task can hold: sketches meet shingles in a join."""
 

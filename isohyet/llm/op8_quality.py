@@ -87,11 +87,11 @@ def repeated_words(words: Column, k: int = 8) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the contract's counts and the two histograms of each document."""
+    """The contract's counts and the two histograms of each document; ``row``: its own columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     known = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise(F.lit(OTHER))
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         known.alias("lang"),
         text.alias("text"),
         words_of(F.col("text")).alias("words"),
@@ -113,7 +113,7 @@ def measured(docs: DataFrame) -> DataFrame:
         ),
     )
     return rest.select(
-        "doc_id",
+        "row",
         "lang",
         F.size("words").cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
@@ -202,20 +202,19 @@ def distances(rows: DataFrame, refs: DataFrame) -> DataFrame:
     return out.withColumns({"char_distance": root(char), "word_distance": root(word / 2)})
 
 
-def quality(
-    docs: DataFrame,
+def judged(
+    rows: DataFrame,
     max_char_distance: float = 0.25,
     both_distances: tuple[float, float] = (0.145, 0.26),
     least_words: tuple[int, int] = (50, 100),
     least_docs: int = 50,
 ) -> DataFrame:
-    """One row for each document, with ``kept``.
+    """Adds base_failed and kept to written rows of ``measured``.
 
     From ``least_words[0]`` words on, a character distance above
     ``max_char_distance`` rejects; from ``least_words[1]`` words on, so do a character
-    and a word distance that are both above ``both_distances``.  The counts are taken once and written; references and verdicts read them back.
+    and a word distance that are both above ``both_distances``.
     """
-    rows = materialise(measured(docs), "quality-counts")
     out = distances(rows, references(rows, least_docs))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = (F.col("n_words") >= least_words[0]) & (F.col("char_distance") > max_char_distance)
@@ -224,19 +223,33 @@ def quality(
         & (F.col("char_distance") > both_distances[0])
         & (F.col("word_distance") > both_distances[1])
     )
-    return out.select(
-        "doc_id",
+    return out.withColumns({"base_failed": failed, "kept": ~failed & ~far})
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """One row for each document, with ``kept``.
+
+    The counts are taken once and written; references and verdicts read them back.
+    """
+    rows = materialise(measured(docs.select("doc_id", "lang", "text")).withColumn("row", F.struct("row.doc_id")), "quality-counts")
+    return judged(rows).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & ~far).alias("kept"),
+        "base_failed",
+        "kept",
         "char_distance",
         "word_distance",
     )
 
 
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return judged(materialise(measured(docs), "quality-rows")).where("kept").select("row.*")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))

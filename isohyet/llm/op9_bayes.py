@@ -50,20 +50,26 @@ def shape(text: str | None) -> list[float]:
 
 
 def shapes(docs: DataFrame) -> DataFrame:
+    """host, lang, the shape and ``row``, the own columns, of each document."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([shape(t.as_py()) for t in batch.column(3)]).reshape(-1, len(SHAPE))
+            texts = batch.column(2)
+            rows = np.array([shape(t.as_py()) for t in texts]).reshape(-1, len(SHAPE))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *(pa.array(x) for x in rows.T)], names=["doc_id", "host", "lang", *SHAPE]
+                [batch.column(0), batch.column(1), batch.column(3), *(pa.array(x) for x in rows.T)],
+                names=["host", "lang", "row", *SHAPE],
             )
 
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     columns = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        "text",
+        F.col("text").alias("text"),
+        own,
     )
-    return columns.mapInArrow(work, "doc_id long, host string, lang string, " + ", ".join(f"{c} double" for c in SHAPE))
+    kind = columns.schema["row"].dataType.simpleString()
+    return columns.mapInArrow(work, f"host string, lang string, row {kind}, " + ", ".join(f"{c} double" for c in SHAPE))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -105,37 +111,47 @@ def strength(groups: DataFrame, prior: Column, low: float = 2.0, high: float = 1
     return high if excess <= 0 else float(min(high, max(low, got["within"] / got["n"] / excess - 1)))
 
 
-def classified(docs: DataFrame, labels: DataFrame, sample: int = 20_000, limit: float = 0.3) -> DataFrame:
-    """doc_id, p_doc, p_host, p_path, p_final and kept of every document.
+def judged(rows: DataFrame, labels: DataFrame, sample: int = 20_000, limit: float = 0.3) -> DataFrame:
+    """Adds p_doc, p_host, p_path, p_final and kept to written rows of ``shapes``.
 
     ``sample`` bounds the labelled documents that the model is fitted on (those of the
     smallest hashes of their ids); all other figures come from all documents.
     """
-    rows = materialise(shapes(docs), "shapes")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *SHAPE).limit(sample)
-    held = np.array([tuple(r) for r in chosen.select(*SHAPE, F.col("quality").cast("double")).collect()]).reshape(
-        -1, len(SHAPE) + 1
-    )
+    chosen = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), *SHAPE).join(known, "doc_id")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), *SHAPE).limit(sample)
+    held = np.array([tuple(r) for r in chosen.select(*SHAPE, F.col("quality").cast("double")).collect()])
+    held = held.reshape(-1, len(SHAPE) + 1)
     x, y = held[:, :-1], held[:, -1]
     weights, base = fit(x, y) if len(set(y.tolist())) == 2 else (np.zeros(len(SHAPE)), 0.0)
     odds = sum((F.col(c) * float(w) for c, w in zip(SHAPE, weights, strict=True)), F.lit(base))
     p_doc = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
-    scored = materialise(rows.select("doc_id", "host", "lang", p_doc.alias("p_doc")), "evidence")
+    scored = rows.withColumn("p_doc", p_doc)
     paths = materialise(scored.groupBy("host", "lang").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = F.lit(total["s"] / total["n"] if total["n"] else 0.5)
     k_host = strength(hosts, mean)
     hosts = hosts.select("host", ((mean * k_host + F.col("s")) / (F.col("n") + k_host)).alias("p_host"))
-    paths = paths.join(hosts, "host")
+    paths = materialise(paths.join(hosts, "host"), "path-posteriors")
     k_path = strength(paths, F.col("p_host"))
-    out = scored.join(paths, ["host", "lang"])
     path = (F.col("p_host") * k_path + F.col("s") - F.col("p_doc")) / (F.col("n") - 1 + k_path)
     final = 1 / (1 + F.exp(-(_logit(F.col("p_doc")) + _logit(F.col("p_path")) - _logit(mean))))
-    out = out.withColumn("p_path", path).withColumn("p_final", final)
-    return out.select("doc_id", "p_doc", "p_host", "p_path", "p_final", (F.col("p_final") >= limit).alias("kept"))
+    out = scored.join(paths, ["host", "lang"]).withColumn("p_path", path).withColumn("p_final", final)
+    return out.withColumn("kept", F.col("p_final") >= limit)
+
+
+def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, p_doc, p_host, p_path, p_final and kept of every document."""
+    rows = shapes(docs.select("doc_id", "source", "lang", "text")).withColumn("row", F.struct("row.doc_id"))
+    out = judged(materialise(rows, "shapes"), labels)
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "p_doc", "p_host", "p_path", "p_final", "kept")
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns."""
+    return judged(materialise(shapes(docs), "shape-rows"), labels).where("kept").select("row.*")
 
 
 def op9_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,10 @@ _MODULES = {
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f".{module}", __package__), name) for name, module in _MODULES.items()}
+    import corpus_pipeline
+
+    numbered = {name: getattr(importlib.import_module(f".{module}", __package__), name) for name, module in _MODULES.items()}
+    return numbered | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
