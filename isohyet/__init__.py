@@ -1,0 +1 @@
+"""Station and grid analytics as lazy DataFrame operators on Spark."""
