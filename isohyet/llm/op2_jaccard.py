@@ -11,10 +11,12 @@ a few of them as long as the table.)
 
 Answers.  Sets of the same shingles are one set.  Each set is first compared only with
 the list head that it meets most often; sets linked through heads need no further
-comparison with each other, as the component is known.  Only in lists whose sets are
-then still in different components are the other pairs tried, in blocks, and only
-pairs that sizes and a 512-bit parity map of the shingles do not rule out.  Every
-link is verified on the shingles of the whole texts.
+comparison with each other, as the component is known.  In lists whose sets are still
+in different components, each set is compared with the nearest of the members that
+stand for its lists' largest components, round by round while that links any.  In
+what is left, all other pairs of a list are tried, in blocks, and only pairs that
+sizes and a 512-bit parity map of the shingles do not rule out.  Every link is
+verified on the shingles of the whole texts.
 
 Rows: a text without words, or null, has an empty set, its own doc_id as component
 and no link.  A text with fewer than k words has one shingle, all its words.
@@ -202,20 +204,49 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, words:
     return ready.mapInArrow(work, "a long, b long")
 
 
-def _open_pairs(lists: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one list in different components that sizes and parity maps let stand."""
+def _rooted(df: DataFrame, roots: DataFrame, column: str = "sid", name: str = "root") -> DataFrame:
+    side = roots.select(F.col("node").alias(column), F.col("root").alias(name))
+    return df.join(side, column, "left").withColumn(name, F.coalesce(name, column))
 
-    def rooted(df: DataFrame, column: str, name: str) -> DataFrame:
-        side = roots.select(F.col("node").alias(column), F.col("root").alias(name))
-        return df.join(side, column, "left").withColumn(name, F.coalesce(name, column))
 
-    mixed = rooted(rooted(lists, "sid", "r1"), "head", "r2").where("r1 <> r2").select("key").distinct()
-    kept = lists.join(mixed, "key")
+def _open_rows(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, sid, n, parity map) of the lists whose sets are in several components."""
+    two = _rooted(_rooted(lists, roots, "sid", "r1"), roots, "head", "r2").where("r1 <> r2")
+    kept = lists.join(two.select("key").distinct(), "key")
     members = kept.select("key", "sid").unionByName(kept.select("key", F.col("head").alias("sid")).distinct())
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rooted(members, "sid", "root").join(sets.select("sid", "n", *BITS), "sid").join(blocks, "key")
-    rows = rows.withColumn("own", F.pmod("sid", "blocks").cast("int"))
-    rows = materialise(rows, "jaccard-open")
+    return members.join(sets.select("sid", "n", *BITS), "sid")
+
+
+def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with their root, of lists that still hold more than one."""
+    rows = _rooted(rows.drop("root"), roots)
+    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(open_keys, "key")
+
+
+def _next_heads(rows: DataFrame, tried: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """For each set the nearest member, by parity maps, of its lists' largest components.
+
+    One member stands for the largest component of a list, another one in each turn
+    and list, so a set gets as many candidates as it has lists.
+    """
+    member = F.struct(F.xxhash64("key", "sid", F.lit(turn)).alias("h"), F.struct("sid", "n", *BITS).alias("s"))
+    parts = rows.groupBy("key", "root").agg(F.count("*").alias("size"), F.min(member).alias("m"))
+    large = parts.groupBy("key").agg(F.max(F.struct("size", F.col("root").alias("top"), "m")).alias("l"))
+    large = large.select("key", "l.top", F.col("l.m.s").alias("y"))
+    pairs = rows.alias("x").join(large, "key").where(F.col("x.root") != F.col("top"))
+    pairs = pairs.where(_may_link("x", "y", num, den)).select(
+        F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), (_apart("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("gap")
+    )
+    pairs = pairs.groupBy("a", "b").agg(F.min("gap").alias("gap")).join(tried, ["a", "b"], "left_anti")
+    best = pairs.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("m"))
+    return best.select("a", F.col("m.b").alias("b"))
+
+
+def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one list in different components that sizes and parity maps let stand."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "key").withColumn("own", F.pmod("sid", "blocks").cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.withColumn("other", each).alias("x")
     right = rows.withColumn("other", each).alias("y")
@@ -239,10 +270,21 @@ def linked(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, words: Ca
     heads = materialise(best.select(F.col("sid").alias("a"), F.col("m.head").alias("b")), "jaccard-heads")
     full = rows.where("n > 0")
     links = materialise(_verified(heads, docs, full, k, words, num, den), "jaccard-links")
-    roots = components(links)
-    rest = materialise(_open_pairs(lists, roots, sets, num, den), "jaccard-rest")
-    tried = heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.join(tried, ["a", "b"], "left_anti")
+    roots, tried, turn = components(links), heads, 0
+    rows_open = materialise(_still_open(_open_rows(lists, roots, sets), roots), "jaccard-open")
+    while True:
+        heads = materialise(_next_heads(rows_open, tried, turn, num, den), "jaccard-heads")
+        if not heads.head(1):
+            break
+        more = materialise(_verified(heads, docs, full, k, words, num, den), "jaccard-links")
+        tried, turn = tried.unionByName(heads), turn + 1
+        if not more.head(1):
+            break
+        links = links.unionByName(more)
+        roots = components(links)
+        rows_open = materialise(_still_open(rows_open, roots), "jaccard-open")
+    both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialise(_open_pairs(rows_open, num, den).join(both, ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.head(1):
         more = materialise(_verified(rest, docs, full, k, words, num, den), "jaccard-links")
         if more.head(1):
