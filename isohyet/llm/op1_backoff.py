@@ -76,14 +76,18 @@ def _grams(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, list[tuple[n
     return lengths, made
 
 
-def scored(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 24 << 20) -> DataFrame:
-    """doc_id, n_words and score (natural logarithm) of every document."""
+def scored(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 6 << 20) -> DataFrame:
+    """doc_id, n_words and score (natural logarithm) of every document.
+
+    A task holds one block's n-grams or one part's; ``block_bytes`` of text set both,
+    and should grow with the executors' memory, as blocks times parts are the rows sent.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spaced = F.split(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), " +")
     n_words = F.when(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "", 0).otherwise(F.size(spaced))
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.sum(n_words).alias("w")).first()
     blocks, all_words = max(1, -(-(size["b"] or 0) // block_bytes)), size["w"] or 0
-    parts = 2 * blocks
+    parts = max(1, blocks // 2)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
     wide = np.uint64(-(-(1 << 64) // parts) if parts > 1 else (1 << 64) - 1)
 
@@ -138,6 +142,7 @@ def scored(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int
             others = np.zeros(words, np.int64)
             others[place >= n - 1] = total[which] - mine[back]
             held.append(others)
+            del total, kinds, which, pair, back, mine
         for n in range(min(order, len(held)), 0, -1):
             others = held[n - 1]
             use = np.isnan(logs) & (others > 0)
