@@ -1,0 +1 @@
+"""Text and columnar sources, and sinks."""
