@@ -16,6 +16,8 @@ import unicodedata
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-z0-9À-ÖØ-öø-įı-ɏ])(?=[,.!?;:|*$%&#])")
+_BEFORE = frozenset(c for c in map(chr, range(48, 592)) if re.match("[A-Za-z0-9À-ÖØ-öø-įı-ɏ]", c))
+_AFTER = frozenset(",.!?;:|*$%&#")
 _RUN = re.compile(r"\s ")
 #: Byte-level alphabet of the vocabularies: printable bytes stand for themselves,
 #: the others for the characters from 256 on.
@@ -50,8 +52,13 @@ class _Chunks(_Atoms):
     """What stands between two spaces -> its ids; put together from atoms."""
 
     def __missing__(self, chunk: str) -> bytes:
-        piece = chunk if self.owner.lossy else " " + chunk
-        value = b"".join(map(self.owner.atoms.__getitem__, _CUT.split(piece)))
+        atoms, space = self.owner.atoms, "" if self.owner.lossy else " "
+        if chunk.isalpha():
+            value = atoms[space + chunk]
+        elif chunk[-1:] in _AFTER and chunk[-2:-1] in _BEFORE and chunk[:-1].isalpha():
+            value = atoms[space + chunk[:-1]] + atoms[chunk[-1]]
+        else:
+            value = b"".join(map(atoms.__getitem__, _CUT.split(space + chunk)))
         if len(self) < self.limit:
             self[chunk] = value
         return value
@@ -64,7 +71,7 @@ class Ids:
     the vocabulary must be smaller than 65,536.
     """
 
-    def __init__(self, path: str, lossy: bool, atoms: int = 600_000, chunks: int = 200_000):
+    def __init__(self, path: str, lossy: bool, atoms: int = 800_000, chunks: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
