@@ -60,14 +60,14 @@ def stretch_counts(small: bytes, large: bytes) -> np.ndarray:
     return counts
 
 
-def _grams(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Each text's number of words; for each order, n-gram hashes and their texts' numbers."""
+def _grams(texts: pa.ChunkedArray, orders: range) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Each text's number of words; for each n of ``orders``, n-gram hashes and their texts' numbers."""
     parts = [word_hashes(plain_words(t.as_py()), _SEEN) for t in texts]
     lengths = np.array([len(p) for p in parts], np.int64)
     words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(parts)), lengths)
     made = []
-    for n in range(1, order + 1):
+    for n in orders:
         if len(words) < n:
             made.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             continue
@@ -83,25 +83,26 @@ def scored(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int
     and should grow with the executors' memory, as blocks times parts are the rows sent.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spaced = F.split(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), " +")
-    n_words = F.when(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "", 0).otherwise(F.size(spaced))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.sum(n_words).alias("w")).first()
-    blocks, all_words = max(1, -(-(size["b"] or 0) // block_bytes)), size["w"] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
     parts = max(1, blocks // 2)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
     wide = np.uint64(-(-(1 << 64) // parts) if parts > 1 else (1 << 64) - 1)
 
-    def send(table: pa.Table) -> pa.Table:
-        rows = {k: [] for k in ("part", "n", "block", "grams", "small", "large")}
-        block = table["block"][0].as_py()
-        for n, (hashes, _) in enumerate(_grams(table["text"], order)[1], 1):
-            kinds, counts = np.unique(hashes, return_counts=True)
-            part = (kinds // wide).astype(np.int64)
-            for p, a, b in _runs(part):
-                small, large = squeeze_counts(counts[a:b])
-                for k, v in zip(rows, (p, n, block, squeeze(kinds[a:b]), small, large), strict=True):
-                    rows[k].append(v)
-        return pa.table(rows, schema=sent)
+    def send(orders: range):
+        def work(table: pa.Table) -> pa.Table:
+            rows = {k: [] for k in ("part", "n", "block", "grams", "small", "large")}
+            block = table["block"][0].as_py()
+            for n, (hashes, _) in zip(orders, _grams(table["text"], orders)[1], strict=True):
+                kinds, counts = np.unique(hashes, return_counts=True)
+                part = (kinds // wide).astype(np.int64)
+                for p, a, b in _runs(part):
+                    small, large = squeeze_counts(counts[a:b])
+                    for k, v in zip(rows, (p, n, block, squeeze(kinds[a:b]), small, large), strict=True):
+                        rows[k].append(v)
+            return pa.table(rows, schema=sent)
+
+        return work
 
     def add_up(table: pa.Table) -> Iterator[pa.RecordBatch]:
         grams = [stretch(x.as_py()) for x in table["grams"]]
@@ -117,11 +118,12 @@ def scored(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int
                 "block": table["block"],
                 "small": pa.array([r[0] for r in replies], pa.binary()),
                 "large": pa.array([r[1] for r in replies], pa.binary()),
+                "words": pa.array([int(c.sum()) for c in counts], pa.int64()),
             }
         )
 
     def score(key, table: pa.Table, replies: pa.Table) -> pa.Table:
-        lengths, grams = _grams(table["text"], order)
+        lengths, grams = _grams(table["text"], range(1, order + 1))
         answer = {}
         for n, part, small, large in zip(*(replies[c].to_pylist() for c in ("n", "part", "small", "large")), strict=True):
             answer.setdefault(n, []).append((part, small, large))
@@ -160,11 +162,18 @@ def scored(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int
     sent = pa.schema(
         [("part", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("grams", pa.binary()), ("small", pa.binary()), ("large", pa.binary())]
     )
-    table = dealt.groupBy("block").applyInArrow(
-        send, "part long, n long, block int, grams binary, small binary, large binary"
-    )
-    replies = table.groupBy("part", "n").applyInArrow(add_up, "part long, n long, block int, small binary, large binary")
-    replies = materialise(replies, "gram-counts")
+    replies = None
+    for orders in [range(1, min(order, 2) + 1), *(range(n, n + 1) for n in range(3, order + 1))]:
+        # one order after the other, so that no more than one order's n-grams are on their way
+        table = dealt.groupBy("block").applyInArrow(
+            send(orders), "part long, n long, block int, grams binary, small binary, large binary"
+        )
+        answers = table.groupBy("part", "n").applyInArrow(
+            add_up, "part long, n long, block int, small binary, large binary, words long"
+        )
+        answers = materialise(answers, "gram-counts")
+        replies = answers if replies is None else replies.unionByName(answers)
+    all_words = replies.where("n = 1").agg(F.sum("words")).first()[0] or 0
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         score, "doc_id long, n_words long, score double"
     )
