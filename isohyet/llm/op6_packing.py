@@ -101,7 +101,7 @@ def packed(
     lossy: bool = True,
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = 65_536,
-    pack_tokens: int = 4_000_000,
+    pack_tokens: int = 2_000_000,
 ) -> DataFrame:
     """One row for each piece of a document.
 

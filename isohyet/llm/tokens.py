@@ -71,7 +71,7 @@ class Ids:
     the vocabulary must be smaller than 65,536.
     """
 
-    def __init__(self, path: str, lossy: bool, atoms: int = 800_000, chunks: int = 500_000):
+    def __init__(self, path: str, lossy: bool, atoms: int = 400_000, chunks: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
