@@ -13,7 +13,7 @@ Answers.  Sets of the same shingles are one set.  Each set is first compared onl
 the list head that it meets most often; sets linked through heads need no further
 comparison with each other, as the component is known.  In lists whose sets are still
 in different components, each set is compared with the nearest of the members that
-stand for its lists' largest components, round by round while that links any.  In
+stand for its lists' largest components, round by round while that links many.  In
 what is left, all other pairs of a list are tried, in blocks, and only pairs that
 sizes and a 512-bit parity map of the shingles do not rule out.  Every link is
 verified on the shingles of the whole texts.
@@ -42,6 +42,8 @@ _LOW = np.uint64(0xFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 BITS = [f"b{i}" for i in range(8)]
 BLOCK = 256
+#: Candidates that a set is compared with in one round.
+NEAREST = 4
 
 
 class Index:
@@ -172,17 +174,17 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     return sizes & (_apart(a, b) <= both - 2 * shared)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, words: Callable, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingles are similar enough.
-
-    Only texts that some pair needs are shuffled, one for each set.
-    """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    first = sets.groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("row")).join(needed, "sid")
+def _texts(needed: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, text) of the sets in ``needed(sid)``: one text for each, no others are shuffled."""
+    first = sets.groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("row")).join(needed.distinct(), "sid")
     first = first.select("sid", F.col("row.doc_id").alias("doc_id"), F.col("row.th").alias("th"))
     same = (F.col("d.th") == F.col("f.th")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
     texts = docs.select("doc_id", "th", "text").alias("d").join(first.alias("f"), same).select("d.doc_id", "d.th", "sid", "text")
-    texts = materialise(texts.dropDuplicates(["doc_id", "th"]).select("sid", "text"), "jaccard-texts")
+    return materialise(texts.dropDuplicates(["doc_id", "th"]).select("sid", "text"), "jaccard-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, words: Callable, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingles are similar enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -225,10 +227,10 @@ def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _next_heads(rows: DataFrame, tried: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """For each set the nearest member, by parity maps, of its lists' largest components.
+    """For each set the ``NEAREST`` members, by parity maps, of its lists' largest components.
 
     One member stands for the largest component of a list, another one in each turn
-    and list, so a set gets as many candidates as it has lists.
+    and list, so a set has as many candidates as it has lists.
     """
     member = F.struct(F.xxhash64("key", "sid", F.lit(turn)).alias("h"), F.struct("sid", "n", *BITS).alias("s"))
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("size"), F.min(member).alias("m"))
@@ -239,8 +241,8 @@ def _next_heads(rows: DataFrame, tried: DataFrame, turn: int, num: int, den: int
         F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), (_apart("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("gap")
     )
     pairs = pairs.groupBy("a", "b").agg(F.min("gap").alias("gap")).join(tried, ["a", "b"], "left_anti")
-    best = pairs.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("m"))
-    return best.select("a", F.col("m.b").alias("b"))
+    best = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("gap", "b"))), 1, NEAREST).alias("m"))
+    return best.select("a", F.explode(F.transform("m", lambda x: x["b"])).alias("b"))
 
 
 def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -269,24 +271,28 @@ def linked(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, words: Ca
     best = pairs.groupBy("sid").agg(F.max(F.struct("met", "head")).alias("m"))
     heads = materialise(best.select(F.col("sid").alias("a"), F.col("m.head").alias("b")), "jaccard-heads")
     full = rows.where("n > 0")
-    links = materialise(_verified(heads, docs, full, k, words, num, den), "jaccard-links")
+    texts = _texts(heads.select(F.explode(F.array("a", "b")).alias("sid")), docs, full)
+    links = materialise(_verified(heads, texts, k, words, num, den), "jaccard-links")
     roots, tried, turn = components(links), heads, 0
     rows_open = materialise(_still_open(_open_rows(lists, roots, sets), roots), "jaccard-open")
+    texts = _texts(rows_open.select("sid"), docs, full)
     while True:
         heads = materialise(_next_heads(rows_open, tried, turn, num, den), "jaccard-heads")
-        if not heads.head(1):
+        asked = heads.count()
+        if not asked:
             break
-        more = materialise(_verified(heads, docs, full, k, words, num, den), "jaccard-links")
-        tried, turn = tried.unionByName(heads), turn + 1
-        if not more.head(1):
+        more = materialise(_verified(heads, texts, k, words, num, den), "jaccard-links")
+        tried, turn, found = tried.unionByName(heads), turn + 1, more.count()
+        if found:
+            links = links.unionByName(more)
+            roots = components(links)
+            rows_open = materialise(_still_open(rows_open, roots), "jaccard-open")
+        if 20 * found < asked:  # the last step, which tries all pairs, is now the shorter way
             break
-        links = links.unionByName(more)
-        roots = components(links)
-        rows_open = materialise(_still_open(rows_open, roots), "jaccard-open")
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(_open_pairs(rows_open, num, den).join(both, ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.head(1):
-        more = materialise(_verified(rest, docs, full, k, words, num, den), "jaccard-links")
+        more = materialise(_verified(rest, texts, k, words, num, den), "jaccard-links")
         if more.head(1):
             roots = components(links.unionByName(more))
     nodes = full.groupBy("sid").agg(F.min("doc_id").alias("low"))
