@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,26 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that ``materialise`` writes inside are removed at the end.
+
+    Gives a function that writes a table which stays.
+    """
+    _PASSING.append([])
+    try:
+        yield lambda df, label: materialise(df, label, stays=True)
+    finally:
+        from .store import remove
+
+        for path in _PASSING.pop():
+            remove(path)
+
+
+def materialise(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what follows survives lost executors without redoing what
@@ -37,6 +58,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    levels = _PASSING[:-1] if stays else _PASSING
+    if levels:
+        levels[-1].append(path)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
@@ -53,6 +77,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     small-star steps; each step is an aggregate and an equi join, so no node's
     neighbours are gathered in one place.  Stops when a step changes nothing.
     """
+    with passing() as keep:
+        pairs = _starred(edges, label)
+        roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+        return keep(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), label)
+
+
+def _starred(edges: DataFrame, label: str) -> DataFrame:
+    """(u, v): each node beside the smallest one of its component."""
     pairs = materialise(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label
     )
@@ -72,7 +104,5 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         pairs = materialise(small, label)
         now = digest(pairs)
         if now == state:
-            break
+            return pairs
         state = now
-    roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

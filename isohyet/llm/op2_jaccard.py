@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, passing
 from .shingles import WordHashes, mix, plain_words, shingle_set
 
 _SEEN = WordHashes()
@@ -259,6 +259,11 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def linked(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, words: Callable = plain_words) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles and component_id of every row."""
+    with passing() as keep:
+        return keep(_linked(docs, k, num, den, words), "jaccard-groups")
+
+
+def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
     index = Index(num, den)
@@ -308,7 +313,7 @@ def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
 
     That is the row of the smallest (doc_id, text hash); rows without words all stay.
     """
-    groups = materialise(linked(docs, k, num, den, words), "jaccard-groups")
+    groups = linked(docs, k, num, den, words)
     keep = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("row"))
     keep = keep.select(F.col("row.doc_id").alias("_doc"), F.col("row.th").alias("_th"))
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")

@@ -29,6 +29,8 @@ COMMON = {
 }
 #: Languages that are not in COMMON, and the reference of all documents.
 OTHER, ALL = "other", "all"
+#: A language with fewer documents takes the reference of all.
+LEAST_DOCS = 50
 WORDS = sorted({w for line in COMMON.values() for w in line.split()})
 #: Character classes, as characters that a regular expression removes.
 CLASSES = {
@@ -204,18 +206,18 @@ def distances(rows: DataFrame, refs: DataFrame) -> DataFrame:
 
 def judged(
     rows: DataFrame,
+    refs: DataFrame,
     max_char_distance: float = 0.25,
     both_distances: tuple[float, float] = (0.145, 0.26),
     least_words: tuple[int, int] = (50, 100),
-    least_docs: int = 50,
 ) -> DataFrame:
-    """Adds base_failed and kept to written rows of ``measured``.
+    """Adds base_failed and kept to rows of ``measured``.
 
     From ``least_words[0]`` words on, a character distance above
     ``max_char_distance`` rejects; from ``least_words[1]`` words on, so do a character
     and a word distance that are both above ``both_distances``.
     """
-    out = distances(rows, references(rows, least_docs))
+    out = distances(rows, refs)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = (F.col("n_words") >= least_words[0]) & (F.col("char_distance") > max_char_distance)
     far |= (
@@ -223,7 +225,8 @@ def judged(
         & (F.col("char_distance") > both_distances[0])
         & (F.col("word_distance") > both_distances[1])
     )
-    return out.withColumns({"base_failed": failed, "kept": ~failed & ~far})
+    # one expression, so that no part of it is filtered, and so computed, a second time
+    return out.withColumns({"base_failed": failed, "kept": F.when(failed | far, F.lit(False)).otherwise(F.lit(True))})
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -232,7 +235,7 @@ def quality(docs: DataFrame) -> DataFrame:
     The counts are taken once and written; references and verdicts read them back.
     """
     rows = materialise(measured(docs.select("doc_id", "lang", "text")).withColumn("row", F.struct("row.doc_id")), "quality-counts")
-    return judged(rows).select(
+    return judged(rows, references(rows, LEAST_DOCS)).select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
         "n_words",
         "word_chars",
@@ -247,8 +250,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    return judged(materialise(measured(docs), "quality-rows")).where("kept").select("row.*")
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Texts are read twice, for the references and for the verdicts, and not written.
+    """
+    refs = materialise(references(measured(docs.select("doc_id", "lang", "text")), LEAST_DOCS), "quality-references")
+    return judged(measured(docs), refs).where("kept").select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,47 +111,63 @@ def strength(groups: DataFrame, prior: Column, low: float = 2.0, high: float = 1
     return high if excess <= 0 else float(min(high, max(low, got["within"] / got["n"] / excess - 1)))
 
 
-def judged(rows: DataFrame, labels: DataFrame, sample: int = 20_000, limit: float = 0.3) -> DataFrame:
-    """Adds p_doc, p_host, p_path, p_final and kept to written rows of ``shapes``.
+class Model:
+    """Weights of the shape model and posteriors of all hosts and paths.
 
     ``sample`` bounds the labelled documents that the model is fitted on (those of the
     smallest hashes of their ids); all other figures come from all documents.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1)")
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), *SHAPE).join(known, "doc_id")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), *SHAPE).limit(sample)
-    held = np.array([tuple(r) for r in chosen.select(*SHAPE, F.col("quality").cast("double")).collect()])
-    held = held.reshape(-1, len(SHAPE) + 1)
-    x, y = held[:, :-1], held[:, -1]
-    weights, base = fit(x, y) if len(set(y.tolist())) == 2 else (np.zeros(len(SHAPE)), 0.0)
-    odds = sum((F.col(c) * float(w) for c, w in zip(SHAPE, weights, strict=True)), F.lit(base))
-    p_doc = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
-    scored = rows.withColumn("p_doc", p_doc)
-    paths = materialise(scored.groupBy("host", "lang").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = F.lit(total["s"] / total["n"] if total["n"] else 0.5)
-    k_host = strength(hosts, mean)
-    hosts = hosts.select("host", ((mean * k_host + F.col("s")) / (F.col("n") + k_host)).alias("p_host"))
-    paths = materialise(paths.join(hosts, "host"), "path-posteriors")
-    k_path = strength(paths, F.col("p_host"))
-    path = (F.col("p_host") * k_path + F.col("s") - F.col("p_doc")) / (F.col("n") - 1 + k_path)
-    final = 1 / (1 + F.exp(-(_logit(F.col("p_doc")) + _logit(F.col("p_path")) - _logit(mean))))
-    out = scored.join(paths, ["host", "lang"]).withColumn("p_path", path).withColumn("p_final", final)
-    return out.withColumn("kept", F.col("p_final") >= limit)
+
+    def __init__(self, rows: DataFrame, labels: DataFrame, sample: int = 20_000):
+        known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1)")
+        known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        chosen = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), *SHAPE).join(known, "doc_id")
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), *SHAPE).limit(sample)
+        held = np.array([tuple(r) for r in chosen.select(*SHAPE, F.col("quality").cast("double")).collect()])
+        held = held.reshape(-1, len(SHAPE) + 1)
+        x, y = held[:, :-1], held[:, -1]
+        self.weights, self.base = fit(x, y) if len(set(y.tolist())) == 2 else (np.zeros(len(SHAPE)), 0.0)
+        paths = self.scored(rows).groupBy("host", "lang").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"))
+        paths = materialise(paths, "paths")
+        hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+        self.mean = total["s"] / total["n"] if total["n"] else 0.5
+        k_host = strength(hosts, F.lit(self.mean))
+        p_host = (self.mean * k_host + F.col("s")) / (F.col("n") + k_host)
+        self.paths = materialise(paths.join(hosts.select("host", p_host.alias("p_host")), "host"), "path-posteriors")
+        self.k_path = strength(self.paths, F.col("p_host"))
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        odds = sum((F.col(c) * float(w) for c, w in zip(SHAPE, self.weights, strict=True)), F.lit(self.base))
+        return rows.withColumn("p_doc", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds)))))
+
+    def judged(self, rows: DataFrame, limit: float = 0.3) -> DataFrame:
+        """Adds p_doc, p_host, p_path, p_final and kept."""
+        path = (F.col("p_host") * self.k_path + F.col("s") - F.col("p_doc")) / (F.col("n") - 1 + self.k_path)
+        final = 1 / (1 + F.exp(-(_logit(F.col("p_doc")) + _logit(F.col("p_path")) - _logit(F.lit(self.mean)))))
+        out = self.scored(rows).join(self.paths, ["host", "lang"]).withColumn("p_path", path).withColumn("p_final", final)
+        return out.withColumn("kept", F.col("p_final") >= limit)
+
+
+def _small(docs: DataFrame) -> DataFrame:
+    """The shapes of all documents, written without their texts."""
+    rows = shapes(docs.select("doc_id", "source", "lang", "text")).withColumn("row", F.struct("row.doc_id"))
+    return materialise(rows, "shapes")
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_doc, p_host, p_path, p_final and kept of every document."""
-    rows = shapes(docs.select("doc_id", "source", "lang", "text")).withColumn("row", F.struct("row.doc_id"))
-    out = judged(materialise(rows, "shapes"), labels)
+    rows = _small(docs)
+    out = Model(rows, labels).judged(rows)
     return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "p_doc", "p_host", "p_path", "p_final", "kept")
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    return judged(materialise(shapes(docs), "shape-rows"), labels).where("kept").select("row.*")
+    """The rows of ``docs`` that the classifier keeps, with all their columns.
+
+    Texts are read twice, for the model and for the verdicts, and not written.
+    """
+    return Model(_small(docs), labels).judged(shapes(docs)).where("kept").select("row.*")
 
 
 def op9_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

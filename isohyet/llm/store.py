@@ -30,3 +30,10 @@ def get(uri: str, offset: int | None = None, length: int | None = None) -> bytes
     filesystem, path = opened(uri)
     with filesystem.open_input_file(path) as source:
         return source.read() if offset is None else source.read_at(length, offset)
+
+
+def remove(uri: str) -> None:
+    """A folder and what is in it; one that is not there is no error."""
+    filesystem, path = opened(uri)
+    if filesystem.get_file_info(path).type.name == "Directory":
+        filesystem.delete_dir(path)
