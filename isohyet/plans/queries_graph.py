@@ -138,10 +138,10 @@ def a38_calibration(spark, d):
     return out.select("fid", "cand", F.round("rmse", 5).alias("rmse"))
 
 
-@query(f"""WITH {b.DD}, {b.ST}, {NB} SELECT src % 10 = 0 AS held, count(*) AS n, round(avg(abs((a.base - z.base) - (a.obs - z.obs))), 6) AS mae FROM nb JOIN dd a ON a.fid = src JOIN dd z ON z.fid = dst AND z.day = a.day WHERE rank <= 3 GROUP BY 1""")
+@query(f"""WITH {b.DD}, {b.ST}, {NB} SELECT src % 10 = 0 AS held, count(*) AS n, round(avg(abs((a.base - z.base) - (a.obs - z.obs))), 6) AS mae FROM nb JOIN dd a ON a.fid = src JOIN dd z ON z.fid = dst AND z.day = a.day WHERE rank <= 16 GROUP BY 1""")
 def a42_pair_skill(spark, d):
     s = b.stations(spark, d)
-    e = spatial.neighbours(s, s, 3, 150.0).select("src", "dst")
+    e = spatial.neighbours(s, s, 16, 150.0).select("src", "dst")
     x = b.daily_obs(spark, d).select("fid", "day", "obs", "base")
     side = lambda n: x.select(F.col("fid").alias(n), "day", F.col("obs").alias(f"o_{n}"), F.col("base").alias(f"b_{n}"))
     out = e.join(side("src"), "src").join(side("dst"), ["dst", "day"])
