@@ -92,18 +92,19 @@ def paths(tree: DataFrame, best: int = 1) -> DataFrame:
     jump = tree.select(
         "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).alias("depth")
     )
-    jumps = [materialise(jump, "chat-jump")]
-    while jumps[-1].where("up IS NOT NULL").head(1):
-        now = jumps[-1]
-        far = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        now = now.join(far, "up", "left").select(
+    state, jumps = materialise(jump, "chat-jump"), []
+    while state.where("up IS NOT NULL").head(1):
+        open_ = state.where("up IS NOT NULL")
+        jumps.append(open_.select("node", "up"))
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
+        moved = open_.join(far, "up", "left").select(  # nodes that have reached their root are not joined again
             "node",
             F.col("up2").alias("up"),
             (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
             (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
         )
-        jumps.append(materialise(now, "chat-jump"))
-    whole = jumps[-1].select("node", "total", "depth")
+        state = materialise(moved.unionByName(state.where("up IS NULL")), "chat-jump")
+    whole = state.select("node", "total", "depth")
     inner = tree.select(F.col("parent").alias("node")).distinct()
     leaves = tree.select("conv_id", "node").join(inner, "node", "left_anti").join(whole, "node")
     rank = F.struct((F.col("total") / (F.col("depth") + 1)).alias("mean"), "depth", (-F.col("node")).alias("back"))
@@ -113,8 +114,8 @@ def paths(tree: DataFrame, best: int = 1) -> DataFrame:
         order = Window.partitionBy("conv_id").orderBy(rank.desc())
         top = leaves.withColumn("path", F.row_number().over(order)).where(F.col("path") <= best).select("conv_id", "path", "node")
     found = materialise(top, "chat-paths")
-    for jump in reversed(jumps[:-1]):
-        step = found.join(jump.where("up IS NOT NULL").select("node", "up"), "node").select("conv_id", "path", F.col("up").alias("node"))
+    for jump in reversed(jumps):
+        step = found.join(jump, "node").select("conv_id", "path", F.col("up").alias("node"))
         found = materialise(found.unionByName(step), "chat-paths")
     return found.join(whole.select("node", F.col("depth").alias("place")), "node").select("conv_id", "path", "place", "node")
 
