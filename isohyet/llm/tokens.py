@@ -15,6 +15,8 @@ import unicodedata
 
 import numpy as np
 
+from .shingles import WordHashes
+
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-z0-9À-ÖØ-öø-įı-ɏ])(?=[,.!?;:|*$%&#])")
 _BEFORE = frozenset(c for c in map(chr, range(48, 592)) if re.match("[A-Za-z0-9À-ÖØ-öø-įı-ɏ]", c))
 _AFTER = frozenset(",.!?;:|*$%&#")
@@ -113,6 +115,7 @@ _MADE: dict[tuple[str, bool], Ids] = {}
 
 def ids_for(path: str, lossy: bool) -> Ids:
     """One encoder for each Python worker, kept between its tasks."""
+    WordHashes.forget()
     if (path, lossy) not in _MADE:
         _MADE[path, lossy] = Ids(path, lossy)
     return _MADE[path, lossy]
