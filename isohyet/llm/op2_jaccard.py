@@ -211,12 +211,11 @@ def _rooted(df: DataFrame, roots: DataFrame, column: str = "sid", name: str = "r
     return df.join(side, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _open_rows(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, sid, n, parity map) of the lists whose sets are in several components."""
+def _open_rows(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, sid) of the lists whose sets are in several components."""
     two = _rooted(_rooted(lists, roots, "sid", "r1"), roots, "head", "r2").where("r1 <> r2")
     kept = lists.join(two.select("key").distinct(), "key")
-    members = kept.select("key", "sid").unionByName(kept.select("key", F.col("head").alias("sid")).distinct())
-    return members.join(sets.select("sid", "n", *BITS), "sid")
+    return kept.select("key", "sid").unionByName(kept.select("key", F.col("head").alias("sid")).distinct())
 
 
 def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -226,27 +225,34 @@ def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(open_keys, "key")
 
 
-def _next_heads(rows: DataFrame, tried: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+def _next_heads(rows: DataFrame, sets: DataFrame, tried: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """For each set the ``NEAREST`` members, by parity maps, of its lists' largest components.
 
     One member stands for the largest component of a list, another one in each turn
     and list, so a set has as many candidates as it has lists.
     """
-    member = F.struct(F.xxhash64("key", "sid", F.lit(turn)).alias("h"), F.struct("sid", "n", *BITS).alias("s"))
+    member = F.struct(F.xxhash64("key", "sid", F.lit(turn)).alias("h"), "sid")
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("size"), F.min(member).alias("m"))
     large = parts.groupBy("key").agg(F.max(F.struct("size", F.col("root").alias("top"), "m")).alias("l"))
-    large = large.select("key", "l.top", F.col("l.m.s").alias("y"))
-    pairs = rows.alias("x").join(large, "key").where(F.col("x.root") != F.col("top"))
-    pairs = pairs.where(_may_link("x", "y", num, den)).select(
-        F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), (_apart("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("gap")
-    )
-    pairs = pairs.groupBy("a", "b").agg(F.min("gap").alias("gap")).join(tried, ["a", "b"], "left_anti")
-    best = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("gap", "b"))), 1, NEAREST).alias("m"))
+    large = large.select("key", "l.top", F.col("l.m.sid").alias("b"))
+    pairs = rows.join(large, "key").where("root <> top").select(F.col("sid").alias("a"), "b").distinct()
+    pairs = _with_maps(pairs.join(tried, ["a", "b"], "left_anti"), sets).where(_may_link("x", "y", num, den))
+    gap = (_apart("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("gap")
+    best = pairs.select("a", "b", gap).groupBy("a")
+    best = best.agg(F.slice(F.array_sort(F.collect_list(F.struct("gap", "b"))), 1, NEAREST).alias("m"))
     return best.select("a", F.explode(F.transform("m", lambda x: x["b"])).alias("b"))
 
 
-def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _with_maps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sizes and parity maps of both sides as x and y."""
+    side = sets.select("sid", F.struct("n", *BITS).alias("s"))
+    out = pairs.join(side.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a")
+    return out.join(side.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
+
+
+def _open_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of one list in different components that sizes and parity maps let stand."""
+    rows = rows.join(sets.select("sid", "n", *BITS), "sid")
     blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(blocks, "key").withColumn("own", F.pmod("sid", "blocks").cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -270,19 +276,20 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
     rows = materialise(_sets(docs, k, words), "jaccard-sets")
     lists = materialise(_lists(docs, k, words, index), "jaccard-lists")
     sets = rows.where("n > 0").groupBy("sid").agg(*[F.first(c).alias(c) for c in ["n", *BITS]])
-    pairs = lists.groupBy("sid", "head").agg(F.count("*").alias("met"))
-    pairs = pairs.join(sets.alias("x"), "sid").join(sets.select(F.col("sid").alias("head"), "n", *BITS).alias("y"), "head")
-    pairs = pairs.where(_may_link("x", "y", num, den))
-    best = pairs.groupBy("sid").agg(F.max(F.struct("met", "head")).alias("m"))
-    heads = materialise(best.select(F.col("sid").alias("a"), F.col("m.head").alias("b")), "jaccard-heads")
+    sets = materialise(sets, "jaccard-maps")
+    pairs = lists.groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("met"))
+    pairs = _with_maps(pairs, sets).where(_may_link("x", "y", num, den))
+    best = pairs.groupBy("a").agg(F.max(F.struct("met", "b")).alias("m"))
+    heads = materialise(best.select("a", F.col("m.b").alias("b")), "jaccard-heads")
     full = rows.where("n > 0")
-    texts = _texts(heads.select(F.explode(F.array("a", "b")).alias("sid")), docs, full)
-    links = materialise(_verified(heads, texts, k, words, num, den), "jaccard-links")
+    with passing() as keep:
+        texts = _texts(heads.select(F.explode(F.array("a", "b")).alias("sid")), docs, full)
+        links = keep(_verified(heads, texts, k, words, num, den), "jaccard-links")
     roots, tried, turn = components(links), heads, 0
-    rows_open = materialise(_still_open(_open_rows(lists, roots, sets), roots), "jaccard-open")
+    rows_open = materialise(_still_open(_open_rows(lists, roots), roots), "jaccard-open")
     texts = _texts(rows_open.select("sid"), docs, full)
     while True:
-        heads = materialise(_next_heads(rows_open, tried, turn, num, den), "jaccard-heads")
+        heads = materialise(_next_heads(rows_open, sets, tried, turn, num, den), "jaccard-heads")
         asked = heads.count()
         if not asked:
             break
@@ -295,7 +302,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
         if 20 * found < asked:  # the last step, which tries all pairs, is now the shorter way
             break
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(_open_pairs(rows_open, num, den).join(both, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = materialise(_open_pairs(rows_open, sets, num, den).join(both, ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.head(1):
         more = materialise(_verified(rest, texts, k, words, num, den), "jaccard-links")
         if more.head(1):
