@@ -202,7 +202,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, words: Callable, num:
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
 
     with_a = pairs.join(texts.withColumnRenamed("text", "x"), pairs["a"] == texts["sid"]).select("a", "b", "x")
-    ready = with_a.join(texts.withColumnRenamed("text", "y"), with_a["b"] == texts["sid"]).select("a", "b", "x", "y")
+    other = texts.select("sid", F.coalesce("text", F.lit("")).alias("y"))  # another exchange than the first side's
+    ready = with_a.join(other, with_a["b"] == other["sid"]).select("a", "b", "x", "y")
     return ready.mapInArrow(work, "a long, b long")
 
 
@@ -245,9 +246,10 @@ def _next_heads(rows: DataFrame, sets: DataFrame, tried: DataFrame, turn: int, n
 
 def _with_maps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Sizes and parity maps of both sides as x and y."""
-    side = sets.select("sid", F.struct("n", *BITS).alias("s"))
-    out = pairs.join(side.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a")
-    return out.join(side.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
+    # the sides differ, as one exchange that both joins read fails when one of them is split for skew
+    side = lambda n: F.struct(F.lit(n).alias("side"), "n", *BITS)
+    out = pairs.join(sets.select(F.col("sid").alias("a"), side(0).alias("x")), "a")
+    return out.join(sets.select(F.col("sid").alias("b"), side(1).alias("y")), "b")
 
 
 def _open_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
