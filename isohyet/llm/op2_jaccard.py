@@ -216,7 +216,8 @@ def _open_rows(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, sid) of the lists whose sets are in several components."""
     two = _rooted(_rooted(lists, roots, "sid", "r1"), roots, "head", "r2").where("r1 <> r2")
     kept = lists.join(two.select("key").distinct(), "key")
-    return kept.select("key", "sid").unionByName(kept.select("key", F.col("head").alias("sid")).distinct())
+    # exploded, as Spark 4.1 miscounts the partitions of a union of two sides dealt alike
+    return kept.select("key", F.explode(F.array("sid", "head")).alias("sid")).distinct()
 
 
 def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -237,19 +238,18 @@ def _next_heads(rows: DataFrame, sets: DataFrame, tried: DataFrame, turn: int, n
     large = parts.groupBy("key").agg(F.max(F.struct("size", F.col("root").alias("top"), "m")).alias("l"))
     large = large.select("key", "l.top", F.col("l.m.sid").alias("b"))
     pairs = rows.join(large, "key").where("root <> top").select(F.col("sid").alias("a"), "b").distinct()
-    pairs = _with_maps(pairs.join(tried, ["a", "b"], "left_anti"), sets).where(_may_link("x", "y", num, den))
+    pairs = pairs.join(tried, ["a", "b"], "left_anti").select(F.col("a").alias("sid"), F.col("b").alias("head"))
+    pairs = _with_maps(pairs, sets).where(_may_link("x", "y", num, den))
     gap = (_apart("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("gap")
-    best = pairs.select("a", "b", gap).groupBy("a")
+    best = pairs.select(F.col("sid").alias("a"), F.col("head").alias("b"), gap).groupBy("a")
     best = best.agg(F.slice(F.array_sort(F.collect_list(F.struct("gap", "b"))), 1, NEAREST).alias("m"))
     return best.select("a", F.explode(F.transform("m", lambda x: x["b"])).alias("b"))
 
 
 def _with_maps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Sizes and parity maps of both sides as x and y."""
-    # the sides differ, as one exchange that both joins read fails when one of them is split for skew
-    side = lambda n: F.struct(F.lit(n).alias("side"), "n", *BITS)
-    out = pairs.join(sets.select(F.col("sid").alias("a"), side(0).alias("x")), "a")
-    return out.join(sets.select(F.col("sid").alias("b"), side(1).alias("y")), "b")
+    """pairs(sid, head) with sizes and parity maps of both sides as x and y."""
+    other = sets.select(F.col("sid").alias("head"), "n", *BITS)
+    return pairs.join(sets.alias("x"), "sid").join(other.alias("y"), "head")
 
 
 def _open_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -278,11 +278,10 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
     rows = materialise(_sets(docs, k, words), "jaccard-sets")
     lists = materialise(_lists(docs, k, words, index), "jaccard-lists")
     sets = rows.where("n > 0").groupBy("sid").agg(*[F.first(c).alias(c) for c in ["n", *BITS]])
-    sets = materialise(sets, "jaccard-maps")
-    pairs = lists.groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("met"))
+    pairs = lists.groupBy("sid", "head").agg(F.count("*").alias("met"))
     pairs = _with_maps(pairs, sets).where(_may_link("x", "y", num, den))
-    best = pairs.groupBy("a").agg(F.max(F.struct("met", "b")).alias("m"))
-    heads = materialise(best.select("a", F.col("m.b").alias("b")), "jaccard-heads")
+    best = pairs.groupBy("sid").agg(F.max(F.struct("met", "head")).alias("m"))
+    heads = materialise(best.select(F.col("sid").alias("a"), F.col("m.head").alias("b")), "jaccard-heads")
     full = rows.where("n > 0")
     with passing() as keep:
         texts = _texts(heads.select(F.explode(F.array("a", "b")).alias("sid")), docs, full)
