@@ -266,7 +266,11 @@ def _open_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 
 def linked(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, words: Callable = plain_words) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles and component_id of every row."""
+    """doc_id, th (hash of the text), n_shingles, component_id and root of every row.
+
+    root is the smallest set id of the component and null without words.  It tells
+    components apart, which component_id does not where doc_ids are null or repeated.
+    """
     with passing() as keep:
         return keep(_linked(docs, k, num, den, words), "jaccard-groups")
 
@@ -311,9 +315,9 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
     nodes = full.groupBy("sid").agg(F.min("doc_id").alias("low"))
     nodes = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = nodes.join(lowest, "root").select("sid", "component_id")
+    named = nodes.join(lowest, "root").select("sid", "component_id", "root")
     out = rows.select("doc_id", "th", "n", "sid").join(named, "sid", "left")
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, words: Callable = plain_words) -> DataFrame:
@@ -322,7 +326,7 @@ def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
     That is the row of the smallest (doc_id, text hash); rows without words all stay.
     """
     groups = linked(docs, k, num, den, words)
-    keep = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("row"))
+    keep = groups.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("row"))
     keep = keep.select(F.col("row.doc_id").alias("_doc"), F.col("row.th").alias("_th"))
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     marked = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))

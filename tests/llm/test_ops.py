@@ -115,6 +115,15 @@ def test_op2_odd_rows(spark, odd, none):
     assert sorted(x for x in left if x in (5, 6)) in ([5], []) and len([x for x in left if x in (1, 2, 3)]) == 3
 
 
+def test_op2_unlinked_texts_stay(spark):
+    """Unrelated texts without a doc_id or with the same one are groups of their own."""
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (7, text("d") + " e"), (8, text("c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text.split()[0]) for r in op2_jaccard.first_of_each(df).collect())
+    assert got == Counter([(None, "a0"), (None, "b0"), (7, "c0"), (7, "d0")])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
