@@ -87,26 +87,32 @@ def window_pairs(windows: DataFrame, key: str, start: str, seed: int) -> DataFra
     return windows.withColumn("positive", F.coalesce(F.lead(start).over(w), F.first(start).over(whole)))
 
 
-def spaced(points: DataFrame, edges: DataFrame, seed: int, rounds: int = 50) -> DataFrame:
+def spaced(points: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
     """Greedy sample of points without an edge between any two, in hash order.
 
     edges(src, dst): pairs closer than the spacing.  In each round a point stays if no
-    open neighbour is before it, and its neighbours go; this ends at the greedy result.
+    open neighbour is before it, and its neighbours go.  The first open point always
+    stays, so the rounds end, with the greedy result, when no point is open; there are
+    as many as the longest chain of points that wait for each other needs.
     """
     rank = lambda c: F.struct(mixed_hash(F.col(c), seed).alias("h"), F.col(c).alias("f"))
-    open_ = points.select("fid").distinct().checkpoint()
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-    kept = None
-    for _ in range(rounds):
-        live = both.join(open_.withColumnRenamed("fid", "src"), "src", "left_semi").join(open_.withColumnRenamed("fid", "dst"), "dst", "left_semi")
+    every = points.select("fid").distinct()
+    live = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    named = lambda df, c: df.withColumnRenamed("fid", c)
+    live = live.join(named(every, "src"), "src", "left_semi").join(named(every, "dst"), "dst", "left_semi").checkpoint()
+    near = live.select(F.col("src").alias("fid")).distinct()
+    kept = every.join(near, "fid", "left_anti").checkpoint()
+    open_, turn = every.join(near, "fid", "left_semi").checkpoint(), 0
+    while open_.head(1):
         late = live.where(rank("dst") < rank("src")).select(F.col("src").alias("fid")).distinct()
         stay = open_.join(late, "fid", "left_anti").checkpoint()
-        if not stay.head(1):
-            break
-        kept = stay if kept is None else kept.unionByName(stay)
-        gone = live.join(stay.withColumnRenamed("fid", "src"), "src", "left_semi").select(F.col("dst").alias("fid"))
+        kept, turn = kept.unionByName(stay), turn + 1
+        if turn % 20 == 0:  # else the plan grows with the rounds
+            kept = kept.checkpoint()
+        gone = live.join(named(stay, "src"), "src", "left_semi").select(F.col("dst").alias("fid"))
         open_ = open_.join(stay, "fid", "left_anti").join(gone, "fid", "left_anti").checkpoint()
-    return kept if kept is not None else open_
+        live = live.join(named(open_, "src"), "src", "left_semi").join(named(open_, "dst"), "dst", "left_semi").checkpoint()
+    return kept
 
 
 def merged_lists(lists: list[DataFrame], near: float = 0.2) -> DataFrame:

@@ -98,27 +98,37 @@ def adjacency(df: DataFrame, diagonal: bool = False) -> DataFrame:
     return a.join(df.select(F.col("row").alias("row2"), F.col("col").alias("col2")), ["row2", "col2"]).select("row", "col", "row2", "col2")
 
 
-def patches(df: DataFrame, value: str, width: int, diagonal: bool = True, rounds: int = 100) -> DataFrame:
-    """Connected cells of equal value get the smallest cell id (row * width + col) of their patch.
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of ``edges(u, v)`` long: root is the smallest node of the component.
 
-    Each round takes the least label of the neighbourhood, then jumps to the label's
-    own label; rounds are written to the checkpoint folder and stop when nothing moves.
+    Alternating large-star and small-star steps, written to the checkpoint folder; the
+    number of rounds grows with the logarithm of the nodes, and they end when a
+    round changes nothing.
     """
+    pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    state, before = digest(pairs), None
+    while state != before:
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        first = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(first, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = small.unionByName(first.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        state, before = digest(pairs), state
+    roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def patches(df: DataFrame, value: str, width: int, diagonal: bool = True) -> DataFrame:
+    """Connected cells of equal value get the smallest cell id (row * width + col) of their patch."""
     ident = (F.col("row") * width + F.col("col")).cast("long")
     cells = df.where(F.col(value).isNotNull()).select("row", "col", ident.alias("cell"), F.col(value).alias("k"))
     near = adjacency(cells, diagonal)
     side = cells.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("cell").alias("cell2"), F.col("k").alias("k2"))
-    edges = near.join(cells, ["row", "col"]).join(side, ["row2", "col2"]).where("k = k2").select("cell", "cell2").checkpoint()
-    labels = cells.select("cell", F.col("cell").alias("label")).checkpoint()
-    for _ in range(rounds):
-        seen = edges.join(labels.select(F.col("cell").alias("cell2"), F.col("label").alias("l2")), "cell2").groupBy("cell").agg(F.min("l2").alias("l2"))
-        low = labels.join(seen, "cell", "left").select("cell", "label", F.least("label", F.coalesce("l2", "label")).alias("low"))
-        jump = low.select(F.col("cell").alias("low"), F.col("low").alias("l3"))
-        moved = low.join(jump, "low", "left").select("cell", F.col("label").alias("old"), F.least("low", F.coalesce("l3", "low")).alias("label")).checkpoint()
-        if not moved.where("old <> label").head(1):
-            break
-        labels = moved.select("cell", "label")
-    return cells.join(moved.select("cell", "label"), "cell").select("row", "col", F.col("k").alias(value), F.col("label").alias("patch"))
+    edges = near.join(cells, ["row", "col"]).join(side, ["row2", "col2"]).where("k = k2").select(F.col("cell").alias("u"), F.col("cell2").alias("v"))
+    roots = connected(edges).select(F.col("node").alias("cell"), F.col("root"))
+    return cells.join(roots, "cell", "left").select("row", "col", F.col("k").alias(value), F.coalesce("root", "cell").alias("patch"))
 
 
 def borders(labelled: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.functions import geo, met
-from isohyet.operators import climatology, grid, qc, series, spatial, stats
+from isohyet.operators import climatology, graph, grid, qc, series, spatial, stats
 from isohyet.sources import sinks, text
 from isohyet.streaming import streams
 
@@ -196,3 +196,20 @@ def test_streams(spark, tmp_path):
     b = spark.createDataFrame([(2, "new")], "fid long, x string")
     merge(a, 0), merge(b, 1), merge(b, 1)
     assert {(r.fid, r.x) for r in spark.read.parquet(str(tmp_path / "up" / "000000001")).collect()} == {(1, "old"), (2, "new")}
+
+
+def test_long_patch_is_one(spark):
+    """Two arms of 130 cells that meet at the bottom, and a cell apart."""
+    cells = [(r, c) for r in range(130) for c in (0, 2)] + [(129, 1), (0, 4)]
+    df = spark.createDataFrame([(r, c, 1) for r, c in cells], "row int, col int, k int")
+    got = {(r.row, r.col): r.patch for r in grid.patches(df, "k", 5).collect()}
+    assert got == {x: 4 if x == (0, 4) else 0 for x in cells}
+
+
+def test_spaced_follows_long_chains(spark):
+    """A chain in hash order, whose points wait for each other over 52 rounds; a point alone."""
+    ids = spark.range(105).select("id", stats.mixed_hash(F.col("id"), 3).alias("h")).orderBy("h", "id").collect()
+    chain, alone = [r.id for r in ids[:-1]], ids[-1].id
+    edges = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "src long, dst long")
+    points = spark.createDataFrame([(i,) for i in [*chain, alone]], "fid long")
+    assert sorted(r.fid for r in graph.spaced(points, edges, 3).collect()) == sorted([*chain[::2], alone])
