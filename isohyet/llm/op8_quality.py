@@ -1,14 +1,15 @@
 """Quality rules and the divergence of a document from its language.
 
 Built from SQL functions only.  A document's histogram counts eight classes of
-characters and the common words of the known languages; the reference of a language
-is the mean histogram of all its documents.  A document whose Jensen-Shannon
-distance to its reference is above the limit is rejected; below a least number of
-words no distance is taken.  A language with few documents, or none, is held
-against the reference of all documents.
+characters and the common words of the languages that have a word list.  Each value
+of ``lang`` has a reference: the mean histogram of its documents, shrunk towards that
+of all documents the fewer they are.  A document whose Jensen-Shannon distance to its
+reference is above the limit is rejected; below a least number of words no distance
+is taken.  A language without a word list has no word distance and no rule on it.
 
 Rows: a null or empty text has no words and fails the base rules; a null language is
-one of its own; repeated rows count as often as they occur; extra columns are
+one of its own; region marks and case of ``lang`` matter for the reference, not for
+the word list; repeated rows count as often as they occur; extra columns are
 ignored; an empty table gives no row.
 """
 
@@ -27,9 +28,7 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur",
     "es": "de la que el en y a los se del las un por con no una su para es al",
 }
-#: Languages that are not in COMMON, and the reference of all documents.
-OTHER, ALL = "other", "all"
-#: A language with fewer documents takes the reference of all.
+#: From so many documents on, a language's reference is its own mean alone.
 LEAST_DOCS = 50
 WORDS = sorted({w for line in COMMON.values() for w in line.split()})
 #: Character classes, as characters that a regular expression removes.
@@ -91,10 +90,9 @@ def repeated_words(words: Column, k: int = 8) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """The contract's counts and the two histograms of each document; ``row``: its own columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise(F.lit(OTHER))
     base = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        known.alias("lang"),
+        F.col("lang").cast("string").alias("lang"),
         text.alias("text"),
         words_of(F.col("text")).alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
@@ -127,47 +125,51 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
+def listed(lang: Column) -> Column:
+    """The language has a list of common words: 'en' has, and so have 'EN' and 'en-US'."""
+    return F.coalesce(F.lower(F.substring_index(F.translate(lang, "_", "-"), "-", 1)).isin(*COMMON), F.lit(False))
+
+
 def references(rows: DataFrame, least_docs: int) -> DataFrame:
-    """Mean shares of each known language and of all: (lang, char_ref, word_ref).
+    """(ref_lang, char_ref, word_ref): the reference of each value of lang, null included.
 
-    One row for each key of COMMON and one for the rest, so its size is fixed.  A
-    language with fewer than ``least_docs`` documents of 20 words takes the shares
-    of all.
+    Mean shares of the documents of 20 words and more.  With d of these a language
+    has d / ``least_docs`` of its own mean, at most all, and the rest from the mean of
+    all documents (of all in listed languages, for words).  word_ref is null for a
+    language that is not listed.
     """
-    good = rows.where("n_words >= 20")
-    both = F.explode(F.array("lang", F.lit(ALL)))
     n = len(CLASSES) + 1
-    total = F.aggregate("chars", F.lit(0.0), lambda a, x: a + x)
-    shares = good.select(both.alias("lang"), F.posexplode(F.transform("chars", lambda x: x / total)).alias("k", "share"))
-    char_ref = shares.groupBy("lang", "k").agg(F.sum("share").alias("s"), F.count("*").alias("docs"))
-    char_ref = char_ref.groupBy("lang").agg(
-        F.max("docs").alias("docs"),
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("s"),
+    good = F.col("n_words") >= 20
+    total = F.greatest(F.aggregate("chars", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
+    by_lang = rows.groupBy("lang").agg(
+        F.count(F.when(good, 1)).alias("docs"),
+        *[F.coalesce(F.sum(F.when(good, F.get("chars", F.lit(i)) / total)), F.lit(0.0)).alias(f"s{i}") for i in range(n)],
     )
-    char_ref = char_ref.select("lang", "docs", F.transform("s", lambda x: x / F.col("docs")).alias("char_ref"))
-    word_ref = good.select(both.alias("lang"), "n_words", F.explode("commons").alias("c"))
-    word_ref = word_ref.groupBy("lang", "c.word").agg(F.sum(F.col("c.n") / F.col("n_words")).alias("s"))
-    word_ref = word_ref.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias("s"))
-    found = char_ref.join(word_ref, "lang", "left").select(
-        "lang",
-        "docs",
-        F.col("char_ref"),
-        F.transform_values(F.coalesce("s", F.create_map().cast("map<string,double>")), lambda k, v: v / F.col("docs")).alias(
-            "word_ref"
-        ),
+    words = rows.where(good & listed(F.col("lang"))).select("lang", "n_words", F.explode("commons").alias("c"))
+    words = words.groupBy("lang", "c.word").agg(F.sum(F.col("c.n") / F.col("n_words")).alias("s"))
+    tallies = lambda: F.map_from_entries(F.collect_list(F.struct("word", "s")))
+    own = words.groupBy(F.col("lang").alias("word_lang")).agg(tallies().alias("own"))
+    every = words.groupBy("word").agg(F.sum("s").alias("s")).agg(tallies().alias("w0"))
+    wide = by_lang.agg(
+        F.nullif(F.sum("docs"), F.lit(0)).alias("all_docs"),
+        F.greatest(F.sum(F.when(listed(F.col("lang")), F.col("docs"))), F.lit(1)).alias("word_docs"),
+        F.array(*[F.sum(f"s{i}") for i in range(n)]).alias("s0"),
     )
-    wide = found.where(F.col("lang") == ALL).select(F.col("char_ref").alias("c0"), F.col("word_ref").alias("w0"))
-    names = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in [*COMMON, OTHER]])).alias("lang"))
-    own = found.where((F.col("docs") >= least_docs) & (F.col("lang") != OTHER))
     even = F.array(*[F.lit(1.0 / n)] * n)
-    return (
-        names.join(F.broadcast(own), "lang", "left")
-        .join(F.broadcast(wide), F.lit(True), "left")
-        .select(
-            "lang",
-            F.coalesce("char_ref", "c0", even).alias("char_ref"),
-            F.coalesce("word_ref", "w0", F.create_map().cast("map<string,double>")).alias("word_ref"),
-        )
+    wide = wide.join(F.broadcast(every), F.lit(True)).select(
+        F.coalesce(F.transform("s0", lambda x: x / F.col("all_docs")), even).alias("c0"),
+        F.transform_values("w0", lambda k, v: v / F.col("word_docs")).alias("w0"),
+    )
+    found = by_lang.join(own, by_lang["lang"].eqNullSafe(own["word_lang"]), "left").join(F.broadcast(wide), F.lit(True))  # one row
+    share = F.least(F.lit(1.0), F.col("docs") / F.lit(max(1, least_docs)))
+    mixed = lambda s, w: share * s / F.greatest("docs", F.lit(1)) + (1 - share) * w
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    none = F.create_map().cast("map<string,double>")
+    both = F.map_zip_with(F.coalesce("own", none), "w0", lambda k, s, w: mixed(zero(s), zero(w)))
+    return found.select(
+        F.col("lang").alias("ref_lang"),
+        F.zip_with(F.array(*[f"s{i}" for i in range(n)]), "c0", mixed).alias("char_ref"),
+        F.when(listed(F.col("lang")), both).alias("word_ref"),
     )
 
 
@@ -179,7 +181,10 @@ def _term(p: Column, q: Column) -> Column:
 
 
 def distances(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds char_distance and word_distance, from 0 to 1."""
+    """Adds char_distance and word_distance, from 0 to 1; the second is null without a word list.
+
+    The size of ``refs`` is that of the values of lang, so Spark chooses the join.
+    """
     total = F.aggregate("chars", F.lit(0.0), lambda a, x: a + x)
     pairs = F.zip_with("chars", "char_ref", lambda p, q: _term(p / F.greatest(total, F.lit(1.0)), q))
     char = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / 2
@@ -199,9 +204,9 @@ def distances(rows: DataFrame, refs: DataFrame) -> DataFrame:
     mass = F.aggregate(F.map_values("word_ref"), F.lit(0.0), lambda a, x: a + x)
     # common words that the document lacks add their share; all other words are one class
     word = F.col("seen.t") + (F.col("mass") - F.col("seen.q")) + _term(1 - F.col("seen.p"), 1 - F.col("mass"))
-    out = rows.join(F.broadcast(refs), "lang").withColumn("seen", seen).withColumn("mass", mass)
+    out = rows.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumn("seen", seen).withColumn("mass", mass)
     root = lambda x: F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
-    return out.withColumns({"char_distance": root(char), "word_distance": root(word / 2)})
+    return out.withColumns({"char_distance": root(char), "word_distance": F.when(F.col("word_ref").isNotNull(), root(word / 2))})
 
 
 def judged(
@@ -223,7 +228,7 @@ def judged(
     far |= (
         (F.col("n_words") >= least_words[1])
         & (F.col("char_distance") > both_distances[0])
-        & (F.col("word_distance") > both_distances[1])
+        & F.coalesce(F.col("word_distance") > both_distances[1], F.lit(False))
     )
     # one expression, so that no part of it is filtered, and so computed, a second time
     return out.withColumns({"base_failed": failed, "kept": F.when(failed | far, F.lit(False)).otherwise(F.lit(True))})
@@ -235,7 +240,8 @@ def quality(docs: DataFrame) -> DataFrame:
     The counts are taken once and written; references and verdicts read them back.
     """
     rows = materialise(measured(docs.select("doc_id", "lang", "text")).withColumn("row", F.struct("row.doc_id")), "quality-counts")
-    return judged(rows, references(rows, LEAST_DOCS)).select(
+    refs = materialise(references(rows, LEAST_DOCS), "quality-references")
+    return judged(rows, refs).select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
         "n_words",
         "word_chars",

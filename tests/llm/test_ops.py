@@ -410,6 +410,20 @@ def test_op8_distances(spark, docs):
             assert abs(r.word_distance - distance(bag(r), refs[r.lang][1])) < 1e-6
 
 
+def test_op8_each_language_has_a_reference(spark):
+    """Clean texts of a caseless script stay beside many Latin ones; few documents are not switched."""
+    rng = np.random.default_rng(8)
+    draw = lambda chars: " ".join("".join(rng.choice(list(chars), rng.integers(2, 6))) for _ in range(120))
+    rows = [(i, draw("abcdefghij"), "en") for i in range(400)]
+    rows += [(1000 + i, draw("天地玄黄宇宙洪荒"), ["zh", None, "all", "zh-TW"][i % 4]) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in op8_quality.quality(df).where("kept").collect()} == {r[0] for r in rows}
+    assert {r.doc_id for r in op8_quality.kept_rows(df).collect()} == {r[0] for r in rows}
+    far = [op8_quality.quality(df.where(f"lang = 'en' or doc_id < {1000 + 4 * n} and lang = 'zh'")).where("doc_id = 1000").first() for n in (20, 49, 50)]
+    assert far[0].char_distance > far[1].char_distance > far[2].char_distance and far[1].char_distance < 0.1
+    assert all(r.word_distance is None for r in far)
+
+
 # ---- 9
 
 
