@@ -95,6 +95,15 @@ def w11_repeated_year(spark, d):
     return series.repeated_years(x, "channel", "day", ["v"], first).where(F.col("year") == first).select("year", "days", "repeated")
 
 
+@query(f"""WITH {b.SE}, x AS (SELECT channel, day, max(a) AS a FROM se GROUP BY 1, 2), y AS (SELECT min(year(day)) AS y FROM x)
+SELECT x.channel, year(x.day) AS year, count(*) AS days, count(*) FILTER (abs(x.a - z.a) <= 1e-9) AS repeated FROM x CROSS JOIN y LEFT JOIN x z ON z.channel = x.channel AND year(z.day) = y.y AND dayofyear(z.day) = dayofyear(x.day) GROUP BY 1, 2""")
+def w11_repeated_years(spark, d):
+    """Days of each channel and year whose highest value is that of the first year's day."""
+    x = b.sensors(spark, d).groupBy("channel", "day").agg(F.max("a").alias("a"))
+    first = x.agg(F.min(F.year("day"))).first()[0]
+    return series.repeated_years(x, "channel", "day", ["a"], first).select("channel", "year", "days", "repeated")
+
+
 @query(f"""WITH {b.ST}, v AS (SELECT vec_id AS fid, embedding FROM embeddings), e AS (SELECT src, dst, km, list_sum(list_transform(list_zip(a.embedding, z.embedding), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))) AS g2 FROM (SELECT a.fid AS src, z.fid AS dst, {HAV.format(a='a', d='z')} AS km FROM st a JOIN st z ON a.fid <> z.fid) JOIN v a ON a.fid = src JOIN v z ON z.fid = dst WHERE km <= 120),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY g2, dst) AS near, row_number() OVER (PARTITION BY src ORDER BY g2 DESC, dst DESC) AS far, count(*) OVER (PARTITION BY src) AS n FROM e)
 SELECT src, dst, round(km, 5) AS km FROM r WHERE n <= 10 OR near <= 7 OR far <= 3""")
@@ -123,6 +132,16 @@ def g14_shelter(spark, d):
     return grid.shelter(p, g, 10.0, 4).select("fid", "ray", F.round("sx", 5).alias("sx"))
 
 
+@query(f"""WITH {b.GR}, o AS (SELECT * FROM (VALUES (0, -1, 0), (1, -1, 1), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, -1), (6, 0, -1), (7, -1, -1)) t(ray, dr, dc)), s AS (SELECT CAST(i AS INT) AS s FROM range(1, 5) t(i)),
+p AS (SELECT row * 50 + col AS fid, row, col, z FROM gr) SELECT fid, ray, round(greatest(0, coalesce(max((gr.z - p.z) / (s * 10.0 * sqrt(abs(dr) + abs(dc)))), 0)), 5) AS sx
+FROM p, o, s LEFT JOIN gr ON gr.row = p.row + s * dr AND gr.col = p.col + s * dc GROUP BY 1, 2""")
+def g14_shelter_all(spark, d):
+    """Shelter of every cell."""
+    g = b.cells(spark, d).drop("k")
+    p = g.select((F.col("row") * 50 + F.col("col")).alias("fid"), "row", "col")
+    return grid.shelter(p, g, 10.0, 4).select("fid", "ray", F.round("sx", 5).alias("sx"))
+
+
 @query(f"WITH {b.GR}, a AS (SELECT count(*) AS n, count(z) AS v, min(z) AS lo, max(z) AS hi FROM gr) SELECT 'not_empty' AS \"check\", n > 0 AS ok, CAST(n AS DOUBLE) AS detail FROM a UNION ALL SELECT 'has_values', v > 0, v FROM a UNION ALL SELECT 'low', lo >= 0, lo FROM a UNION ALL SELECT 'high', hi <= 1000, hi FROM a")
 def g18_layer_checks(spark, d):
     return grid.layer_checks(b.cells(spark, d), "z", 0, 1000)

@@ -156,6 +156,14 @@ def j18_nearest(spark, d):
     return b.rounded(spatial.nearest(s.where(F.col("fid") % 3 == 0), s.where(F.col("fid") % 97 == 0)).select("src", "dst", "km"))
 
 
+@query(f"""WITH {b.ST}, x AS (SELECT a.fid AS src, z.fid AS dst, {HAV.format(a='a', d='z')} AS km FROM st a JOIN st z ON z.fid % 97 = 0)
+SELECT src, arg_min(dst, (km, dst)) AS dst, round(min(km), 6) AS km FROM x GROUP BY 1""")
+def j18_nearest_all(spark, d):
+    """The nearest point of a thin grid for every station."""
+    s = b.stations(spark, d)
+    return b.rounded(spatial.nearest(s, s.where(F.col("fid") % 97 == 0)).select("src", "dst", "km"))
+
+
 @query(f"""WITH {b.DD}, {b.ST}, p AS (SELECT dd.fid, dd.day, lat, lon, elev, delta AS y FROM dd JOIN st ON st.fid = dd.fid),
 e AS (SELECT day, src, dst, km, row_number() OVER (PARTITION BY day, src ORDER BY km, dst) AS r FROM (SELECT a.day, a.fid AS src, z.fid AS dst, {HAV.format(a='a', d='z')} AS km FROM p a JOIN p z ON a.day = z.day AND a.fid <> z.fid) WHERE km <= 120),
 q AS (SELECT DISTINCT day, least(src, dst) AS i, greatest(src, dst) AS j, km FROM e WHERE r <= 8)
@@ -179,6 +187,13 @@ def j24_not_near(spark, d):
     return spatial.not_near(s.where(F.col("fid") % 2 == 0), s.where(F.col("fid") % 20 == 1), 60.0).select("fid")
 
 
+@query(f"""WITH {b.ST} SELECT fid FROM st a WHERE NOT EXISTS (SELECT 1 FROM st z WHERE z.fid % 20 = 1 AND {HAV.format(a='a', d='z')} <= 60)""")
+def j24_not_near_all(spark, d):
+    """All stations but those near a query point."""
+    s = b.stations(spark, d)
+    return spatial.not_near(s, s.where(F.col("fid") % 20 == 1), 60.0).select("fid")
+
+
 @query(f"""WITH {b.GR} SELECT a.row, a.col, z.row AS row2, z.col AS col2, round(z.z - a.z, 6) AS dz FROM gr a JOIN gr z ON abs(a.row - z.row) + abs(a.col - z.col) = 1""")
 def j25_grid_edges(spark, d):
     g = b.cells(spark, d)

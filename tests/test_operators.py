@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.functions import geo, met
+import isohyet.plans.queries_io
+import isohyet.plans.queries_sets  # noqa: F401
 from isohyet.operators import climatology, graph, grid, qc, series, spatial, stats
+from isohyet.plans import registry
 from isohyet.sources import sinks, text
 from isohyet.streaming import streams
 
@@ -213,3 +216,17 @@ def test_spaced_follows_long_chains(spark):
     edges = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "src long, dst long")
     points = spark.createDataFrame([(i,) for i in [*chain, alone]], "fid long")
     assert sorted(r.fid for r in graph.spaced(points, edges, 3).collect()) == sorted([*chain[::2], alone])
+
+
+def test_whole_tables_are_answered(spark):
+    from helpers import DATA
+
+    n = spark.read.parquet(f"{DATA}/customer.parquet").count()
+    near = registry.QUERIES["j18_nearest_all"](spark, DATA).collect()
+    assert len(near) == len({r.src for r in near}) == n
+    assert any(r.fid % 2 for r in registry.QUERIES["j24_not_near_all"](spark, DATA).collect())
+    cells = spark.read.parquet(f"{DATA}/part.parquet").count()
+    assert registry.QUERIES["g14_shelter_all"](spark, DATA).count() == 8 * cells
+    years = registry.QUERIES["w11_repeated_years"](spark, DATA).collect()
+    assert len({r.channel for r in years}) > 1 and len({r.year for r in years}) > 1
+    assert any(0 < r.repeated < r.days for r in years)
