@@ -140,12 +140,30 @@ def borders(labelled: DataFrame) -> DataFrame:
 
 
 def merged_small(labelled: DataFrame, least: int) -> DataFrame:
-    """One round: each patch below ``least`` cells joins the neighbour of the longest border."""
-    sizes = labelled.groupBy("patch").agg(F.count("*").alias("size"))
-    small = sizes.where(F.col("size") < least).select(F.col("patch").alias("a"))
-    to = borders(labelled).join(small, "a").groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("m"))).alias("t"))
-    to = to.select(F.col("a").alias("patch"), (-F.col("t.m")).alias("target"))
-    return labelled.join(to, "patch", "left").withColumn("patch", F.coalesce("target", "patch")).drop("target")
+    """Patches below ``least`` cells join the neighbour of the longest border (ties: the
+    smallest id) and take its id, smallest (size, id) first, until none has a neighbour.
+
+    A round merges each small patch that comes before all its small neighbours, which
+    gives the same as one merge after the other; only patches and borders are carried
+    from round to round, by way of the checkpoint folder.
+    """
+    sizes = labelled.groupBy("patch").agg(F.count("*").alias("size")).checkpoint()
+    edges = borders(labelled).checkpoint()
+    names = sizes.select("patch", F.col("patch").alias("now")).checkpoint()
+    while True:
+        small = sizes.where(F.col("size") < least)
+        first = edges.join(small.select(F.col("patch").alias("a"), F.col("size").alias("sa")), "a")
+        first = first.join(small.select(F.col("patch").alias("b"), F.col("size").alias("sb")), "b", "left")
+        late = F.coalesce(F.struct("sb", "b") < F.struct("sa", "a"), F.lit(False)) & F.col("sb").isNotNull()
+        moves = first.groupBy("a").agg(F.max(late.cast("int")).alias("late"), F.max(F.struct("n", (-F.col("b")).alias("m"))).alias("t"))
+        moves = moves.where("late = 0").select("a", (-F.col("t.m")).alias("to")).checkpoint()
+        if not moves.head(1):
+            break
+        renamed = lambda df, c: df.join(moves.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        sizes = renamed(sizes, "patch").groupBy("patch").agg(F.sum("size").alias("size")).checkpoint()
+        edges = renamed(renamed(edges, "a"), "b").where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")).checkpoint()
+        names = renamed(names, "now").checkpoint()
+    return labelled.join(names, "patch", "left").withColumn("patch", F.coalesce("now", "patch")).drop("now")
 
 
 def climatology_fill(df: DataFrame, keys: list[str], value: str) -> DataFrame:

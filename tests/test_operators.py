@@ -218,6 +218,17 @@ def test_spaced_follows_long_chains(spark):
     assert sorted(r.fid for r in graph.spaced(points, edges, 3).collect()) == sorted([*chain[::2], alone])
 
 
+def test_small_patches_merge_until_none_is_left(spark):
+    """Two small patches, each the other's longest border, then a large one; one with no neighbour stays."""
+    label = lambda r, c: 1 if c < 10 else 2 if c == 10 or r == 2 else 3
+    cells = [(r, c, label(r, c)) for r in range(3) for c in range(12)] + [(9, 9, 4)]
+    df = spark.createDataFrame(cells, "row int, col int, patch long")
+    # 3 (two cells) joins 2, which then has six cells and joins 1
+    got = {(r.row, r.col): r.patch for r in grid.merged_small(df, 8).collect()}
+    assert got == {(r, c): 4 if r == 9 else 1 for r, c, _ in cells}
+    assert {r.patch for r in grid.merged_small(df, 5).collect()} == {1, 2, 4}
+
+
 def test_whole_tables_are_answered(spark):
     from helpers import DATA
 
