@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, spatial, stats
+from ..shared import shared_dir
 from . import bindings as b
 from .queries_rows import HAV
 from .queries_sets import NB, H
@@ -91,10 +92,7 @@ def s15_window_pairs(spark, d):
 @query()
 def s10_spaced_sample(spark, d):
     """Stations of which no two are closer than 40 km, greedy in hash order."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rounds-"))
+    shared_dir(spark)
     s = b.stations(spark, d)
     return graph.spaced(s, spatial.within(s, s, 40.0), 3)
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import climatology, grid, qc, series, spatial
+from ..shared import shared_dir
 from ..sources import sinks, text
 from ..streaming import streams
 from . import bindings as b
@@ -184,8 +184,7 @@ SELECT fid, day, round(mean, 6) AS mean, round(top, 6) AS top, round(low, 6) AS
 )
 def st01_daily_stream(spark, d):
     """The daily aggregate as a stream over the whole table; days that the watermark has closed."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    path = f"{base.rstrip('/')}/daily-stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/daily-stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     out = streams.daily_stream(events.select(F.col("user_id").alias("fid"), F.col("ts").cast("timestamp").alias("ts"), "value"))

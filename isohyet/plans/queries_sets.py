@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grid, series, spatial, stats
+from ..shared import shared_dir
 from . import bindings as b
 from .queries_rows import HAV
 from .registry import query
@@ -318,10 +319,7 @@ def g13_mean_resample(spark, d):
 @query(f"""WITH RECURSIVE {b.GR}, c AS (SELECT row, col, k % 3 AS k, row * 50 + col AS cell FROM gr), e AS (SELECT a.cell AS a, z.cell AS z FROM c a JOIN c z ON a.k = z.k AND abs(a.row - z.row) <= 1 AND abs(a.col - z.col) <= 1),
 r AS (SELECT cell AS a, cell AS l FROM c UNION SELECT e.z, r.l FROM r JOIN e ON e.a = r.a WHERE r.l < e.z) SELECT row, col, k, CAST(min(l) AS BIGINT) AS patch FROM c JOIN r ON r.a = c.cell GROUP BY 1, 2, 3""")
 def g07_patches(spark, d):
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rounds-"))
+    shared_dir(spark)
     return grid.patches(b.cells(spark, d).withColumn("k", F.col("k") % 3), "k", 50)
 
 

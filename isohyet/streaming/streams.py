@@ -31,22 +31,20 @@ def run_stream(days: DataFrame, late: str = "1 day") -> DataFrame:
     return w.agg(F.count("*").alias("n")).select("fid", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upsert(path: str, keys: list[str]):
+def upsert(path: str, keys: list[str], order: list[str]):
     """A foreachBatch function that merges a batch into Parquet by key, the newer row wins.
 
-    The merged table goes to a folder of the batch's number, so a repeated batch
-    writes the same folder again; the reader takes the highest number.
+    Inside a batch the row of the greatest ``order`` is the newest.  The merged table
+    goes to a folder of the batch's number, so a repeated batch writes the same folder
+    again; the reader takes the highest number.  A batch whose predecessor's folder is
+    missing fails, so that no history is lost.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        try:
-            old = spark.read.parquet(f"{path}/{number - 1:09d}") if number else None
-        except Exception as missing:  # the first batch after a restart may have no predecessor
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            old = None
+        newest = F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("row")
+        new = batch.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(newest).select("row.*")
+        old = spark.read.parquet(f"{path}/{number - 1:09d}") if number else None
         (new if old is None else keep_last(old, new, keys)).write.mode("overwrite").parquet(f"{path}/{number:09d}")
 
     return merge
