@@ -1,8 +1,7 @@
-"""Shared helpers: the shared folder, stage boundaries, link components."""
+"""Shared helpers: stage boundaries and link components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -10,20 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+from ..shared import shared_dir
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
