@@ -54,8 +54,8 @@ def let(value: Column, body) -> Column:
 def repeated_words(words: Column, k: int = 8) -> Column:
     """Words that lie in a k-word window found twice or more.
 
-    Windows are grouped by sorting their hashes; those that share a hash are then
-    compared by their words.
+    Words are hashed once and windows by their words' hashes.  Only where a hash occurs
+    twice are they sorted, and those that share one compared by their words.
     """
 
     def covered(at: Column) -> Column:
@@ -75,14 +75,20 @@ def repeated_words(words: Column, k: int = 8) -> Column:
         )
         return F.transform(both, lambda x: x["at"])
 
-    def windows(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - k)
-        hashed = F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, k)).alias("key"), i.alias("at"))))
-        suspects = let(hashed, twins)
-        exact = F.array_sort(
+    def compared(w: Column, keys: Column) -> Column:
+        suspects = let(F.sort_array(F.transform(keys, lambda key, i: F.struct(key.alias("key"), i.alias("at")))), twins)
+        exact = F.sort_array(
             F.transform(suspects, lambda i: F.struct(F.array_join(F.slice(w, i + 1, k), " ").alias("key"), i.alias("at")))
         )
-        return covered(F.array_sort(let(exact, twins)))
+        return covered(F.sort_array(let(exact, twins)))
+
+    def windows(w: Column) -> Column:
+        def keys(h: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+
+        hashed = let(F.transform(w, lambda x: F.xxhash64(x)), keys)
+        none = lambda c: F.size(F.array_distinct(c)) == F.size(c)
+        return let(hashed, lambda c: F.when(none(c), F.lit(0).cast("long")).otherwise(compared(w, c)))
 
     return let(words, lambda w: F.when(F.size(w) < k, F.lit(0).cast("long")).otherwise(windows(w)))
 
@@ -104,7 +110,7 @@ def measured(docs: DataFrame) -> DataFrame:
         left = F.col(f"no_{name}")
     sizes = [F.length("text"), *[F.length(f"no_{name}") for name in CLASSES]]
     counts = [(a - b).cast("double") for a, b in zip(sizes, sizes[1:], strict=False)] + [sizes[-1].cast("double")]
-    commons = F.filter(F.transform("words", F.lower), lambda w: w.isin(*WORDS))
+    commons = F.transform(F.filter("words", lambda w: F.lower(w).isin(*WORDS)), F.lower)
     tallied = let(
         commons,
         lambda c: F.transform(
@@ -116,7 +122,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "row",
         "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+        (F.length("text") - (F.length("no_sign") - F.length("no_space"))).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
@@ -258,10 +264,11 @@ def quality(docs: DataFrame) -> DataFrame:
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    Texts are read twice, for the references and for the verdicts, and not written.
+    Rows are measured once and written with their counts; references and verdicts read them back.
     """
-    refs = materialise(references(measured(docs.select("doc_id", "lang", "text")), LEAST_DOCS), "quality-references")
-    return judged(measured(docs), refs).where("kept").select("row.*")
+    rows = materialise(measured(docs), "quality-rows")
+    refs = materialise(references(rows, LEAST_DOCS), "quality-references")
+    return judged(rows, refs).where("kept").select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
