@@ -20,8 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for poor ones go."""
-    return op9_bayes.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the classifier takes for poor ones go.
+
+    It learns from all labelled ``documents``: the rules have already taken most poor ones from ``docs``.
+    """
+    read = spark.read.parquet
+    return op9_bayes.kept_rows(docs, read(f"{sf_dir}/labels.parquet"), read(f"{sf_dir}/documents.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

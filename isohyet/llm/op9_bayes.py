@@ -111,29 +111,38 @@ def strength(groups: DataFrame, prior: Column, low: float = 2.0, high: float = 1
     return high if excess <= 0 else float(min(high, max(low, got["within"] / got["n"] / excess - 1)))
 
 
-class Model:
-    """Weights of the shape model and posteriors of all hosts and paths.
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the shape model, from the labelled ones of ``docs``.
 
-    ``sample`` bounds the labelled documents that the model is fitted on (those of the
-    smallest hashes of their ids); all other figures come from all documents.
+    ``sample`` bounds the labelled ids (those of the smallest hashes), which are
+    broadcast to the documents so that no text is shuffled, and the rows fitted on.
     """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")
+    rows = shapes(docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"))
+    rows = rows.select("row.doc_id", *SHAPE).join(F.broadcast(known), "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), *SHAPE).limit(sample)
+    held = np.array([tuple(r) for r in rows.select(*SHAPE, F.col("quality").cast("double")).collect()])
+    held = held.reshape(-1, len(SHAPE) + 1)
+    x, y = held[:, :-1], held[:, -1]
+    return fit(x, y) if len(set(y.tolist())) == 2 else (np.zeros(len(SHAPE)), 0.0)
+
+
+class Model:
+    """A shape model and the posteriors of all hosts and paths of ``rows``, from all of them."""
 
-    def __init__(self, rows: DataFrame, labels: DataFrame, sample: int = 20_000):
-        known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1)")
-        known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        chosen = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), *SHAPE).join(known, "doc_id")
-        chosen = chosen.orderBy(F.xxhash64("doc_id"), *SHAPE).limit(sample)
-        held = np.array([tuple(r) for r in chosen.select(*SHAPE, F.col("quality").cast("double")).collect()])
-        held = held.reshape(-1, len(SHAPE) + 1)
-        x, y = held[:, :-1], held[:, -1]
-        self.weights, self.base = fit(x, y) if len(set(y.tolist())) == 2 else (np.zeros(len(SHAPE)), 0.0)
+    def __init__(self, rows: DataFrame, weights: np.ndarray, base: float):
+        self.weights, self.base = weights, base
         paths = self.scored(rows).groupBy("host", "lang").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"))
         paths = materialise(paths, "paths")
         hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
         self.mean = total["s"] / total["n"] if total["n"] else 0.5
-        k_host = strength(hosts, F.lit(self.mean))
-        p_host = (self.mean * k_host + F.col("s")) / (F.col("n") + k_host)
+        self.k_host = strength(hosts, F.lit(self.mean))
+        p_host = (self.mean * self.k_host + F.col("s")) / (F.col("n") + self.k_host)
         self.paths = materialise(paths.join(hosts.select("host", p_host.alias("p_host")), "host"), "path-posteriors")
         self.k_path = strength(self.paths, F.col("p_host"))
 
@@ -158,16 +167,19 @@ def _small(docs: DataFrame) -> DataFrame:
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_doc, p_host, p_path, p_final and kept of every document."""
     rows = _small(docs)
-    out = Model(rows, labels).judged(rows)
+    out = Model(rows, *fitted(docs, labels)).judged(rows)
     return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "p_doc", "p_host", "p_path", "p_final", "kept")
 
 
-def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def kept_rows(docs: DataFrame, labels: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns.
 
-    Texts are read twice, for the model and for the verdicts, and not written.
+    The shape model is fitted on the labelled rows of ``fit_on``, or of ``docs``: a
+    table that has lost its poor documents teaches nothing about them.  Posteriors
+    are those of ``docs``.  Texts are read twice, for these and for the verdicts.
     """
-    return Model(_small(docs), labels).judged(shapes(docs)).where("kept").select("row.*")
+    model = Model(_small(docs), *fitted(docs if fit_on is None else fit_on, labels))
+    return model.judged(shapes(docs)).where("kept").select("row.*")
 
 
 def op9_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
