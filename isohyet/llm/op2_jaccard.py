@@ -2,10 +2,12 @@
 
 Index.  Sets of like size share an instance of the index.  In it, each set is cut by
 the hash of its shingles into m segments; two sets that link differ in at most H
-shingles, so with m > H they agree in a segment.  An index list holds the sets that
+shingles, so they agree in at least m - H segments.  An index list holds the sets that
 agree in the segment at one position; lists are kept by (size class, position), so a
 probe skips every block of another position or size.  A set with more than m - H - 1
 empty segments lists those too, any other only its filled ones, which loses nothing.
+A set that is in fewer long lists than it must share with any partner leaves those
+lists: it meets each partner in another one.
 (Lists of single shingles were not used: the passages that many documents share make
 a few of them as long as the table.)
 
@@ -14,9 +16,11 @@ the list head that it meets most often; sets linked through heads need no furthe
 comparison with each other, as the component is known.  In lists whose sets are still
 in different components, each set is compared with the nearest of the members that
 stand for its lists' largest components, round by round while that links many.  In
-what is left, all other pairs of a list are tried, in blocks, and only pairs that
-sizes and a 512-bit parity map of the shingles do not rule out.  Every link is
-verified on the shingles of the whole texts.
+what is left, the other pairs of a list are tried, in blocks, and only pairs that meet
+in as many lists as they must and that sizes and parity maps of the shingles do not
+rule out.  A parity map has at least one bit for each shingle of the set, so the maps
+of two sets tell how much they differ at the least.  Every link is verified on the
+shingles of the whole texts.
 
 Rows: a text without words, or null, has an empty set, its own doc_id as component
 and no link.  A text with fewer than k words has one shingle, all its words.
@@ -40,10 +44,13 @@ from .shingles import WordHashes, mix, plain_words, shingle_set
 _SEEN = WordHashes()
 _LOW = np.uint64(0xFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-BITS = [f"b{i}" for i in range(8)]
+#: The low bits of a list's key name its size class.
+_CLASS = 63
 BLOCK = 256
 #: Candidates that a set is compared with in one round.
 NEAREST = 4
+#: Members from which a list is long.
+LONG = 32
 
 
 class Index:
@@ -54,33 +61,56 @@ class Index:
         self.num, self.den, self.bounds = num, den, [1]
         while self.bounds[-1] < 1 << 31:
             self.bounds.append(max(self.bounds[-1] + 1, -int(-self.bounds[-1] * grow // 1)))
-        self.differ = []
+        self.differ, self.m = [], []
         for nxt in self.bounds[1:]:
             small = nxt - 1
             large = small * den // num
-            self.differ.append((den - num) * (large + small) // (den + num))
-
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """The lists that a set belongs to."""
-        n = len(h)
-        own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        made = []
-        for c in (own, own - 1):
-            if c < 0 or (c < own and n * self.num > (self.bounds[c + 1] - 1) * self.den):
-                continue
-            differ = self.differ[c]
-            if not differ:  # sets that link are equal, and equal sets are one
-                continue
-            m = differ + 1 + -(-6 * (differ + 1) // 100) + 1
+            differ = (den - num) * (large + small) // (den + num)
+            self.differ.append(differ)
+            self.m.append(differ + 1 + -(-6 * (differ + 1) // 100) + 1)
+
+    def class_of(self, n: int) -> int:
+        return int(np.searchsorted(self.bounds, n, "right")) - 1
+
+    def classes(self, n: int) -> list[int]:
+        """The size classes that list a set of n shingles, its own first; none where only equal sets link."""
+        own = self.class_of(n)
+        return [c for c in (own, own - 1) if c >= 0 and (c == own or n * self.num <= (self.bounds[c + 1] - 1) * self.den) and self.differ[c]]
+
+    def segments(self, h: np.ndarray) -> np.ndarray:
+        """A 32-bit value for each segment of each class of the set; 0 where it is empty."""
+        made, mixed = [np.zeros(0, "<u4")], mix(h)
+        for c in self.classes(len(h)):
+            m = self.m[c]
             at = (h % np.uint64(m)).astype(np.int64)
-            mixed = mix(h)
             low = np.bincount(at, (mixed & _LOW).astype(float), m).astype(np.uint64)
             high = np.bincount(at, (mixed >> np.uint64(32)).astype(float), m).astype(np.uint64)
-            filled = np.bincount(at, minlength=m) > 0
+            value = np.maximum(mix(low + high * _STEP) & _LOW, np.uint64(1))
+            made.append(np.where(np.bincount(at, minlength=m) > 0, value, 0).astype("<u4"))
+        return np.concatenate(made)
+
+    def keys(self, n: int, segments: np.ndarray) -> np.ndarray:
+        """The lists that a set belongs to."""
+        made, at = [np.zeros(0, np.uint64)], 0
+        for c in self.classes(n):
+            m = self.m[c]
+            value, at = segments[at : at + m].astype(np.uint64), at + m
             place = mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 32))
-            keys = mix(mix(low + high * _STEP) * _STEP + place)
-            made.append(keys if m - filled.sum() > m - differ - 1 else keys[filled])
-        return np.concatenate(made) if made else np.zeros(0, np.uint64)
+            keys = (mix(value * _STEP + place) & ~np.uint64(_CLASS)) | np.uint64(c)
+            made.append(keys if self._all(c, value) else keys[value > 0])
+        return np.concatenate(made)
+
+    def _all(self, c: int, value: np.ndarray) -> bool:
+        return self.m[c] - np.count_nonzero(value) > self.m[c] - self.differ[c] - 1
+
+    def least(self, n: int, segments: np.ndarray) -> list[int]:
+        """For each class, the least number of lists that the set shares with any partner."""
+        made, at = [], 0
+        for c in self.classes(n):
+            value, at = segments[at : at + self.m[c]], at + self.m[c]
+            empty = self.m[c] - np.count_nonzero(value)
+            made.append(1 if self._all(c, value) else int(self.m[c] - self.differ[c] - empty))
+        return made
 
 
 def set_id(h: np.ndarray) -> int:
@@ -89,47 +119,54 @@ def set_id(h: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, k: int, words: Callable) -> DataFrame:
-    """doc_id, text hash, set size, set id and parity map of every row."""
+def parity_map(h: np.ndarray) -> np.ndarray:
+    """Of each of 512 or more places, a bit that tells if an odd number of shingles falls there."""
+    bits = max(512, 1 << max(0, len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype("u1")).view(np.int64)
+
+
+def _sets(docs: DataFrame, k: int, words: Callable, index: Index) -> DataFrame:
+    """doc_id, text hash, set size and set id of every row; the rest with a set's first row in a task alone."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            sizes, ids, maps = [], [], []
+            out = {name: [] for name in ("n", "sid", "map", "segments", "least", "class")}
             for text in batch.column(2):
                 h = shingle_set(words(text.as_py()), k, _SEEN)
-                sizes.append(len(h))
-                ids.append(set_id(h) if len(h) else None)
-                odd = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1
-                maps.append(np.packbits(odd.astype("u1")).view(np.int64))
-            bits = np.stack(maps, 1) if maps else np.zeros((8, 0), np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(b) for b in bits], names=["doc_id", "th", "n", "sid", *BITS])
-
-    schema = "doc_id long, th long, n long, sid long, " + ", ".join(f"{b} long" for b in BITS)
+                sid = set_id(h) if len(h) else None
+                new = sid is not None and sid not in done
+                if new and len(done) < 2_000_000:
+                    done.add(sid)
+                cut = index.segments(h) if new else None
+                row = (len(h), sid)
+                if new:
+                    row += (parity_map(h), cut.tobytes(), index.least(len(h), cut), index.class_of(len(h)))
+                for name, value in zip(out, row + (None,) * (6 - len(row)), strict=True):
+                    out[name].append(value)
+            columns = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "th", *out])
+
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int32()]
+    schema = "doc_id long, th long, n long, sid long, map array<long>, segments binary, least array<long>, class int"
     return docs.select("doc_id", "th", "text").mapInArrow(work, schema)
 
 
-def _lists(docs: DataFrame, k: int, words: Callable, index: Index) -> DataFrame:
+def _lists(rows: DataFrame, index: Index) -> DataFrame:
     """(key, sid, head): the sets of each index list after its first, the head."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # copies within a task are posted once
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                keys, ids, counts = [], [], []
-                for text in batch.column(0).slice(i, 500):
-                    h = shingle_set(words(text.as_py()), k, _SEEN)
-                    if not len(h) or (sid := set_id(h)) in done:
-                        continue
-                    if len(done) < 2_000_000:
-                        done.add(sid)
-                    keys.append(index.keys(h))
-                    ids.append(sid)
-                    counts.append(len(keys[-1]))
-                if keys:
-                    flat = np.concatenate(keys).view(np.int64)
-                    sids = np.repeat(np.array(ids, np.int64), counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(sids)], names=["key", "sid"])
+                part = batch.slice(i, 500)
+                keys = [
+                    index.keys(n, np.frombuffer(cut.as_py(), "<u4"))
+                    for n, cut in zip(part.column(0).to_pylist(), part.column(2), strict=True)
+                ]
+                sids = np.repeat(part.column(1).to_numpy(zero_copy_only=False), [len(x) for x in keys])
+                flat = np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(sids, pa.int64())], names=["key", "sid"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sid, head = None, None, None  # the last row and its list's head
@@ -156,14 +193,22 @@ def _lists(docs: DataFrame, k: int, words: Callable, index: Index) -> DataFrame:
                 [pa.array(keys[out]), pa.array(sids[out]), pa.array(heads[out])], names=["key", "sid", "head"]
             )
 
-    posted = docs.select("text").mapInArrow(post, "key long, sid long")
+    posted = rows.where(F.col("segments").isNotNull()).select("n", "sid", "segments").mapInArrow(post, "key long, sid long")
     dealt = posted.repartition("key").sortWithinPartitions("key", "sid")
     return dealt.mapInArrow(walk, "key long, sid long, head long")
 
 
 def _apart(a: str, b: str) -> Column:
-    """At least so many shingles differ."""
-    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITS[1:]), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+    """At least so many shingles differ; for sets whose sizes are within a factor of two."""
+    x, y = F.col(f"{a}.map"), F.col(f"{b}.map")
+
+    def folded(m: Column) -> Column:
+        half = (F.size(m) / 2).cast("int")
+        return F.zip_with(F.slice(m, F.lit(1), half), F.slice(m, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    small = F.least(F.size(x), F.size(y))
+    fit = lambda m: F.when(F.size(m) > small, folded(m)).otherwise(m)
+    return F.aggregate(F.zip_with(fit(x), fit(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> Column:
@@ -171,16 +216,24 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     both = F.col(f"{a}.n") + F.col(f"{b}.n")
     shared = F.ceil(both * num / F.lit(num + den) - 1e-9)
     sizes = (F.col(f"{a}.n") * den >= F.col(f"{b}.n") * num) & (F.col(f"{b}.n") * den >= F.col(f"{a}.n") * num)
-    return sizes & (_apart(a, b) <= both - 2 * shared)
+    return F.when(sizes, _apart(a, b) <= both - 2 * shared).otherwise(F.lit(False))
+
+
+def _known(docs: DataFrame, doc: Column, text_hash: Column) -> DataFrame:
+    """Adds __th, __doc and __none, which name a document's id and text in equi joins."""
+    none = doc.isNull()
+    return docs.withColumns({"__th": text_hash, "__doc": F.coalesce(doc, F.lit(0)), "__none": none})
+
 
+_KEY = ["__th", "__doc", "__none"]
 
-def _texts(needed: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sid, text) of the sets in ``needed(sid)``: one text for each, no others are shuffled."""
-    first = sets.groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("row")).join(needed.distinct(), "sid")
-    first = first.select("sid", F.col("row.doc_id").alias("doc_id"), F.col("row.th").alias("th"))
-    same = (F.col("d.th") == F.col("f.th")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
-    texts = docs.select("doc_id", "th", "text").alias("d").join(first.alias("f"), same).select("d.doc_id", "d.th", "sid", "text")
-    return materialise(texts.dropDuplicates(["doc_id", "th"]).select("sid", "text"), "jaccard-texts")
+
+def _texts(needed: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(sid, text) of the sets in ``needed(sid)``: one text for each."""
+    first = rows.groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("row")).join(needed.distinct(), "sid")
+    first = _known(first, F.col("row.doc_id"), F.col("row.th")).select("sid", *_KEY)
+    texts = _known(docs, F.col("doc_id"), F.col("th")).select("text", *_KEY).join(first, _KEY)
+    return materialise(texts.dropDuplicates(_KEY).select("sid", "text"), "jaccard-texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, words: Callable, num: int, den: int) -> DataFrame:
@@ -227,6 +280,23 @@ def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(open_keys, "key")
 
 
+def _without_long(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (key, sid, need): sets leave the long lists in which they need not meet a partner.
+
+    A set must share ``least`` lists of a class with any partner.  If fewer of its
+    lists are long, it meets each partner in a short one too, in at least ``need``.
+    """
+    kind = F.col("key").bitwiseAND(F.lit(_CLASS)).cast("int")
+    long = rows.groupBy("key").count().where(F.col("count") > LONG).select("key", F.lit(True).alias("long"))
+    marked = materialise(rows.join(long, "key", "left").withColumn("class", kind), "jaccard-lengths")
+    needs = sets.select("sid", "class", F.posexplode("least").alias("place", "need"))
+    needs = needs.select("sid", (F.col("class") - F.col("place")).alias("class"), "need")
+    held = marked.where("long").groupBy("sid", "class").agg(F.count("*").alias("held"))
+    needs = needs.join(held, ["sid", "class"], "left").withColumn("leaves", F.coalesce(F.col("held") < F.col("need"), F.lit(False)))
+    needs = needs.withColumn("need", F.when(F.col("leaves"), F.col("need") - F.col("held")).otherwise(F.col("need"))).drop("held")
+    return marked.join(needs, ["sid", "class"]).where("long is null or not leaves").select("key", "sid", "need")
+
+
 def _next_heads(rows: DataFrame, sets: DataFrame, tried: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """For each set the ``NEAREST`` members, by parity maps, of its lists' largest components.
 
@@ -248,21 +318,27 @@ def _next_heads(rows: DataFrame, sets: DataFrame, tried: DataFrame, turn: int, n
 
 def _with_maps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(sid, head) with sizes and parity maps of both sides as x and y."""
-    other = sets.select(F.col("sid").alias("head"), "n", *BITS)
-    return pairs.join(sets.alias("x"), "sid").join(other.alias("y"), "head")
+    own = sets.select("sid", "n", "map")
+    other = sets.select(F.col("sid").alias("head"), "n", "map")
+    return pairs.join(own.alias("x"), "sid").join(other.alias("y"), "head")
 
 
 def _open_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one list in different components that sizes and parity maps let stand."""
-    rows = rows.join(sets.select("sid", "n", *BITS), "sid")
+    """Pairs of different components that meet often enough and whose sizes and maps let them stand."""
+    rows = rows.join(sets.select("sid", "n"), "sid")
     blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(blocks, "key").withColumn("own", F.pmod("sid", "blocks").cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.withColumn("other", each).alias("x")
     right = rows.withColumn("other", each).alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
-    try_it = (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", num, den)
-    return left.join(right, meet & try_it).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    sizes = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
+    try_it = (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & sizes
+    need = F.least("x.need", "y.need").alias("need")
+    pairs = left.join(right, meet & try_it).select(F.col("x.sid").alias("sid"), F.col("y.sid").alias("head"), need)
+    often = pairs.groupBy("sid", "head").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need")
+    near = _with_maps(often, sets).where(_may_link("x", "y", num, den))
+    return near.select(F.col("sid").alias("a"), F.col("head").alias("b"))
 
 
 def linked(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, words: Callable = plain_words) -> DataFrame:
@@ -279,9 +355,10 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
     index = Index(num, den)
-    rows = materialise(_sets(docs, k, words), "jaccard-sets")
-    lists = materialise(_lists(docs, k, words, index), "jaccard-lists")
-    sets = rows.where("n > 0").groupBy("sid").agg(*[F.first(c).alias(c) for c in ["n", *BITS]])
+    rows = materialise(_sets(docs, k, words, index), "jaccard-sets")
+    lists = materialise(_lists(rows, index), "jaccard-lists")
+    first = [F.first(c).alias(c) for c in ("n", "map", "least", "class")]
+    sets = materialise(rows.where("map is not null").groupBy("sid").agg(*first), "jaccard-distinct")
     pairs = lists.groupBy("sid", "head").agg(F.count("*").alias("met"))
     pairs = _with_maps(pairs, sets).where(_may_link("x", "y", num, den))
     best = pairs.groupBy("sid").agg(F.max(F.struct("met", "head")).alias("m"))
@@ -291,7 +368,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
         texts = _texts(heads.select(F.explode(F.array("a", "b")).alias("sid")), docs, full)
         links = keep(_verified(heads, texts, k, words, num, den), "jaccard-links")
     roots, tried, turn = components(links), heads, 0
-    rows_open = materialise(_still_open(_open_rows(lists, roots), roots), "jaccard-open")
+    rows_open = materialise(_still_open(_without_long(_open_rows(lists, roots), sets), roots), "jaccard-open")
     texts = _texts(rows_open.select("sid"), docs, full)
     while True:
         heads = materialise(_next_heads(rows_open, sets, tried, turn, num, den), "jaccard-heads")
@@ -325,14 +402,16 @@ def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
 
     That is the row of the smallest (doc_id, text hash); rows without words all stay.
     """
-    groups = linked(docs, k, num, den, words)
-    keep = groups.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("row"))
-    keep = keep.select(F.col("row.doc_id").alias("_doc"), F.col("row.th").alias("_th"))
+    groups = linked(docs, k, num, den, words).where("n_shingles > 0")
+    lowest = groups.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("row"))
+    keep = _known(lowest, F.col("row.doc_id"), F.col("row.th")).select(*_KEY)
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = (marked["_th"] == keep["_th"]) & marked["doc_id"].cast("long").eqNullSafe(keep["_doc"])
-    stay = marked.where(worded).join(keep, same, "left_semi").dropDuplicates(["doc_id", "_th"])
-    return stay.unionByName(marked.where(~worded)).drop("_th")
+    marked = _known(docs, F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    stay = marked.where(worded)
+    if groups.groupBy("doc_id", "th").count().where("count > 1").head(1):  # rows alike: one of them stays
+        stay = stay.dropDuplicates(_KEY)
+    stay = stay.join(keep, _KEY, "left_semi")
+    return stay.unionByName(marked.where(~worded)).drop(*_KEY)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
