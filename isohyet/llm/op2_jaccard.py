@@ -355,27 +355,32 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
     index = Index(num, den)
-    rows = materialise(_sets(docs, k, words, index), "jaccard-sets")
-    lists = materialise(_lists(rows, index), "jaccard-lists")
-    first = [F.first(c).alias(c) for c in ("n", "map", "least", "class")]
-    sets = materialise(rows.where("map is not null").groupBy("sid").agg(*first), "jaccard-distinct")
+    with passing() as keep:  # the segments are on disk only until the lists are
+        wide = materialise(_sets(docs, k, words, index), "jaccard-segments")
+        rows = keep(wide.select("doc_id", "th", "n", "sid"), "jaccard-rows")
+        first = [F.first(c).alias(c) for c in ("n", "map", "least", "class")]
+        sets = keep(wide.where("map is not null").groupBy("sid").agg(*first), "jaccard-sets")
+        lists = keep(_lists(wide, index), "jaccard-lists")
+    full = rows.where("n > 0")
+
+    def linking(pairs: DataFrame) -> DataFrame:
+        with passing() as keep:
+            texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs, full)
+            return keep(_verified(pairs, texts, k, words, num, den), "jaccard-links")
+
     pairs = lists.groupBy("sid", "head").agg(F.count("*").alias("met"))
     pairs = _with_maps(pairs, sets).where(_may_link("x", "y", num, den))
     best = pairs.groupBy("sid").agg(F.max(F.struct("met", "head")).alias("m"))
     heads = materialise(best.select(F.col("sid").alias("a"), F.col("m.head").alias("b")), "jaccard-heads")
-    full = rows.where("n > 0")
-    with passing() as keep:
-        texts = _texts(heads.select(F.explode(F.array("a", "b")).alias("sid")), docs, full)
-        links = keep(_verified(heads, texts, k, words, num, den), "jaccard-links")
+    links = linking(heads)
     roots, tried, turn = components(links), heads, 0
     rows_open = materialise(_still_open(_without_long(_open_rows(lists, roots), sets), roots), "jaccard-open")
-    texts = _texts(rows_open.select("sid"), docs, full)
     while True:
         heads = materialise(_next_heads(rows_open, sets, tried, turn, num, den), "jaccard-heads")
         asked = heads.count()
         if not asked:
             break
-        more = materialise(_verified(heads, texts, k, words, num, den), "jaccard-links")
+        more = linking(heads)
         tried, turn, found = tried.unionByName(heads), turn + 1, more.count()
         if found:
             links = links.unionByName(more)
@@ -386,7 +391,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(_open_pairs(rows_open, sets, num, den).join(both, ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.head(1):
-        more = materialise(_verified(rest, texts, k, words, num, den), "jaccard-links")
+        more = linking(rest)
         if more.head(1):
             roots = components(links.unionByName(more))
     nodes = full.groupBy("sid").agg(F.min("doc_id").alias("low"))
