@@ -9,8 +9,8 @@ Documents are probed as they are read, whole, and each candidate is verified by
 comparing the shingles' words.
 
 Rows: a document or item without words, or with a null or empty text, matches
-nothing.  An item with fewer than k words matches only a document that consists of
-the same words.  Repeated documents and items each give their rows; null doc_ids are
+nothing.  An item with fewer than k words is found where these words stand in a row,
+by windows of its own length.  Repeated documents and items each give their rows; null doc_ids are
 kept; extra columns are ignored; an empty table on either side gives no row.
 """
 
@@ -57,6 +57,18 @@ def sketches(items: DataFrame, k: int, least: int) -> DataFrame:
     return rows.mapInArrow(work, "h long, item_id long, text string")
 
 
+def contains(words: list[str], wanted: list[str], k: int, least: int) -> tuple[int, int] | None:
+    """(shared, all) shingles of the item ``wanted``, if ``words`` hold enough of them."""
+    grams = texts_of(wanted, k)
+    both = len(grams & texts_of(words, min(k, max(1, len(wanted)))))
+    return (both, len(grams)) if grams and 100 * both >= least * len(grams) else None
+
+
+def _probes(h: np.ndarray, k: int, short: list[int]) -> np.ndarray:
+    """Hashes of the windows of k words and of the lengths of shorter items."""
+    return np.concatenate([windows(h, n) for n in {k, *short}]) if len(h) else h
+
+
 class Matcher:
     """The items of one broadcast: finds those that a text contains."""
 
@@ -64,7 +76,7 @@ class Matcher:
         self.k, self.least = k, least
         self.names = [i for i, _ in items]
         self.words = [letters_and_digits(t) for _, t in items]
-        self.grams = [texts_of(w, k) for w in self.words]
+        self.short = sorted({len(w) for w in self.words if 0 < len(w) < k})
         self.by_hash = defaultdict(list)
         for n, words in enumerate(self.words):
             h = np.unique(windows(word_hashes(words, _SEEN), k))
@@ -77,17 +89,13 @@ class Matcher:
         if not len(self.probe):
             return []
         words = letters_and_digits(text)
-        h = windows(word_hashes(words, _SEEN), self.k)
+        h = _probes(word_hashes(words, _SEEN), self.k, self.short)
         at = np.minimum(np.searchsorted(self.probe, h), len(self.probe) - 1)
         hits = np.unique(h[self.probe[at] == h]).tolist()
-        if not hits:
-            return []
-        own, out = texts_of(words, self.k), []
+        out = []
         for n in sorted({n for x in hits for n in self.by_hash[x]}):
-            both, size = len(self.grams[n] & own), len(self.grams[n])
-            whole = len(self.words[n]) >= self.k or self.words[n] == words
-            if whole and 100 * both >= self.least * size:
-                out.append((self.names[n], both, size))
+            if held := contains(words, self.words[n], self.k, self.least):
+                out.append((self.names[n], *held))
         return out
 
 
@@ -130,9 +138,9 @@ def clean_rows(docs: DataFrame, items: DataFrame, k: int = 5, least: int = 80, b
     """The rows of ``docs`` that contain no item, with all their columns."""
     shared = _shared(items, broadcast_bytes)
     if shared is None:
-        marked = docs.withColumn("_th", F.xxhash64("text"))
-        bad = _by_join(marked.select(F.col("_th").alias("doc_id"), "text"), items, k, least).select(F.col("doc_id").alias("_th"))
-        return marked.join(bad.distinct(), "_th", "left_anti").drop("_th")
+        marked = docs.withColumn("__th", F.xxhash64("text"))
+        bad = _by_join(marked.select(F.col("__th").alias("doc_id"), "text"), items, k, least).select(F.col("doc_id").alias("__th"))
+        return marked.join(bad.distinct(), "__th", "left_anti").drop("__th")
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,24 +151,49 @@ def clean_rows(docs: DataFrame, items: DataFrame, k: int = 5, least: int = 80, b
     return docs.mapInArrow(work, docs.schema)
 
 
-def _by_join(docs: DataFrame, items: DataFrame, k: int, least: int) -> DataFrame:
-    """The same result for items that no task can hold: sketches meet shingles in a join."""
+def _bitmap(marks: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter with one hash: whose bit of ``2 ** bits`` is set for each mark.
+
+    Built by SQL in pieces of 4 kB; its size is a parameter, not the marks'.
+    """
+    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    pieces = marks.groupBy(F.shiftright(place, 15).alias("piece")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("map")
+    )
+    out = np.zeros((1 << bits) // 8, "u1")
+    for row in pieces.toLocalIterator():
+        out[row["piece"] * 4096 : (row["piece"] + 1) * 4096] = np.frombuffer(row["map"], "u1")
+    return out
+
+
+def _by_join(docs: DataFrame, items: DataFrame, k: int, least: int, bits: int = 26) -> DataFrame:
+    """The same result for items that no task can hold: sketches meet shingles in a join.
+
+    A filter of 8 MB of the sketches' hashes goes to the tasks, so that only shingles
+    that may meet a sketch are shuffled.
+    """
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = filter_.value
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.unique(windows(word_hashes(letters_and_digits(text.as_py()), _SEEN), k)).view(np.int64)
+                h = np.unique(_probes(word_hashes(letters_and_digits(text.as_py()), _SEEN), k, short))
+                low = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+                h = h[(seen[low >> 3] >> (low & 7).astype("u1")) & 1 == 1].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([row] * len(h), pa.int64())], names=["h", "row"])
 
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = {len(letters_and_digits(t.as_py())) for t in batch.column(0)}
+            yield pa.RecordBatch.from_arrays([pa.array([n for n in made if 0 < n < k], pa.int64())], names=["n"])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {"doc_id": [], "item_id": [], "shared": [], "item_shingles": []}
             for doc, text, item, item_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, wanted = letters_and_digits(text), letters_and_digits(item_text)
-                grams = texts_of(wanted, k)
-                both = len(grams & texts_of(words, k))
-                if (len(wanted) >= k or wanted == words) and 100 * both >= least * len(grams):
-                    for name, v in zip(out, (doc, item, both, len(grams)), strict=True):
+                held = contains(letters_and_digits(text), letters_and_digits(item_text), k, least)
+                if held:
+                    for name, v in zip(out, (doc, item, *held), strict=True):
                         out[name].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
 
@@ -172,7 +205,9 @@ def _by_join(docs: DataFrame, items: DataFrame, k: int, least: int) -> DataFrame
         items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text"),
         "contamination-items",
     )
+    short = [r["n"] for r in listed.select("text").mapInArrow(lengths, "n long").distinct().collect()]  # at most k - 1
     marks = sketches(listed.select(F.col("item").alias("item_id"), "text"), k, least).select("h", F.col("item_id").alias("item"))
+    filter_ = docs.sparkSession.sparkContext.broadcast(_bitmap(marks, bits))
     found = numbered.select("row", "text").mapInArrow(probes, "h long, row long").join(marks, "h").select("row", "item").distinct()
     pairs = found.join(numbered, "row").join(listed.withColumnRenamed("text", "item_text"), "item")
     return pairs.select("doc_id", "text", "item_id", "item_text").mapInArrow(verify, _SCHEMA)
