@@ -7,11 +7,12 @@ size.  Index lines (reversed-host URL key, date, JSON) are sorted over all captu
 cut into blocks of ``block_lines`` lines, each a gzip member, and a sparse directory
 keeps each block's first key, file, offset and length.
 
-Reading.  ``lookup`` finds a URL's captures by a binary search of the parts' first
-keys, then of one part's directory, and range reads of blocks and records;
-``read_back`` reads every record through the index.
+Reading.  ``search`` finds URLs' captures by a binary search of the parts' first keys,
+then of one part's directory; a block that several URLs need is read once.
+``lookup`` adds range reads of the records, ``read_back`` what they say of their pages.
 
-Rows: a null html is an empty payload; a null URL has an empty key; a null page_id
+Rows: a null html is an empty payload; a null URL has an empty key; characters that are
+not printable ASCII are percent-encoded in keys, also those of unreadable URLs; a null page_id
 comes after all others and is given back as null; rows alike in page_id, URL and
 payload are all responses; extra columns are ignored; an empty table gives no record.
 """
@@ -25,7 +26,8 @@ import json
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from functools import lru_cache
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,16 +41,22 @@ _INDEX = "key string, page_id long, url string, file string, offset long, length
 _BLOCKS = "part long, first_key string, file string, offset long, length long, lines long"
 
 
+_PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
+
+
 def url_key(url: str | None) -> str:
-    """The URL with its host reversed: ``http://a.example.org/x`` is ``org,example,a)/x``."""
+    """The URL with its host reversed: ``http://a.example.org/x`` is ``org,example,a)/x``.
+
+    A key holds neither spaces nor line ends, whatever the URL holds.
+    """
     try:
         at = urlsplit((url or "").strip())
         host, port = at.hostname or "", at.port
     except ValueError:
-        return url or ""
+        return quote(url or "", safe=_PRINTABLE)
     port = f":{port}" if port else ""
     query = f"?{at.query}" if at.query else ""
-    return f"{','.join(reversed(host.split('.')))}{port}){at.path or '/'}{query}"
+    return quote(f"{','.join(reversed(host.split('.')))}{port}){at.path or '/'}{query}", safe=_PRINTABLE)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
@@ -98,12 +106,14 @@ def write_archives(
         F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("sha")
     ).withColumn("size", F.octet_length("payload").cast("long"))
     rank = F.struct(F.col("page_id").isNull().alias("n"), "page_id", F.coalesce("url", F.lit("")).alias("u"))
-    first = rows.groupBy("sha", "size").agg(F.min(rank).alias("first"))
+    first = rows.groupBy("sha", "size").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    # written, so that Spark may split a payload with very many copies in the join
+    first = materialise(first.where("n > 1").drop("n"), "warc-first")
     other = (F.col("size") >= min_bytes) & (rank != F.col("first"))
-    # only revisits are sent to the payloads, by page: copies of one payload meet nowhere
+    # only revisits are sent to the payloads, and these go by page
     again = rows.select("page_id", "url", "sha", "size").join(first, ["sha", "size"]).where(other)
     again = again.select("page_id", "url", "sha", F.coalesce(F.col("first.page_id").cast("string"), F.lit("None")).alias("ref"))
-    again = again.dropDuplicates(["page_id", "url", "sha"]).alias("again")
+    again = materialise(again.dropDuplicates(["page_id", "url", "sha"]), "warc-again").alias("again")
     same = F.expr("rows.page_id <=> again.page_id AND rows.url <=> again.url AND rows.sha = again.sha")
     ready = rows.alias("rows").join(again, same, "left").select("rows.page_id", "rows.url", "payload", "rows.sha", "ref")
 
@@ -159,7 +169,7 @@ def write_index(index: DataFrame, folder: str, block_lines: int = 1000) -> DataF
         for batch in batches:
             for key, page, url, file, offset, length, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 facts = {"page": page, "url": url, "file": file, "offset": offset, "length": length, "kind": kind}
-                lines.append((key, f"{key.replace(' ', '%20')} 20240101000000 {json.dumps(facts)}\n"))
+                lines.append((key, f"{key} 20240101000000 {json.dumps(facts)}\n"))
                 if len(lines) == block_lines:
                     close()
         if lines:
@@ -178,23 +188,66 @@ def write_index(index: DataFrame, folder: str, block_lines: int = 1000) -> DataF
 
 def block_entries(data: bytes) -> list[tuple[str, dict]]:
     """(key, facts) of each line of one compressed block."""
-    lines = gzip.decompress(data).decode().splitlines()
+    lines = gzip.decompress(data).decode().split("\n")[:-1]
     return [(key, json.loads(facts)) for key, _, facts in (line.split(" ", 2) for line in lines)]
 
 
-def read_back(directory: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record.
+def search(urls: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """(url, page_id, kind, file, offset, length) of all captures of the distinct ``urls(url)``.
 
-    Blocks are read first; their entries are then dealt by archive and read in the
-    order of their offsets.
+    The parts' first keys are as many as the index has parts; each task opens the
+    directories of the parts it needs.  Blocks are then dealt out and each read once.
     """
+    firsts = [tuple(r) for r in directory.groupBy("part").agg(F.min("first_key")).orderBy("part").collect()]
+    blocks = max(1, min(10_000, directory.count()))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = [k for _, k in firsts]
+
+        @lru_cache(256)
+        def opened_part(part: int) -> tuple[list, list]:
+            listed = json.loads(get(f"{folder}/directory-{part:06d}.json"))
+            return listed, [x[0] for x in listed]
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                facts = [f for _, f in block_entries(get(uri, offset, length))]
-                columns = [pa.array([f[k] for f in facts]) for k in ("file", "offset", "length")]
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "offset", "length"])
+            out = {"url": [], "part": [], "offset": [], "length": []}
+            for url in batch.column(0).to_pylist():
+                key = url_key(url)
+                for at in range(max(0, bisect_left(keys, key) - 1), bisect_right(keys, key)):
+                    listed, starts = opened_part(firsts[at][0])
+                    for _, offset, length in listed[max(0, bisect_left(starts, key) - 1) : bisect_right(starts, key)]:
+                        for k, v in zip(out, (url, firsts[at][0], offset, length), strict=True):
+                            out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=addresses)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}
+        for batch in batches:
+            out = {k: [] for k in captures.names}
+            for url, part, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, offset) != last:
+                    last, held = (part, offset), {}
+                    for _, facts in block_entries(get(f"{folder}/index-{part:06d}.cdx.gz", offset, length)):
+                        held.setdefault(facts["url"], []).append(facts)
+                for facts in held.get(url, ()):
+                    for k, v in zip(out, (url, *(facts[x] for x in ("page", "kind", "file", "offset", "length"))), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=captures)
+
+    addresses = pa.schema([("url", pa.string()), ("part", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
+    captures = pa.schema(
+        [("url", pa.string()), ("page_id", pa.int64()), ("kind", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
+    )
+    found = urls.select("url").distinct().mapInArrow(find, "url string, part long, offset long, length long")
+    dealt = found.repartition(blocks, "part", "offset").sortWithinPartitions("part", "offset")
+    return dealt.mapInArrow(read, "url string, page_id long, kind string, file string, offset long, length long")
+
+
+def read_back(urls: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the captures of ``urls(url)``.
+
+    Captures are dealt by archive and read in the order of their offsets.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, source = None, None
@@ -211,11 +264,10 @@ def read_back(directory: DataFrame) -> DataFrame:
             )
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    n = max(1, min(10_000, directory.count()))
-    lines = directory.select("file", "offset", "length").repartition(n, "file", "offset")
-    lines = lines.mapInArrow(entries, "file string, offset long, length long")
-    lines = lines.repartition("file").sortWithinPartitions("file", "offset")
-    return lines.mapInArrow(
+    files = max(1, min(10_000, directory.count()))  # blocks stand for the amount of records
+    found = search(urls, directory, folder).select("file", "offset", "length")
+    dealt = found.repartition(files, "file").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(
         records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
 
@@ -232,38 +284,17 @@ def verdict(data: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def lookup(urls: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
-    """(url, page_id, record_type, record) of all captures of ``urls(url)``.
-
-    The parts' first keys are as many as the index has parts; each task opens the
-    directories of the parts it needs and reads no other block.
-    """
-    firsts = [tuple(r) for r in directory.groupBy("part").agg(F.min("first_key")).orderBy("part").collect()]
+    """(url, page_id, record_type, record) of all captures of ``urls(url)``."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held = [k for _, k in firsts], {}
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"url": [], "page_id": [], "record_type": [], "record": []}
-            for url in batch.column(0).to_pylist():
-                key = url_key(url)
-                for at in range(max(0, bisect_left(keys, key) - 1), bisect_right(keys, key)):
-                    part = firsts[at][0]
-                    if part not in held:
-                        held[part] = json.loads(get(f"{folder}/directory-{part:06d}.json"))
-                    blocks = held[part]
-                    starts = [b[0] for b in blocks]
-                    for first, offset, length in blocks[max(0, bisect_left(starts, key) - 1) : bisect_right(starts, key)]:
-                        for _, facts in block_entries(get(f"{folder}/index-{part:06d}.cdx.gz", offset, length)):
-                            if facts["url"] == url:
-                                found = gzip.decompress(get(facts["file"], facts["offset"], facts["length"]))
-                                for k, v in zip(out, (url, facts["page"], facts["kind"], found), strict=True):
-                                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(
-                out, schema=pa.schema([("url", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("record", pa.binary())])
-            )
+            url, page, kind, *places = batch.columns
+            found = [gzip.decompress(get(*x)) for x in zip(*(c.to_pylist() for c in places), strict=True)]
+            yield pa.RecordBatch.from_arrays([url, page, kind, pa.array(found, pa.binary())], names=["url", "page_id", "record_type", "record"])
 
-    return urls.select("url").mapInArrow(work, "url string, page_id long, record_type string, record binary")
+    return search(urls, directory, folder).mapInArrow(records, "url string, page_id long, record_type string, record binary")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = fresh_path(spark, "warc")
-    return read_back(write_index(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder), folder))
+    folder, pages = fresh_path(spark, "warc"), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return read_back(pages, write_index(write_archives(pages, folder), folder), folder)
