@@ -6,8 +6,8 @@ shingles, so they agree in at least m - H segments.  An index list holds the set
 agree in the segment at one position; lists are kept by (size class, position), so a
 probe skips every block of another position or size.  A set with more than m - H - 1
 empty segments lists those too, any other only its filled ones, which loses nothing.
-A set that is in fewer long lists than it must share with any partner leaves those
-lists: it meets each partner in another one.
+A set that must share r lists with any partner leaves its r - 1 longest ones, by one
+order of all lists: the shortest list that two partners share is left by neither.
 (Lists of single shingles were not used: the passages that many documents share make
 a few of them as long as the table.)
 
@@ -16,9 +16,8 @@ the list head that it meets most often; sets linked through heads need no furthe
 comparison with each other, as the component is known.  In lists whose sets are still
 in different components, each set is compared with the nearest of the members that
 stand for its lists' largest components, round by round while that links many.  In
-what is left, the other pairs of a list are tried, in blocks, and only pairs that meet
-in as many lists as they must and that sizes and parity maps of the shingles do not
-rule out.  A parity map has at least one bit for each shingle of the set, so the maps
+what is left, the other pairs of a list are tried, in blocks, and only pairs that
+sizes and parity maps of the shingles do not rule out.  A parity map has at least one bit for each shingle of the set, so the maps
 of two sets tell how much they differ at the least.  Every link is verified on the
 shingles of the whole texts.
 
@@ -35,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialise, passing
@@ -45,19 +44,19 @@ _SEEN = WordHashes()
 _LOW = np.uint64(0xFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: The low bits of a list's key name its size class.
-_CLASS = 63
+_CLASS = 127
 BLOCK = 256
 #: Candidates that a set is compared with in one round.
 NEAREST = 4
-#: Members from which a list is long.
-LONG = 32
+#: Segments beyond the least number, in percent: sets with a few empty ones can still leave lists.
+SPARE = 12
 
 
 class Index:
     """Size classes and the number of segments in each, for similarity num / den."""
 
     def __init__(self, num: int, den: int):
-        grow = max(1.5, den / num)
+        grow = max(1.25, den / num)
         self.num, self.den, self.bounds = num, den, [1]
         while self.bounds[-1] < 1 << 31:
             self.bounds.append(max(self.bounds[-1] + 1, -int(-self.bounds[-1] * grow // 1)))
@@ -67,7 +66,7 @@ class Index:
             large = small * den // num
             differ = (den - num) * (large + small) // (den + num)
             self.differ.append(differ)
-            self.m.append(differ + 1 + -(-6 * (differ + 1) // 100) + 1)
+            self.m.append(differ + 1 + -(-SPARE * (differ + 1) // 100) + 1)
 
     def class_of(self, n: int) -> int:
         return int(np.searchsorted(self.bounds, n, "right")) - 1
@@ -119,9 +118,9 @@ def set_id(h: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def parity_map(h: np.ndarray) -> np.ndarray:
-    """Of each of 512 or more places, a bit that tells if an odd number of shingles falls there."""
-    bits = max(512, 1 << max(0, len(h) - 1).bit_length())
+def parity_map(h: np.ndarray, bits: int = 0) -> np.ndarray:
+    """Of each of so many places, 512 or more for each set, a bit that tells if an odd number of shingles falls there."""
+    bits = bits or max(512, 1 << max(0, len(h) - 1).bit_length())
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype("u1")).view(np.int64)
 
@@ -132,7 +131,7 @@ def _sets(docs: DataFrame, k: int, words: Callable, index: Index) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            out = {name: [] for name in ("n", "sid", "map", "segments", "least", "class")}
+            out = {name: [] for name in ("n", "sid", "map", "low", "segments", "least", "class")}
             for text in batch.column(2):
                 h = shingle_set(words(text.as_py()), k, _SEEN)
                 sid = set_id(h) if len(h) else None
@@ -142,14 +141,14 @@ def _sets(docs: DataFrame, k: int, words: Callable, index: Index) -> DataFrame:
                 cut = index.segments(h) if new else None
                 row = (len(h), sid)
                 if new:
-                    row += (parity_map(h), cut.tobytes(), index.least(len(h), cut), index.class_of(len(h)))
-                for name, value in zip(out, row + (None,) * (6 - len(row)), strict=True):
+                    row += (parity_map(h), parity_map(h, 512), cut.tobytes(), index.least(len(h), cut), index.class_of(len(h)))
+                for name, value in zip(out, row + (None,) * (7 - len(row)), strict=True):
                     out[name].append(value)
             columns = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "th", *out])
 
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int32()]
-    schema = "doc_id long, th long, n long, sid long, map array<long>, segments binary, least array<long>, class int"
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int32()]
+    schema = "doc_id long, th long, n long, sid long, map array<long>, low array<long>, segments binary, least array<long>, class int"
     return docs.select("doc_id", "th", "text").mapInArrow(work, schema)
 
 
@@ -211,12 +210,18 @@ def _apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(fit(x), fit(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def _may_link(a: str, b: str, num: int, den: int) -> Column:
+def _low_apart(a: str, b: str) -> Column:
+    """The same from the first maps of 512 bits, which are quicker to compare and weaker for large sets."""
+    pairs = ((F.get(f"{a}.low", F.lit(i)), F.get(f"{b}.low", F.lit(i))) for i in range(8))
+    return sum((F.bit_count(p.bitwiseXOR(q)) for p, q in pairs), F.lit(0))
+
+
+def _may_link(a: str, b: str, num: int, den: int, apart: Callable = _apart) -> Column:
     """False only for sets that cannot link."""
     both = F.col(f"{a}.n") + F.col(f"{b}.n")
     shared = F.ceil(both * num / F.lit(num + den) - 1e-9)
     sizes = (F.col(f"{a}.n") * den >= F.col(f"{b}.n") * num) & (F.col(f"{b}.n") * den >= F.col(f"{a}.n") * num)
-    return F.when(sizes, _apart(a, b) <= both - 2 * shared).otherwise(F.lit(False))
+    return F.when(sizes, apart(a, b) <= both - 2 * shared).otherwise(F.lit(False))
 
 
 def _known(docs: DataFrame, doc: Column, text_hash: Column) -> DataFrame:
@@ -280,21 +285,15 @@ def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(open_keys, "key")
 
 
-def _without_long(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (key, sid, need): sets leave the long lists in which they need not meet a partner.
-
-    A set must share ``least`` lists of a class with any partner.  If fewer of its
-    lists are long, it meets each partner in a short one too, in at least ``need``.
-    """
+def _shorter(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (key, sid) of each set's lists but its longest ones, one less than it must share with a partner."""
     kind = F.col("key").bitwiseAND(F.lit(_CLASS)).cast("int")
-    long = rows.groupBy("key").count().where(F.col("count") > LONG).select("key", F.lit(True).alias("long"))
-    marked = materialise(rows.join(long, "key", "left").withColumn("class", kind), "jaccard-lengths")
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("members")), "key").withColumn("class", kind)
     needs = sets.select("sid", "class", F.posexplode("least").alias("place", "need"))
     needs = needs.select("sid", (F.col("class") - F.col("place")).alias("class"), "need")
-    held = marked.where("long").groupBy("sid", "class").agg(F.count("*").alias("held"))
-    needs = needs.join(held, ["sid", "class"], "left").withColumn("leaves", F.coalesce(F.col("held") < F.col("need"), F.lit(False)))
-    needs = needs.withColumn("need", F.when(F.col("leaves"), F.col("need") - F.col("held")).otherwise(F.col("need"))).drop("held")
-    return marked.join(needs, ["sid", "class"]).where("long is null or not leaves").select("key", "sid", "need")
+    longest = Window.partitionBy("sid", "class").orderBy(F.desc("members"), "key")
+    ranked = rows.join(needs, ["sid", "class"]).withColumn("rank", F.row_number().over(longest))
+    return ranked.where("rank >= need").select("key", "sid")
 
 
 def _next_heads(rows: DataFrame, sets: DataFrame, tried: DataFrame, turn: int, num: int, den: int) -> DataFrame:
@@ -324,20 +323,17 @@ def _with_maps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components that meet often enough and whose sizes and maps let them stand."""
-    rows = rows.join(sets.select("sid", "n"), "sid")
+    """Pairs of one list in different components that sizes and parity maps let stand."""
+    rows = rows.join(sets.select("sid", "n", "low"), "sid")
     blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(blocks, "key").withColumn("own", F.pmod("sid", "blocks").cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.withColumn("other", each).alias("x")
     right = rows.withColumn("other", each).alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
-    sizes = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
-    try_it = (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & sizes
-    need = F.least("x.need", "y.need").alias("need")
-    pairs = left.join(right, meet & try_it).select(F.col("x.sid").alias("sid"), F.col("y.sid").alias("head"), need)
-    often = pairs.groupBy("sid", "head").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need")
-    near = _with_maps(often, sets).where(_may_link("x", "y", num, den))
+    try_it = (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", num, den, _low_apart)
+    pairs = left.join(right, meet & try_it).select(F.col("x.sid").alias("sid"), F.col("y.sid").alias("head")).distinct()
+    near = _with_maps(pairs, sets).where(_may_link("x", "y", num, den))
     return near.select(F.col("sid").alias("a"), F.col("head").alias("b"))
 
 
@@ -358,7 +354,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
     with passing() as keep:  # the segments are on disk only until the lists are
         wide = materialise(_sets(docs, k, words, index), "jaccard-segments")
         rows = keep(wide.select("doc_id", "th", "n", "sid"), "jaccard-rows")
-        first = [F.first(c).alias(c) for c in ("n", "map", "least", "class")]
+        first = [F.first(c).alias(c) for c in ("n", "map", "low", "least", "class")]
         sets = keep(wide.where("map is not null").groupBy("sid").agg(*first), "jaccard-sets")
         lists = keep(_lists(wide, index), "jaccard-lists")
     full = rows.where("n > 0")
@@ -374,7 +370,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
     heads = materialise(best.select(F.col("sid").alias("a"), F.col("m.head").alias("b")), "jaccard-heads")
     links = linking(heads)
     roots, tried, turn = components(links), heads, 0
-    rows_open = materialise(_still_open(_without_long(_open_rows(lists, roots), sets), roots), "jaccard-open")
+    rows_open = materialise(_still_open(_shorter(_open_rows(lists, roots), sets), roots), "jaccard-open")
     while True:
         heads = materialise(_next_heads(rows_open, sets, tried, turn, num, den), "jaccard-heads")
         asked = heads.count()
