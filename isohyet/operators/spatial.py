@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing, distance_km
+from ..shared import shared_dir
 
 KM_A_DEGREE = 2 * math.pi * 6371.0 / 360
 
@@ -65,9 +66,34 @@ def ranked(edges: DataFrame, k: int | Column, by: str = "src") -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def neighbours(left: DataFrame, right: DataFrame, k: int = 16, r_km: float = 150.0, **ids) -> DataFrame:
-    """k nearest within r_km, itself excluded before ranking; with bearings."""
-    out = ranked(within(left, right, r_km, **ids), k)
+def _start_km(right: DataFrame, k: int, r_km: float) -> float:
+    """A radius that holds about 2 k points where points are, from counts of cells."""
+    dy, nx, dx = _grid(r_km / 8)
+    cells = right.select("lat", "lon").dropna().groupBy(_row(F.col("lat"), dy).alias("y"), _column(F.col("lon"), nx, dx).alias("x"))
+    cells = cells.agg(F.count("*").alias("n"), F.avg("lat").alias("lat"))
+    near = cells.agg(F.sum(F.col("n") * F.col("n") / F.cos(F.radians("lat"))) / F.sum("n")).first()[0]
+    return math.sqrt(2 * k * dy * dx / (math.pi * near)) * KM_A_DEGREE if near else r_km
+
+
+def neighbours(left: DataFrame, right: DataFrame, k: int = 16, r_km: float = 150.0, lid: str = "fid", **ids) -> DataFrame:
+    """k nearest within r_km, itself excluded before ranking; with bearings.
+
+    The radius starts where about 2 k points are expected and doubles for the points
+    that still lack k, so candidates grow with the points and not with their square.
+    Each round is written to the checkpoint folder.
+    """
+    shared_dir(left.sparkSession)
+    r = min(r_km, max(_start_km(right, k, r_km), r_km / 256))
+    r, open_side, parts = r_km if 1.5 * r > r_km else r, left.select(lid, "lat", "lon").dropna(), []
+    while r < r_km:
+        found = ranked(within(open_side, right, r, lid=lid, **ids), k).checkpoint()
+        full = found.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("src")
+        parts.append(found.join(full, "src", "left_semi"))
+        open_side = open_side.join(full.withColumnRenamed("src", lid), lid, "left_anti").checkpoint()
+        r = min(2 * r, r_km)
+    out = ranked(within(open_side, right, r_km, lid=lid, **ids), k)
+    for p in parts:
+        out = out.unionByName(p)
     angle = bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return out.withColumn("bearing", angle).drop("lat1", "lon1", "lat2", "lon2")
 
@@ -78,14 +104,18 @@ def neighbours_then_filter(left: DataFrame, right: DataFrame, k: int, r_km: floa
 
 
 def nearest(left: DataFrame, right: DataFrame, start_km: float = 50.0, k: int = 1) -> DataFrame:
-    """k nearest at any distance: the radius doubles for points that still lack k."""
+    """k nearest at any distance: the radius doubles for points that still lack k.
+
+    Each round is written to the checkpoint folder, so that none is computed twice.
+    """
+    shared_dir(left.sparkSession)
     total = right.dropna(subset=["lat", "lon"]).count()
-    want, open_side, r, parts = min(k, total), left, start_km, []
+    want, open_side, r, parts = min(k, total), left.select("fid", "lat", "lon").dropna().checkpoint(), start_km, []
     while want:
-        found = ranked(within(open_side, right, r, keep_self=True), want)
-        full = found.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= want).select(F.col("src").alias("fid"))
-        parts.append(found.join(full.withColumnRenamed("fid", "src"), "src", "left_semi"))
-        open_side = open_side.dropna(subset=["lat", "lon"]).join(full, "fid", "left_anti")
+        found = ranked(within(open_side, right, r, keep_self=True), want).checkpoint()
+        full = found.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= want).select("src")
+        parts.append(found.join(full, "src", "left_semi"))
+        open_side = open_side.join(full.withColumnRenamed("src", "fid"), "fid", "left_anti").checkpoint()
         if r > 20100 or not open_side.head(1):
             break
         r *= 2
