@@ -382,7 +382,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, words: Callable) -> Dat
             links = links.unionByName(more)
             roots = components(links)
             rows_open = materialise(_still_open(rows_open, roots), "jaccard-open")
-        if 20 * found < asked:  # the last step, which tries all pairs, is now the shorter way
+        if 2 * found < asked:  # the last step, which tries all pairs, is now the shorter way
             break
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(_open_pairs(rows_open, sets, num, den).join(both, ["a", "b"], "left_anti"), "jaccard-rest")
