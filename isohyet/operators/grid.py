@@ -167,7 +167,11 @@ def merged_small(labelled: DataFrame, least: int) -> DataFrame:
 
 
 def climatology_fill(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.withColumn(value, F.coalesce(F.col(value), F.avg(value).over(Window.partitionBy(*keys))))
+    """Nulls as the mean of their group; a null key is a group of its own."""
+    group = F.struct(*keys)
+    means = df.groupBy(group.alias("_k")).agg(F.avg(value).alias("_m"))
+    out = df.withColumn("_k", group).join(means, "_k", "left")
+    return out.select(*[F.coalesce(value, "_m").alias(c) if c == value else c for c in df.columns])
 
 
 def shelter(points: DataFrame, dem: DataFrame, size: float, steps: int, value: str = "z") -> DataFrame:

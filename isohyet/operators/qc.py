@@ -7,6 +7,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import one_row
+from .stats import long_form
+
 #: Rejecting bits and accepted flags of hourly observations.
 REJECT_BITS = 115
 GOOD_FLAGS = ("V", "S", "C", "G")
@@ -86,7 +89,7 @@ def accepted(df: DataFrame, providers: list[str], stations: DataFrame, bins: Dat
 
 def winsorised(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values pulled to the table's exact quantiles; nulls stay."""
-    edges = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns])
+    edges = one_row(long_form(df, columns), columns, [low, high])
     out = df.join(F.broadcast(edges), F.lit(True))  # one row
     cut = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_{c}")[0]), F.col(f"_{c}")[1]))
     return out.withColumns({c: cut(c) for c in columns}).drop(*[f"_{c}" for c in columns])
@@ -94,9 +97,9 @@ def winsorised(df: DataFrame, columns: list[str], low: float = 0.01, high: float
 
 def filled_by_train_median(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     """Nulls as the median of training rows, 0 if there is none."""
-    middle = df.agg(*[F.median(F.when(train, F.col(c))).alias(f"_{c}") for c in columns])
+    middle = one_row(long_form(df.where(train), columns), columns, [0.5])
     out = df.join(F.broadcast(middle), F.lit(True))  # one row
-    return out.withColumns({c: F.coalesce(c, f"_{c}", F.lit(0.0)) for c in columns}).drop(*[f"_{c}" for c in columns])
+    return out.withColumns({c: F.coalesce(F.col(c), F.get(f"_{c}", F.lit(0)), F.lit(0.0)) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
 def unit_facts(df: DataFrame, key: str, column: str) -> DataFrame:

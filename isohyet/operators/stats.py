@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def long_form(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """(keys, col, x): one row for each value, nulls too."""
@@ -49,8 +51,11 @@ def unscaled(z: Column, bias: Column, scale: Column) -> Column:
 def breakpoints(df: DataFrame, keys: list[str], a: str, b: str, levels: int = 201) -> DataFrame:
     """(keys, xs, ys, n): equal quantile levels of both sensors' matched values."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    at = F.array(*[F.lit(i / (levels - 1)) for i in range(levels)])
-    return rows.groupBy(*keys).agg(F.percentile(a, at).alias("xs"), F.percentile(b, at).alias("ys"), F.count("*").alias("n"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).cast("double").alias("x")) for s, c in (("a", a), ("b", b))]))
+    long = rows.select(*keys, sides.alias("p")).select(*keys, F.col("p.side").alias("_side"), F.col("p.x").alias("_v"))
+    found = quantiles(long, [*keys, "_side"], "_v", [i / (levels - 1) for i in range(levels)])
+    of = lambda s: F.max(F.when(F.col("_side") == s, F.col("q")))
+    return found.groupBy(*keys).agg(of("a").alias("xs"), of("b").alias("ys"), F.max("n").alias("n"))
 
 
 def cross_calibrated(df: DataFrame, keys: list[str], x: str, y: str, reference: Column, name: str) -> DataFrame:
@@ -110,9 +115,20 @@ def calm_weight(speed: Column, theta: float, low: float) -> Column:
 def robust_scale(df: DataFrame, columns: list[str], train: Column, floor: float = 1e-6) -> DataFrame:
     """(col, scale): 1.4826 times the median absolute deviation of training rows."""
     rows = long_form(df.where(train), columns).where("x IS NOT NULL")
-    mid = rows.groupBy("col").agg(F.median("x").alias("m"))
-    off = rows.join(mid, "col").groupBy("col").agg(F.median(F.abs(F.col("x") - F.col("m"))).alias("d"))
-    return off.select("col", F.greatest(1.4826 * F.col("d"), F.lit(floor)).alias("scale"))
+    mid = quantiles(rows, ["col"], "x", [0.5]).select("col", F.col("q")[0].alias("m"))
+    off = rows.join(F.broadcast(mid), "col").select("col", F.abs(F.col("x") - F.col("m")).alias("d"))  # a row a column
+    return quantiles(off, ["col"], "d", [0.5]).select("col", F.greatest(1.4826 * F.col("q")[0], F.lit(floor)).alias("scale"))
+
+
+def diagnosis(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(col, raw, z, error): the 5th, 50th and 95th percentiles of each column and of its
+    min-max scaled values, and the largest error of scaling there and back."""
+    limits = min_max(df, columns).select("col", "bias", "scale")
+    rows = long_form(df, columns).where("x IS NOT NULL").join(F.broadcast(limits), "col")  # a row a column
+    rows = rows.withColumn("z", scaled(F.col("x"), F.col("bias"), F.col("scale")))
+    error = F.max(F.abs(unscaled(F.col("z"), F.col("bias"), F.col("scale")) - F.col("x"))).alias("error")
+    part = lambda c, name: quantiles(rows, ["col"], c, [0.05, 0.5, 0.95]).select("col", F.col("q").alias(name))
+    return part("x", "raw").join(part("z", "z"), "col").join(rows.groupBy("col").agg(error), "col")
 
 
 def mixed_hash(key: Column, seed: int) -> Column:
@@ -145,16 +161,23 @@ def station_split(stations: DataFrame, share: float, seed: int, key: str = "fid"
 
 
 def strata_holdout(stations: DataFrame, value: str, share: float, seed: int, key: str = "fid") -> DataFrame:
-    """A share of each quartile (right-closed, linear quantiles), one at least."""
-    q = stations.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    """A share of each quartile (right-closed, linear quantiles), one at least, in hash order.
+
+    As in ``station_split``, the cut is a hash value, so no quartile is sorted in one task.
+    """
+    q = quantiles(stations, [], value, [0.25, 0.5, 0.75]).select("q")
     rows = stations.join(F.broadcast(q), F.lit(True))  # one row
     v = F.col(value)
     part = F.when(v <= F.col("q")[0], 0).when(v <= F.col("q")[1], 1).when(v <= F.col("q")[2], 2).when(v.isNotNull(), 3)
     rows = rows.withColumn("stratum", part).where("stratum IS NOT NULL").drop("q")
-    order = Window.partitionBy("stratum").orderBy(mixed_hash(F.col(key), seed), key)
-    n = F.count("*").over(Window.partitionBy("stratum"))
-    want = F.greatest(F.lit(1), F.floor(n * share + 0.5))
-    return rows.withColumns({"_r": F.row_number().over(order), "_n": want}).where("_r <= _n").drop("_r", "_n")
+    rows = rows.withColumn("_h", mixed_hash(F.col(key), seed))
+    whole = Window.partitionBy("stratum")
+    buckets = rows.groupBy("stratum", "_h").agg(F.count("*").alias("_n"))  # at most a row a hash value
+    want = F.greatest(F.lit(1), F.floor(F.sum("_n").over(whole) * share + 0.5))
+    buckets = buckets.withColumns({"_want": want, "_before": F.sum("_n").over(whole.orderBy("_h")) - F.col("_n")})
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("stratum", "_h").orderBy(key)))
+    rows = rows.join(buckets.where("_before < _want"), ["stratum", "_h"]).where("_before + _r <= _want")
+    return rows.select(*stations.columns, "stratum")
 
 
 def source_query_split(rows: DataFrame, holdout: DataFrame, share: float, seed: int, day: str = "day", key: str = "fid") -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import climatology, grid, qc, series, spatial
+from ..operators import climatology, grid, qc, series, spatial, stats
 from ..shared import shared_dir
 from ..sources import sinks, text
 from ..streaming import streams
@@ -191,3 +191,75 @@ def st01_daily_stream(spark, d):
     run = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
     run.trigger(availableNow=True).start().awaitTermination()
     return b.rounded(spark.read.schema(out.schema).parquet(path))
+
+
+def _events(spark, d):
+    """The whole table of events as a stream."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    return events.select(F.col("user_id").alias("fid"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+
+
+def _run(stream, path):
+    """Runs a stream into Parquet until its input is read."""
+    run = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+@query(f"""WITH {b.EV}, r AS (SELECT *, row_number() OVER (PARTITION BY fid, day ORDER BY event_id DESC) AS r FROM ev)
+SELECT fid, day, event_id, round(value, 6) AS value FROM r WHERE r = 1""", dates=("day",))
+def st02_upsert(spark, d):
+    """Late rows merged by station and day, batch by batch; the row of the greatest id stays."""
+    path = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    rows = _events(spark, d).select("fid", F.to_date("ts").alias("day"), "event_id", "value")
+    run = rows.writeStream.foreachBatch(streams.upsert(path, ["fid", "day"], ["event_id"]))
+    run = run.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = max(p["batchId"] for p in run.recentProgress)
+    return b.rounded(spark.read.parquet(f"{path}/{last:09d}"))
+
+
+@query(f"WITH {b.EV} SELECT day, count(*) AS n, round(sum(value), 3) AS total FROM ev GROUP BY 1", dates=("day",))
+def st03_resume(spark, d):
+    """Two runs over one checkpoint: the second one finds everything done and adds nothing."""
+    path = f"{shared_dir(spark)}/resume-{uuid.uuid4().hex}"
+    rows = _events(spark, d).select("fid", F.to_date("ts").alias("day"), "value")
+    _run(rows, path)
+    days = _run(rows, path).groupBy("day").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return b.rounded(days, 3)
+
+
+@query(f"""WITH {b.EV}, g AS (SELECT fid, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY fid ORDER BY ts) <= INTERVAL 86401 SECOND THEN 0 ELSE 1 END AS fresh FROM ev),
+s AS (SELECT fid, ts, sum(fresh) OVER (PARTITION BY fid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT fid, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts))) AS BIGINT) + 86401 AS stop, count(*) AS n FROM s GROUP BY fid, run
+HAVING max(ts) + INTERVAL 86401 SECOND <= (SELECT max(ts) - INTERVAL 1 DAY FROM ev)""")
+def st04_runs(spark, d):
+    """Runs of consecutive days that the watermark has closed."""
+    runs = _run(streams.run_stream(_events(spark, d)), f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}")
+    return runs.select("fid", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("stop"), "n")
+
+
+@query(f"""WITH {b.EV}, w AS (SELECT fid, unnest(generate_series(CAST(floor(epoch(ts) / 86400) AS BIGINT) - 6, CAST(floor(epoch(ts) / 86400) AS BIGINT))) AS s FROM ev)
+SELECT fid, s AS start_day, count(*) AS n FROM w WHERE s % 2 = 0 AND s + 7 <= (SELECT (epoch(max(ts)) - 86400) / 86400 FROM ev) GROUP BY 1, 2 HAVING count(*) >= 3""")
+def st05_windows(spark, d):
+    """Windows of seven days, every second day, with three rows or more, that the watermark has closed."""
+    slides = _run(streams.sliding_stream(_events(spark, d), 7, 2, 3), f"{shared_dir(spark)}/slides-{uuid.uuid4().hex}")
+    return slides.select("fid", F.floor(F.unix_timestamp("start") / 86400).alias("start_day"), "n")
+
+
+@query(f"""WITH {b.SE}, x AS (SELECT 'a' AS col, CAST(a AS DOUBLE) AS x FROM se UNION ALL SELECT 'b', b FROM se), m AS (SELECT col, min(x) AS lo, max(x) - min(x) AS span FROM x GROUP BY 1),
+z AS (SELECT x.col, x, (x - lo) / span + 5e-8 AS z, lo, span FROM x JOIN m ON m.col = x.col)
+SELECT col, round(quantile_cont(x, 0.05), 5) AS x05, round(quantile_cont(x, 0.5), 5) AS x50, round(quantile_cont(x, 0.95), 5) AS x95, round(quantile_cont(z, 0.05), 5) AS z05, round(quantile_cont(z, 0.5), 5) AS z50,
+ round(quantile_cont(z, 0.95), 5) AS z95, round(max(abs((z - 5e-8) * span + lo - x)), 5) AS error FROM z GROUP BY 1""")
+def a20_diagnosis(spark, d):
+    got = stats.diagnosis(b.sensors(spark, d), ["a", "b"])
+    names = [F.col(c)[i].alias(f"{s}{p}") for c, s in (("raw", "x"), ("z", "z")) for i, p in enumerate(("05", "50", "95"))]
+    return b.rounded(got.select("col", *names, "error"), 5)
+
+
+@query()
+def g08_merged(spark, d):
+    """Patches below four cells joined to the neighbour of the longest border, over the whole grid."""
+    shared_dir(spark)
+    return grid.merged_small(grid.patches(b.cells(spark, d).withColumn("k", F.col("k") % 3), "k", 50), 4)

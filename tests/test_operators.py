@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from isohyet.functions import geo, met
 import isohyet.plans.queries_io
 import isohyet.plans.queries_sets  # noqa: F401
 from isohyet.operators import climatology, graph, grid, qc, series, spatial, stats
+from isohyet.operators.quantiles import quantiles
 from isohyet.plans import registry
 from isohyet.sources import sinks, text
 from isohyet.streaming import streams
@@ -243,3 +245,40 @@ def test_whole_tables_are_answered(spark):
     years = registry.QUERIES["w11_repeated_years"](spark, DATA).collect()
     assert len({r.channel for r in years}) > 1 and len({r.year for r in years}) > 1
     assert any(0 < r.repeated < r.days for r in years)
+
+
+def test_exact_quantiles(spark):
+    """Against linear interpolation of the sorted values: a hot group, ties, one value, a null key, none."""
+    rows = [("hot", float((i * 7919) % 10007)) for i in range(9000)] + [("tie", 2.0)] * 700 + [("tie", 5.0)] * 300
+    rows += [("one", 3.5), (None, 1.0), (None, 2.0), ("none", None), ("hot", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    at = [0.0, 0.01, 0.3, 0.5, 0.99, 1.0]
+    values = {}
+    for g, x in rows:
+        if x is not None:
+            values.setdefault(g, []).append(x)
+    for accuracy in (2000, 20):  # the sketch's error must not matter
+        got = {r.g: (r.q, r.n) for r in quantiles(df, ["g"], "x", at, accuracy=accuracy).collect()}
+        assert set(got) == set(values)
+        for g, xs in values.items():
+            assert got[g][1] == len(xs)
+            assert got[g][0] == pytest.approx(np.quantile(xs, at).tolist())
+    whole = quantiles(df, [], "x", at).collect()
+    assert whole[0].q == pytest.approx(np.quantile(sum(values.values(), []), at).tolist())
+    assert quantiles(df.limit(0), [], "x", at).count() == 0
+
+
+def test_strata_and_fill_without_global_sorts(spark):
+    s = spark.range(400).select(F.col("id").alias("fid"), (F.col("id") % 100).cast("double").alias("elev"))
+    kept = stats.strata_holdout(s, "elev", 0.15, 3)
+    n = {r.stratum: r.n for r in kept.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    assert n == {0: 15, 1: 15, 2: 15, 3: 15}
+    g = spark.createDataFrame([("a", 1.0), ("a", None), (None, 4.0), (None, None), ("b", None)], "k string, z double")
+    got = sorted(grid.climatology_fill(g, ["k"], "z").collect(), key=str)
+    assert Counter((r.k, r.z) for r in got) == Counter({("a", 1.0): 2, (None, 4.0): 2, ("b", None): 1})
+
+
+def test_winsorised_keeps_rows_of_empty_columns(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "k long, x double")
+    assert [r.x for r in qc.winsorised(df, ["x"]).collect()] == [None, None]
+    assert [r.x for r in qc.filled_by_train_median(df, ["x"], F.col("k") > 5).collect()] == [0.0, 0.0]
