@@ -20,7 +20,10 @@ def quantiles(df: DataFrame, keys: list[str], column: str, at: list[float], near
     levels = sorted({min(1.0, max(0.0, p + d)) for p in at for d in (-near, near)})
     edges = rows.groupBy("_k").agg(F.array_distinct(F.percentile_approx("_x", levels, accuracy)).alias("_e"))
     met = rows.join(edges if keys else F.broadcast(edges), "_k")  # without keys it is one row
-    cut = met.select("_k", "_x", F.size(F.filter("_e", lambda e: e <= F.col("_x"))).alias("_b"))
+    below = [F.coalesce((F.get("_e", F.lit(i)) <= F.col("_x")).cast("int"), F.lit(0)) for i in range(len(levels))]
+    # a plain sum is compiled, a lambda is not; for very many edges the sum is too long to compile
+    edge = sum(below, F.lit(0)) if len(below) <= 64 else F.size(F.filter("_e", lambda e: e <= F.col("_x")))
+    cut = met.select("_k", "_x", edge.alias("_b"))
 
     bins = cut.groupBy("_k", "_b").agg(F.count("*").alias("_n"))  # a few rows a group
     whole = Window.partitionBy("_k")
