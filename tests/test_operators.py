@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from isohyet.functions import geo, met
 import isohyet.plans.queries_io
 import isohyet.plans.queries_sets  # noqa: F401
-from isohyet.operators import climatology, graph, grid, qc, series, spatial, stats
+from isohyet.operators import climatology, graph, grid, layers, qc, series, spatial, stats
 from isohyet.operators.quantiles import quantiles
 from isohyet.plans import registry
 from isohyet.sources import sinks, text
@@ -282,3 +282,42 @@ def test_winsorised_keeps_rows_of_empty_columns(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "k long, x double")
     assert [r.x for r in qc.winsorised(df, ["x"]).collect()] == [None, None]
     assert [r.x for r in qc.filled_by_train_median(df, ["x"], F.col("k") > 5).collect()] == [0.0, 0.0]
+
+
+def test_probe_is_a_linear_regression(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=60)
+    month = np.arange(60) % 3
+    rows = [(int(m), [float(v) for v in a], float(b)) for m, a, b in zip(month, x, y, strict=True)]
+    rows += [(5, [1.0, 2.0, 3.0], 1.0)] * 7 + [(6, [1.0, 2.0, 3.0], 2.0)] * 9 + [(0, None, 1.0), (0, [1.0], 1.0), (0, [1.0, None, 2.0], 1.0), (1, [0.0, 0.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "m int, v array<double>, y double").repartition(7)
+    got = {r.m: (r.n, r.r2) for r in layers.probe(df, "m", "v", "y").collect()}
+    assert set(got) == {0, 1, 2, 6} and got[6] == (9, None)
+    for m in range(3):
+        a = np.column_stack([np.ones(20), x[month == m]])
+        rest = y[month == m] - a @ np.linalg.lstsq(a, y[month == m], rcond=None)[0]
+        spread = y[month == m] - y[month == m].mean()
+        assert got[m][0] == 20 and math.isclose(got[m][1], 1 - rest @ rest / (spread @ spread), abs_tol=1e-9)
+    assert layers.probe(df.limit(0), "m", "v", "y").count() == 0
+
+
+def test_cell_index_counts_heights_and_reaches_far(spark):
+    place = "fid long, lat double, lon double, elev double"
+    cells = spark.createDataFrame([(1, 45.0, -120.0, None), (2, 45.0, -120.0, 3000.0), (3, -45.0, 60.0, 0.0), (4, None, 1.0, 0.0)], place)
+    stations = spark.createDataFrame([(7, 45.0, -119.9, 0.0), (8, 45.0, -119.8, 3000.0), (9, 45.2, -120.0, None)], place)
+    flat = {(r.src, r["rank"]): r.dst for r in layers.cell_index(cells, stations, 2).collect()}
+    assert flat == {(1, 1): 7, (1, 2): 8, (2, 1): 7, (2, 2): 8, (3, 1): flat[3, 1], (3, 2): flat[3, 2]}
+    high = {(r.src, r["rank"]): r.dst for r in layers.cell_index(cells, stations, 1, 10.0).collect()}
+    assert high[1, 1] == 7 and high[2, 1] == 8 and set(high) == {(1, 1), (2, 1), (3, 1)}
+    few = layers.cell_index(cells, stations, 5)
+    assert few.count() == 9 and layers.cell_index(cells.limit(0), stations, 5).count() == 0
+
+
+def test_manifests_and_first_places(spark):
+    df = spark.createDataFrame([("a:b:c",), ("plain",), (None,)], "key string")
+    assert [r.fid for r in layers.keyed(df).collect()] == ["b:c", "plain", None]
+    place = "fid string, lat double, lon double, elev double"
+    a = spark.createDataFrame([("x", None, 2.0, 3.0)], place)
+    c = spark.createDataFrame([("x", 5.0, 5.0, 5.0), ("y", 6.0, 6.0, None)], place)
+    assert sorted(layers.discovered([a, c]).collect()) == [("x", None, 2.0, 3.0), ("y", 6.0, 6.0, None)]

@@ -3,6 +3,7 @@
 import pytest
 from helpers import DATA, same_rows
 
+import isohyet.plans.queries_chains
 import isohyet.plans.queries_graph
 import isohyet.plans.queries_io
 import isohyet.plans.queries_rows
