@@ -6,9 +6,13 @@ the data's.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import aspect_class
+
 
 def offsets(spark, cells: list[tuple[int, int, float]]) -> Column:
     """The kernel as an array of structs, to explode beside each cell."""
@@ -139,33 +143,76 @@ def borders(labelled: DataFrame) -> DataFrame:
     return near.join(left, ["row", "col"]).join(right, ["row2", "col2"]).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def merged_small(labelled: DataFrame, least: int) -> DataFrame:
+def merged_small(labelled: DataFrame, least: int | str, kind: str | None = None) -> DataFrame:
     """Patches below ``least`` cells join the neighbour of the longest border (ties: the
-    smallest id) and take its id, smallest (size, id) first, until none has a neighbour.
+    nearest direction where ``kind`` names a column of classes, then the smallest id) and
+    take its id, smallest (size, id) first, until none has a neighbour.  ``least`` may
+    name a column that is the same in all patches that touch.
 
     A round merges each small patch that comes before all its small neighbours, which
     gives the same as one merge after the other; only patches and borders are carried
     from round to round, by way of the checkpoint folder.
     """
-    sizes = labelled.groupBy("patch").agg(F.count("*").alias("size")).checkpoint()
+    bound = F.max(least) if isinstance(least, str) else F.lit(least)
+    sizes = labelled.groupBy("patch").agg(F.count("*").alias("size"), bound.alias("least")).checkpoint()
     edges = borders(labelled).checkpoint()
+    gap = F.lit(0)
+    if kind:  # of the patch that an id was first given to
+        kinds = labelled.groupBy("patch").agg(F.max(kind).alias("kind")).checkpoint()
+        gap = turn(F.col("ka"), F.col("kb"))
     names = sizes.select("patch", F.col("patch").alias("now")).checkpoint()
     while True:
-        small = sizes.where(F.col("size") < least)
+        small = sizes.where(F.col("size") < F.col("least"))
         first = edges.join(small.select(F.col("patch").alias("a"), F.col("size").alias("sa")), "a")
         first = first.join(small.select(F.col("patch").alias("b"), F.col("size").alias("sb")), "b", "left")
         late = F.coalesce(F.struct("sb", "b") < F.struct("sa", "a"), F.lit(False)) & F.col("sb").isNotNull()
-        moves = first.groupBy("a").agg(F.max(late.cast("int")).alias("late"), F.max(F.struct("n", (-F.col("b")).alias("m"))).alias("t"))
+        if kind:
+            first = first.join(kinds.select(F.col("patch").alias("a"), F.col("kind").alias("ka")), "a").join(kinds.select(F.col("patch").alias("b"), F.col("kind").alias("kb")), "b")
+        best = F.max(F.struct("n", (-gap).alias("g"), (-F.col("b")).alias("m")))
+        moves = first.groupBy("a").agg(F.max(late.cast("int")).alias("late"), best.alias("t"))
         moves = moves.where("late = 0").select("a", (-F.col("t.m")).alias("to")).checkpoint()
         if not moves.head(1):
             break
         renamed = lambda df, c: df.join(moves.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        sizes = renamed(sizes, "patch").groupBy("patch").agg(F.sum("size").alias("size")).checkpoint()
+        sizes = renamed(sizes, "patch").groupBy("patch").agg(F.sum("size").alias("size"), F.max("least").alias("least")).checkpoint()
         edges = renamed(renamed(edges, "a"), "b").where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")).checkpoint()
         names = renamed(names, "now").checkpoint()
     return labelled.join(names, "patch", "left").withColumn("patch", F.coalesce("now", "patch")).drop("now")
 
 
+def facet_scales(df: DataFrame, value: str, size: float, scales: list[tuple[float, int]], width: int, flat: float = 2.0, diagonal: bool = True) -> DataFrame:
+    """(scale, row, col, kind, facet): facets of a surface at each (radius, least cells).
+
+    The surface is smoothed by a Gaussian of half the radius, cut at the radius; cells of
+    one direction that touch are a facet, and small facets merge.  Cells without a slope
+    drop out.  ``width`` is the number of columns.  The scales lie below each other in
+    one grid, so that labels and merges take as many rounds as the slowest scale alone.
+    """
+    ends = df.agg(F.min("row").alias("r0"), F.max("row").alias("r1")).first()
+    stride, stacked = (ends.r1 - ends.r0 + 2 if ends.r0 is not None else 1), None
+    low = ends.r0 or 0
+    for i, (radius, least) in enumerate(scales):
+        reach = (radius / size) ** 2
+        kernel = disc(math.ceil(radius / size), lambda d2, reach=reach: math.exp(-2 * d2 / reach))
+        kernel = [k for k in kernel if k[0] ** 2 + k[1] ** 2 <= reach]
+        smooth = focal(df.select("row", "col", value), kernel, value).select("row", "col", F.col(f"{value}_focal").alias(value))
+        t = slope_aspect(smooth, value, size).where(F.col("slope").isNotNull())
+        kind = F.when(F.col("slope") < flat, F.lit(0)).otherwise(aspect_class(F.col("aspect")))
+        part = t.select((F.col("row") - low + i * stride).alias("row"), "col", kind.alias("kind"), F.lit(i).alias("scale"), F.lit(least).alias("least"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    stacked = stacked.checkpoint()
+    first = patches(stacked, "kind", width, diagonal).join(stacked.select("row", "col", "scale", "least"), ["row", "col"]).checkpoint()
+    merged = merged_small(first, "least", "kind").withColumnRenamed("patch", "facet").drop("kind")
+    kinds = first.groupBy(F.col("patch").alias("facet")).agg(F.max("kind").alias("kind"))
+    return merged.join(kinds, "facet").select("scale", (F.col("row") + low - F.col("scale") * stride).alias("row"), "col", "kind", "facet")
+
+
+def turn(a: Column, b: Column) -> Column:
+    """Steps of 45 degrees between two direction classes; 4 where one is flat."""
+    d = F.abs(a - b)
+    return F.when((a == 0) | (b == 0), F.lit(4)).otherwise(F.least(d, 8 - d))
+
+
 def climatology_fill(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Nulls as the mean of their group; a null key is a group of its own."""
     group = F.struct(*keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing
@@ -117,6 +117,34 @@ def sampled_slices(cell_of: DataFrame, slices: DataFrame) -> DataFrame:
     return cell_of.select("fid", "cell").join(slices, "cell")
 
 
+def star_windows(targets: DataFrame, edges: DataFrame, sequences: DataFrame, length: int) -> DataFrame:
+    """(fid, day, rank, dst, km, bearing, known, seq): each neighbour's last values on the target's day, zeros where some lack.
+
+    targets(fid, day); edges(src, dst, rank, km, bearing); sequences(fid, end, seq) as series.sequences gives them.
+    """
+    near = targets.select("fid", "day").join(edges.select(F.col("src").alias("fid"), "dst", "rank", "km", "bearing"), "fid")
+    seen = sequences.select(F.col("fid").alias("dst"), F.col("end").alias("day"), "seq")
+    out = near.join(seen, ["dst", "day"], "left").withColumn("known", F.col("seq").isNotNull())
+    return out.withColumn("seq", F.coalesce("seq", F.array_repeat(F.lit(0.0), length)))
+
+
+def same_day_neighbours(edges: DataFrame, obs: DataFrame, m: int, values: list[str], norms: DataFrame) -> DataFrame:
+    """(fid, day, rank, dst, km, z-score and known flag a value): the m nearest stations that report on the day.
+
+    edges(src, dst, km) hold no station with itself; norms is one row of {value}_mean and {value}_std.
+    """
+    days = obs.select(F.col("fid").alias("src"), "day")
+    other = obs.select(F.col("fid").alias("dst"), "day", *values)
+    near = Window.partitionBy("src", "day").orderBy("km", "dst")
+    met = edges.select("src", "dst", "km").join(days, "src").join(other, ["dst", "day"]).withColumn("rank", F.row_number().over(near))
+    met = met.where(F.col("rank") <= m).join(F.broadcast(norms))
+    made = []
+    for v in values:
+        made.append(F.coalesce((F.col(v) - F.col(f"{v}_mean")) / F.nullif(F.col(f"{v}_std"), F.lit(0.0)), F.lit(0.0)).alias(v))
+        made.append(F.col(v).isNotNull().alias(f"{v}_known"))
+    return met.select(F.col("src").alias("fid"), "day", "rank", "dst", "km", *made)
+
+
 def probe(rows: DataFrame, group: str, vector: str, target: str, least: int = 8) -> DataFrame:
     """(group, n, r2) of a linear regression of target on a vector; groups below ``least`` rows drop out.
 

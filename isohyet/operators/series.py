@@ -107,15 +107,18 @@ def runs(df: DataFrame, key: str, day: str, length: int) -> DataFrame:
     return out.select(key, F.date_sub(F.col(day), length - 1).alias("start"), F.col(day).alias("end"))
 
 
-def windows(df: DataFrame, key: str, day: str, value: str, length: int, stride: int, share: float) -> DataFrame:
-    """Windows of a leap-free spine whose share of values is at least ``share``."""
+def windows(df: DataFrame, key: str, day: str, value: str, length: int, stride: int, share: float, also: dict[str, int] | None = None) -> DataFrame:
+    """Windows of a leap-free spine whose share of values is at least ``share``, with as many values of other columns as ``also`` asks."""
     full = on_spine(df, key, day).where(~((F.month(day) == 2) & (F.dayofmonth(day) == 29)))
     at = F.row_number().over(Window.partitionBy(key).orderBy(day)) - 1
     full = full.withColumn("_i", at)
     first = F.greatest(F.lit(0), F.ceil((F.col("_i") - length + 1) / stride).cast("int"))
     full = full.withColumn("win", F.explode(F.sequence(first, F.floor(F.col("_i") / stride).cast("int"))))
-    out = full.groupBy(key, "win").agg(F.min(day).alias("start"), F.count("*").alias("n"), F.count(value).alias("valid"))
-    return out.where((F.col("n") == length) & (F.col("valid") >= share * length)).drop("n")
+    out = full.groupBy(key, "win").agg(F.min(day).alias("start"), F.count("*").alias("n"), F.count(value).alias("valid"), *[F.count(c).alias(f"_n_{c}") for c in also or {}])
+    enough = (F.col("n") == length) & (F.col("valid") >= share * length)
+    for c, least in (also or {}).items():
+        enough &= F.col(f"_n_{c}") >= least
+    return out.where(enough).drop("n", *[f"_n_{c}" for c in also or {}])
 
 
 def sequences(df: DataFrame, key: str, day: str, value: str, length: int) -> DataFrame:

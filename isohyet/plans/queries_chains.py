@@ -9,6 +9,7 @@ from ..operators import climatology, grid, layers, series, spatial, stats
 from ..shared import shared_dir
 from . import bindings as b
 from .queries_rows import HAV
+from .queries_sets import NB
 from .queries_tables import BS, CE, SLOPE, by_source, placed_cells
 from .registry import query
 
@@ -147,3 +148,39 @@ def g11_climatology(spark, d):
     days = climatology.evaluated(out.select("fid", F.array("c0", "c1", "c2").alias("coef")), "fid", 1)
     held = o.where("fid % 5 = 0").join(days, ["fid", "doy"])
     return b.rounded(stats.skill(held, ["fid"], "v", "value"), 4)
+
+
+@query()
+def g08_facets(spark, d):
+    """Facets of the surface at six smoothing radii, each with its least size."""
+    scales = [(800.0, 5), (12_000.0, 10), (24_000.0, 15), (36_000.0, 20), (48_000.0, 30), (60_000.0, 40)]
+    return grid.facet_scales(b.cells(spark, d), "z", 10_000.0, scales, 50, 0.01)
+
+
+@query(f"""WITH {b.DD}, k AS (SELECT fid, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM dd GROUP BY fid), x AS (SELECT k.fid, k.day, obs, CASE WHEN n > 1 THEN top END AS top, row_number() OVER (PARTITION BY k.fid ORDER BY k.day) - 1 AS i FROM k LEFT JOIN dd ON dd.fid = k.fid AND dd.day = k.day),
+w AS (SELECT fid, win, min(day) AS start, count(*) AS n, count(obs) AS valid, count(top) AS sensed FROM x, range(20) t(win) WHERE i >= win * 5 AND i < win * 5 + 10 GROUP BY 1, 2) SELECT fid, CAST(win AS INT) AS win, start, valid FROM w WHERE n = 10 AND valid >= 7 AND sensed >= 5""", dates=("start",))
+def w14_sensed_windows(spark, d):
+    """Windows with enough values that also hold enough values of a second sensor."""
+    x = b.daily_obs(spark, d).select("fid", "day", "obs", F.when(F.col("n") > 1, F.col("top")).alias("top"))
+    return series.windows(x, "fid", "day", "obs", 10, 5, 0.7, {"top": 5})
+
+
+@query(f"""WITH {b.DD}, {b.ST}, {NB}, s AS (SELECT fid, day, list(round(obs, 6)) OVER (PARTITION BY fid ORDER BY day ROWS 2 PRECEDING) AS seq, min(day) OVER (PARTITION BY fid ORDER BY day ROWS 2 PRECEDING) AS a FROM dd),
+q AS (SELECT * FROM s WHERE len(seq) = 3 AND day - a = 2) SELECT dd.fid, dd.day, CAST(rank AS INT) AS rank, dst, round(km, 5) AS km, q.fid IS NOT NULL AS known, round(coalesce(list_sum(q.seq), 0), 5) AS total
+FROM dd JOIN nb ON src = dd.fid LEFT JOIN q ON q.fid = dst AND q.day = dd.day WHERE rank <= 6""", dates=("day",))
+def j39_star_windows(spark, d):
+    """Six neighbours of each station and day with their last three days, zeros where these are not all there."""
+    x, s = b.daily_obs(spark, d).withColumn("obs", F.round("obs", 6)), b.stations(spark, d)
+    out = layers.star_windows(x, spatial.neighbours(s, s, 6, 150.0), series.sequences(x, "fid", "day", "obs", 3), 3)
+    total = F.aggregate("seq", F.lit(0.0), lambda a, v: a + v)
+    return out.select("fid", "day", "rank", "dst", F.round("km", 5).alias("km"), "known", F.round(total, 5).alias("total"))
+
+
+@query(f"""WITH {b.DD}, {b.ST}, {NB}, v AS (SELECT fid, day, obs, CASE WHEN n > 1 THEN delta END AS delta FROM dd), n AS (SELECT avg(obs) AS mo, stddev_samp(obs) AS so, avg(delta) AS md, stddev_samp(delta) AS sd FROM v),
+x AS (SELECT a.fid, a.day, dst, km, z.obs, z.delta, row_number() OVER (PARTITION BY a.fid, a.day ORDER BY km, dst) AS r FROM v a JOIN nb ON src = a.fid JOIN v z ON z.fid = dst AND z.day = a.day)
+SELECT fid, day, CAST(r AS INT) AS rank, dst, round(km, 5) AS km, round((obs - mo) / so, 5) AS obs, obs IS NOT NULL AS obs_known, round(coalesce((delta - md) / sd, 0), 5) AS delta, delta IS NOT NULL AS delta_known FROM x, n WHERE r <= 5""", dates=("day",))
+def j40_same_day_neighbours(spark, d):
+    """The five nearest stations within 150 km that report on a station's day, z-scored."""
+    x, s = b.daily_obs(spark, d).withColumn("delta", F.when(F.col("n") > 1, F.col("delta"))), b.stations(spark, d)
+    norms = x.agg(*[f(v).alias(f"{v}_{n}") for v in ("obs", "delta") for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))])
+    return b.rounded(layers.same_day_neighbours(spatial.within(s, s, 150.0), x, 5, ["obs", "delta"], norms), 5)

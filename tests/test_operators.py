@@ -321,3 +321,26 @@ def test_manifests_and_first_places(spark):
     a = spark.createDataFrame([("x", None, 2.0, 3.0)], place)
     c = spark.createDataFrame([("x", 5.0, 5.0, 5.0), ("y", 6.0, 6.0, None)], place)
     assert sorted(layers.discovered([a, c]).collect()) == [("x", None, 2.0, 3.0), ("y", 6.0, 6.0, None)]
+
+
+def test_small_patches_go_by_direction_on_ties(spark):
+    # patch 5 (class 2) has a border of two with 1 (class 6) and with 9 (class 3)
+    rows = [(r, c, {0: 1, 1: 5, 2: 9}[c], {0: 6, 1: 2, 2: 3}[c], 4 if c == 1 else 1) for r in range(2) for c in range(3)]
+    df = spark.createDataFrame(rows, "row int, col int, patch long, kind int, least int")
+    assert {r.patch for r in grid.merged_small(df, "least", "kind").where("col = 1").collect()} == {9}
+    assert {r.patch for r in grid.merged_small(df, "least").where("col = 1").collect()} == {1}
+    assert {r.patch for r in grid.merged_small(df.drop("kind", "least"), 2).collect()} == {1, 5, 9}
+
+
+def test_facets_of_a_ridge_at_two_scales(spark):
+    rows = [(r, c, 100.0 - 10 * abs(c - 5)) for r in range(4, 16) for c in range(11)]
+    df = spark.createDataFrame(rows, "row int, col int, z double")
+    out = grid.facet_scales(df, "z", 10.0, [(5.0, 3), (20.0, 30)], 11).collect()
+    assert {(r.scale, r.row, r.col) for r in out} == {(s, r, c) for s in (0, 1) for r, c, _ in rows}
+    for s in (0, 1):
+        side = {(r.kind, r.facet, r.col < 5) for r in out if r.scale == s and r.col != 5}
+        assert {(k, west) for k, _, west in side} == {(7, True), (3, False)} and len({f for _, f, _ in side}) == 2
+    ridge = {r.kind for r in out if r.scale == 0 and r.col == 5}
+    assert ridge == {0}  # twelve flat cells, enough at the first scale
+    assert 0 not in {r.kind for r in out if r.scale == 1}
+    assert grid.facet_scales(df.limit(0), "z", 10.0, [(5.0, 3)], 11).count() == 0
