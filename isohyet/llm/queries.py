@@ -15,6 +15,9 @@ _MODULES = {
     "op8_quality": "op8_quality",
     "op9_bayes": "op9_bayes",
     "op10_ring": "op10_ring",
+    "op11_language": "op11_language",
+    "op12_whitening": "op12_whitening",
+    "op13_collocations": "op13_collocations",
 }
 
 
@@ -26,6 +29,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import op1_backoff, op4_chat
+    from . import op1_backoff, op4_chat, op13_collocations
 
-    return {"op1_backoff": op1_backoff.ORACLE, "op4_chat": op4_chat.ORACLE}
+    return {"op1_backoff": op1_backoff.ORACLE, "op4_chat": op4_chat.ORACLE, "op13_collocations": op13_collocations.ORACLE}
