@@ -69,15 +69,18 @@ class _Chunks(_Atoms):
 class Ids:
     """Encodes whole texts.  lossy: the tokenizer lower-cases and drops white space.
 
-    Special strings inside a text are ordinary text.  Ids are unsigned 16-bit, so
-    the vocabulary must be smaller than 65,536.
+    A special string inside a text is its one id, as in a plain call of the library,
+    and cuts the text.  Ids are unsigned 16-bit, so the vocabulary must be smaller than
+    65,536.
     """
 
     def __init__(self, path: str, lossy: bool, atoms: int = 400_000, chunks: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content: np.array([i], "<u2").tobytes() for i, t in added.items()}
+        self.cut_special = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})")
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError(f"{path}: more than 65,536 ids")
         self.model, self.lossy = self.tokenizer.model, lossy
@@ -100,6 +103,12 @@ class Ids:
 
     def encode(self, text: str | None) -> bytes:
         """All ids of the text, each as two little-endian bytes."""
+        if text and any(x in text for x in self.special):
+            return b"".join(self.special.get(x) or self.ordinary(x) for x in self.cut_special.split(text))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str | None) -> bytes:
+        """The same for a text without special strings."""
         if not text:
             return b""
         if self.lossy:

@@ -14,6 +14,7 @@ from helpers import DATA, same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from isohyet.llm import op1_backoff, op2_jaccard, op3_warc, op4_chat, op5_decontamination, op6_packing, op7_codes, op8_quality, op9_bayes, op10_ring
 from isohyet.llm.common import components, fresh_path
@@ -281,7 +282,7 @@ def test_op5_empty(spark, docs, none):
 
 
 def ids_of(name, lossy, end):
-    t = Ids(vocabulary(name), lossy).tokenizer
+    t = Tokenizer.from_file(vocabulary(name))  # as it comes, untouched
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -367,7 +368,7 @@ def test_op7_levels(ids):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab Cé1.,'s\n\t!|_ΣİÉ日\x85") + ["́", " "]), max_size=25))
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>"] + list("ab Cé1.,'s\n\t!|_ΣİÉ日\x85") + ["́", " "]), max_size=25).map("".join))
 @pytest.mark.parametrize("name,lossy", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_pieces_equal_whole_texts(name, lossy, text):
     t = _encoders.setdefault(name, Ids(vocabulary(name), lossy))
