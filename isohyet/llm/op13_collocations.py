@@ -44,7 +44,7 @@ _TABLE = bytes(_TABLE)
 _SEEN = WordHashes()
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Words that a task counts before it sends their stripes.
-CHUNK = 1_500_000
+CHUNK = 500_000
 
 
 class _Ids(dict):
@@ -65,7 +65,7 @@ def added(w: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[n
     bits = int(max(w.max(), x.max(), y.max())).bit_length()
     if 3 * bits <= 63:
         key = (w.astype(np.int64) << (2 * bits)) | (x.astype(np.int64) << bits) | y
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.int32 if len(w) < 1 << 31 else np.int64)
         key = key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     else:
@@ -107,7 +107,7 @@ def _sent(streams: dict, ids: _Ids, shards: int) -> pa.RecordBatch:
     rows = ([], [], [])
     for lang, parts in streams.items():
         own = word_hashes([lang.encode("utf-8", "surrogatepass")], _SEEN)[0]
-        a = np.concatenate([*parts, np.zeros(2, np.int64)])
+        a = np.concatenate([*parts, np.zeros(2, np.int32)])
         w, x, y = a[:-2], a[1:-1], a[2:]
         real = w > 0
         w, x, y = w[real], x[real], np.where(x[real] > 0, y[real], 0)
@@ -118,7 +118,7 @@ def _sent(streams: dict, ids: _Ids, shards: int) -> pa.RecordBatch:
         seen = np.flatnonzero(every)
         place = mix(mix(hashes[w] * _A + own) + hashes[x] * _B) % np.uint64(shards)
         alone = mix(hashes[seen] * _B + own) % np.uint64(shards)
-        none = np.zeros(len(seen), np.int64)
+        none, seen = np.zeros(len(seen), np.int32), seen.astype(np.int32)
         w, x, y, n = (np.concatenate(p) for p in ((none, w), (none, x), (seen, y), (every[seen], n)))
         place = np.concatenate([alone, place]).astype(np.int64)
         order = np.argsort(place, kind="stable")  # within a shard they stay in order
@@ -141,8 +141,8 @@ def stripes(docs: DataFrame, shards: int) -> DataFrame:
                 found = text.as_py().translate(_TABLE).replace(_BREAK, b" \xff ").split()
                 if not found:
                     continue
-                part = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
-                streams.setdefault(lang, []).extend((part, np.zeros(1, np.int64)))
+                part = np.fromiter(map(ids.__getitem__, found), np.int32, len(found))
+                streams.setdefault(lang, []).extend((part, np.zeros(1, np.int32)))
                 held += len(found)
                 if held >= CHUNK:
                     yield _sent(streams, ids, shards)
