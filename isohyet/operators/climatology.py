@@ -83,3 +83,8 @@ def evaluated(coef: DataFrame, key: str, cycles: int = 2) -> DataFrame:
     days = coef.select(key, "coef", F.explode(F.sequence(F.lit(1), F.lit(365))).alias("doy"))
     value = sum((F.col("coef")[i] * x for i, x in enumerate(basis(F.col("doy"), cycles))), F.lit(0.0))
     return days.select(key, "doy", value.alias("value"))
+
+
+def line(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, intercept, slope, n) of the least-squares line, over rows with both values; null where x does not vary."""
+    return df.groupBy(*keys).agg(F.regr_intercept(y, x).alias("intercept"), F.regr_slope(y, x).alias("slope"), F.regr_count(y, x).alias("n"))

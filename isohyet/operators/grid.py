@@ -1,7 +1,7 @@
 """Rasters as tables of cells (row, col, value): kernels, terrain, components, layers.
 
-A kernel is a join of cells with a table of offsets whose size is the kernel's, not
-the data's.
+Kernels over a neighbourhood, labels and borders are in ``halo``; the 3 x 3 of a slope
+is an array of offsets beside each cell.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import aspect_class
+from .halo import borders, focal, patches, position_index  # noqa: F401
 
 
 def offsets(spark, cells: list[tuple[int, int, float]]) -> Column:
@@ -27,20 +28,6 @@ def box(r: int) -> list[tuple[int, int, float]]:
     return [(a, b, 1.0) for a in range(-r, r + 1) for b in range(-r, r + 1)]
 
 
-def spread(df: DataFrame, kernel: list[tuple[int, int, float]], value: str, keys: list[str] = ()) -> DataFrame:
-    """Each cell's value sent to the cells whose kernel covers it: (keys, row, col, w, x)."""
-    out = df.where(F.col(value).isNotNull()).select(*keys, "row", "col", F.col(value).alias("x"), F.explode(offsets(None, kernel)).alias("o"))
-    return out.select(*keys, (F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), F.col("o.w").alias("w"), "x")
-
-
-def focal(df: DataFrame, kernel: list[tuple[int, int, float]], value: str, how: str = "mean", cover: float = 0.0, keys: list[str] = ()) -> DataFrame:
-    """Weighted mean or minimum over the kernel; null below a share ``cover`` of its weight."""
-    near = spread(df, kernel, value, keys).groupBy(*keys, "row", "col")
-    mean = F.when(F.sum("w") >= cover * sum(k[2] for k in kernel), F.sum(F.col("w") * F.col("x")) / F.sum("w"))
-    made = near.agg((F.min("x") if how == "min" else mean).alias(f"{value}_focal"))
-    return df.join(made, [*keys, "row", "col"], "left")
-
-
 def slope_aspect(df: DataFrame, value: str, size: float) -> DataFrame:
     """Horn slope (degrees) and aspect (degrees clockwise from north, -1 where flat); edges repeat."""
     ends = df.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
@@ -65,15 +52,6 @@ def slope_aspect(df: DataFrame, value: str, size: float) -> DataFrame:
     return out.select("row", "col", F.degrees(F.atan(steep)).alias("slope"), aspect.alias("aspect"))
 
 
-def position_index(df: DataFrame, value: str, r: int) -> DataFrame:
-    """Value less its box mean, by running sums along rows, then columns."""
-    along = Window.partitionBy("row").orderBy("col").rangeBetween(-r, r)
-    down = Window.partitionBy("col").orderBy("row").rangeBetween(-r, r)
-    out = df.withColumns({"_s": F.sum(value).over(along), "_n": F.count(value).over(along)})
-    out = out.withColumn("tpi", F.col(value) - F.sum("_s").over(down) / F.nullif(F.sum("_n").over(down), F.lit(0)))
-    return out.drop("_s", "_n")
-
-
 def coarsened(df: DataFrame, value: str, factor: int, how: str = "average") -> DataFrame:
     """Means or modes (smallest of the most frequent) of factor x factor blocks."""
     key = [F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")]
@@ -124,25 +102,6 @@ def connected(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def patches(df: DataFrame, value: str, width: int, diagonal: bool = True) -> DataFrame:
-    """Connected cells of equal value get the smallest cell id (row * width + col) of their patch."""
-    ident = (F.col("row") * width + F.col("col")).cast("long")
-    cells = df.where(F.col(value).isNotNull()).select("row", "col", ident.alias("cell"), F.col(value).alias("k"))
-    near = adjacency(cells, diagonal)
-    side = cells.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("cell").alias("cell2"), F.col("k").alias("k2"))
-    edges = near.join(cells, ["row", "col"]).join(side, ["row2", "col2"]).where("k = k2").select(F.col("cell").alias("u"), F.col("cell2").alias("v"))
-    roots = connected(edges).select(F.col("node").alias("cell"), F.col("root"))
-    return cells.join(roots, "cell", "left").select("row", "col", F.col("k").alias(value), F.coalesce("root", "cell").alias("patch"))
-
-
-def borders(labelled: DataFrame) -> DataFrame:
-    """(a, b, n): shared border of neighbouring patches, each pair both ways."""
-    near = adjacency(labelled)
-    left = labelled.select("row", "col", F.col("patch").alias("a"))
-    right = labelled.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("patch").alias("b"))
-    return near.join(left, ["row", "col"]).join(right, ["row2", "col2"]).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-
-
 def merged_small(labelled: DataFrame, least: int | str, kind: str | None = None) -> DataFrame:
     """Patches below ``least`` cells join the neighbour of the longest border (ties: the
     nearest direction where ``kind`` names a column of classes, then the smallest id) and

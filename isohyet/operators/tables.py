@@ -337,14 +337,12 @@ def feathered(df: DataFrame, value: str, tile: str, kernel: list[tuple[int, int,
     A cell's distance to the next cell of another tile is sought within the buffer only;
     nulls stay null.
     """
-    from .grid import disc, focal, offsets
+    from .halo import focal, seam_gap
 
-    near = df.select("row", "col", tile, F.explode(offsets(None, disc(buffer, lambda d2: d2**0.5))).alias("o"))
-    near = near.select("row", "col", tile, (F.col("row") + F.col("o.dr")).alias("r"), (F.col("col") + F.col("o.dc")).alias("c"), F.col("o.w").alias("w"))
-    other = df.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col(tile).alias("_tile"))
-    seam = near.join(other, ["r", "c"]).where(F.col(tile) != F.col("_tile")).groupBy("row", "col").agg(F.min("w").alias("gap"))
+    labelled = df.select("row", "col", tile, value)
+    seam = seam_gap(labelled, tile, buffer)
     alpha = F.least(F.coalesce(F.col("gap"), F.lit(float(buffer))) / buffer, F.lit(1.0))
-    smooth = focal(df, kernel, value).join(seam, ["row", "col"], "left")
+    smooth = focal(seam, kernel, value)
     mixed = alpha * F.col(value) + (1 - alpha) * F.col(f"{value}_focal")
     return smooth.select("row", "col", tile, F.when(F.col(value).isNotNull(), mixed).alias(value))
 

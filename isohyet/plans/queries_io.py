@@ -39,9 +39,12 @@ def snk05_missing_inputs(spark, d):
     return sinks.missing_inputs(s, parts).groupBy("dataset").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {b.DD} SELECT fid, 31 AS days, count(*) AS known, round(sum(obs), 4) AS total FROM dd WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY 1""")
+@query(f"""WITH {b.DD}, r AS (SELECT date_diff('day', min(day), max(day)) + 1 AS days FROM dd) SELECT fid, CAST(days AS INT) AS days, count(*) AS known, round(sum(obs), 4) AS total FROM dd, r GROUP BY fid, days""")
 def snk06_dense_matrix(spark, d):
-    m = sinks.dense_matrix(b.daily_obs(spark, d).select("fid", "day", "obs"), "obs", "2024-01-01", "2024-01-31")
+    """A value for every station and day from the first day of the table to its last."""
+    x = b.daily_obs(spark, d).select("fid", "day", "obs")
+    ends = x.agg(F.min("day").cast("string").alias("a"), F.max("day").cast("string").alias("z")).first()
+    m = sinks.dense_matrix(x, "obs", ends.a, ends.z)
     known = F.filter("series", lambda x: x.isNotNull())
     total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
     return m.select("fid", F.size("series").alias("days"), F.size(known).cast("long").alias("known"), F.round(total, 4).alias("total"))
@@ -88,13 +91,6 @@ def p06_baseline_guard(spark, d):
     return b.rounded(qc.with_targets(kept, ["delta"]).select("fid", "day", "delta"))
 
 
-@query(f"""WITH {b.SE}, y AS (SELECT min(year(day)) AS y FROM se) SELECT year(day) AS year, count(*) AS days, count(*) FILTER (year(day) = y) AS repeated FROM (SELECT DISTINCT channel, day FROM se WHERE channel = 'A'), y GROUP BY 1, y HAVING year(day) = y""")
-def w11_repeated_year(spark, d):
-    x = b.sensors(spark, d).where("channel = 'A'").select("channel", "day").distinct().withColumn("v", F.lit(1.0) * F.dayofyear("day") + F.year("day"))
-    first = x.agg(F.min(F.year("day"))).first()[0]
-    return series.repeated_years(x, "channel", "day", ["v"], first).where(F.col("year") == first).select("year", "days", "repeated")
-
-
 @query(f"""WITH {b.SE}, x AS (SELECT channel, day, max(a) AS a FROM se GROUP BY 1, 2), y AS (SELECT min(year(day)) AS y FROM x)
 SELECT x.channel, year(x.day) AS year, count(*) AS days, count(*) FILTER (abs(x.a - z.a) <= 1e-9) AS repeated FROM x CROSS JOIN y LEFT JOIN x z ON z.channel = x.channel AND year(z.day) = y.y AND dayofyear(z.day) = dayofyear(x.day) GROUP BY 1, 2""")
 def w11_repeated_years(spark, d):
@@ -123,15 +119,6 @@ def j23_mixed_local(spark, d):
     return b.rounded(spatial.pruned_mixed(e, 40.0, 3, 8).select("src", "dst", "km"))
 
 
-@query(f"""WITH {b.GR}, o AS (SELECT * FROM (VALUES (0, -1, 0), (1, -1, 1), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, -1), (6, 0, -1), (7, -1, -1)) t(ray, dr, dc)), s AS (SELECT CAST(i AS INT) AS s FROM range(1, 5) t(i)),
-p AS (SELECT row * 50 + col AS fid, row, col, z FROM gr WHERE (row * 50 + col) % 7 = 0) SELECT fid, ray, round(greatest(0, coalesce(max((gr.z - p.z) / (s * 10.0 * sqrt(abs(dr) + abs(dc)))), 0)), 5) AS sx
-FROM p, o, s LEFT JOIN gr ON gr.row = p.row + s * dr AND gr.col = p.col + s * dc GROUP BY 1, 2""")
-def g14_shelter(spark, d):
-    g = b.cells(spark, d).drop("k")
-    p = g.withColumn("fid", F.col("row") * 50 + F.col("col")).where("fid % 7 = 0").select("fid", "row", "col")
-    return grid.shelter(p, g, 10.0, 4).select("fid", "ray", F.round("sx", 5).alias("sx"))
-
-
 @query(f"""WITH {b.GR}, o AS (SELECT * FROM (VALUES (0, -1, 0), (1, -1, 1), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, -1), (6, 0, -1), (7, -1, -1)) t(ray, dr, dc)), s AS (SELECT CAST(i AS INT) AS s FROM range(1, 5) t(i)),
 p AS (SELECT row * 50 + col AS fid, row, col, z FROM gr) SELECT fid, ray, round(greatest(0, coalesce(max((gr.z - p.z) / (s * 10.0 * sqrt(abs(dr) + abs(dc)))), 0)), 5) AS sx
 FROM p, o, s LEFT JOIN gr ON gr.row = p.row + s * dr AND gr.col = p.col + s * dc GROUP BY 1, 2""")
@@ -161,11 +148,10 @@ def g13_bilinear(spark, d):
     return b.rounded(grid.bilinear(g, p, "z"))
 
 
-@query("SELECT round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem")
+@query("SELECT round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, count(*) AS n FROM lineitem")
 def a35_linear_fit(spark, d):
-    w = climatology.ridge(b.table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", 0.0)
-    one = b.table(spark, d, "region").limit(1)
-    return one.select(F.lit(round(float(w[0]), 3)).alias("intercept"), F.lit(round(float(w[1]), 4)).alias("slope"))
+    w = climatology.line(b.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return w.select(F.round("intercept", 3).alias("intercept"), F.round("slope", 4).alias("slope"), "n")
 
 
 @query()

@@ -150,13 +150,6 @@ def j13_bipartite(spark, d):
     return b.rounded(spatial.neighbours_then_filter(s, s.where(F.col("fid") % 10 != 0), 5, 80.0).select("src", "dst", "rank", "km"))
 
 
-@query(f"""WITH {b.ST}, x AS (SELECT a.fid AS src, z.fid AS dst, {HAV.format(a='a', d='z')} AS km FROM st a JOIN st z ON z.fid % 97 = 0 AND a.fid % 3 = 0)
-SELECT src, arg_min(dst, (km, dst)) AS dst, round(min(km), 6) AS km FROM x GROUP BY 1""")
-def j18_nearest(spark, d):
-    s = b.stations(spark, d)
-    return b.rounded(spatial.nearest(s.where(F.col("fid") % 3 == 0), s.where(F.col("fid") % 97 == 0)).select("src", "dst", "km"))
-
-
 @query(f"""WITH {b.ST}, x AS (SELECT a.fid AS src, z.fid AS dst, {HAV.format(a='a', d='z')} AS km FROM st a JOIN st z ON z.fid % 97 = 0)
 SELECT src, arg_min(dst, (km, dst)) AS dst, round(min(km), 6) AS km FROM x GROUP BY 1""")
 def j18_nearest_all(spark, d):
@@ -182,12 +175,6 @@ def j23_pruned(spark, d):
     return b.rounded(spatial.pruned(e, 20.0, 4).select("src", "dst", "km", "rank"))
 
 
-@query(f"""WITH {b.ST} SELECT fid FROM st a WHERE fid % 2 = 0 AND NOT EXISTS (SELECT 1 FROM st z WHERE z.fid % 20 = 1 AND {HAV.format(a='a', d='z')} <= 60)""")
-def j24_not_near(spark, d):
-    s = b.stations(spark, d)
-    return spatial.not_near(s.where(F.col("fid") % 2 == 0), s.where(F.col("fid") % 20 == 1), 60.0).select("fid")
-
-
 @query(f"""WITH {b.ST} SELECT fid FROM st a WHERE NOT EXISTS (SELECT 1 FROM st z WHERE z.fid % 20 = 1 AND {HAV.format(a='a', d='z')} <= 60)""")
 def j24_not_near_all(spark, d):
     """All stations but those near a query point."""
@@ -286,6 +273,12 @@ def g03_focal_mean(spark, d):
     return b.rounded(grid.focal(b.cells(spark, d).drop("k"), grid.disc(2), "z"))
 
 
+@query(f"""WITH {b.GR} SELECT g.row, g.col, round(avg(n.z), 6) AS z_wide FROM gr g JOIN gr n ON (n.row - g.row) * (n.row - g.row) + (n.col - g.col) * (n.col - g.col) <= 400 GROUP BY 1, 2""")
+def g03_focal_wide(spark, d):
+    """The mean over a disc of radius 20, 1,257 cells."""
+    return b.rounded(grid.focal(b.cells(spark, d), grid.disc(20), "z").select("row", "col", F.col("z_focal").alias("z_wide")))
+
+
 @query(f"""WITH {b.GR}, e AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM gr), o AS (SELECT CAST(a.i AS INT) - 1 AS dr, CAST(c.i AS INT) - 1 AS dc FROM range(3) a(i), range(3) c(i)),
 w AS (SELECT g.row, g.col, dr, dc, least(greatest(g.row + dr, r0), r1) AS r, least(greatest(g.col + dc, c0), c1) AS c FROM gr g, o, e), n AS (SELECT w.row, w.col, dr, dc, gr.z FROM w LEFT JOIN gr ON gr.row = r AND gr.col = c),
 g AS (SELECT row, col, (max(z) FILTER (dr = -1 AND dc = 1) + 2 * max(z) FILTER (dr = 0 AND dc = 1) + max(z) FILTER (dr = 1 AND dc = 1) - max(z) FILTER (dr = -1 AND dc = -1) - 2 * max(z) FILTER (dr = 0 AND dc = -1) - max(z) FILTER (dr = 1 AND dc = -1)) / 800 AS dx,
