@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import climatology, grid, qc, series, spatial, stats
 from ..shared import shared_dir
 from ..sources import sinks, text
-from ..streaming import streams
+from ..streaming import streams, upserts
 from . import bindings as b
 from .queries_rows import HAV
+from .registry import SQL as REGISTRY
 from .registry import query
 
 
@@ -199,11 +201,29 @@ def st02_upsert(spark, d):
     """Late rows merged by station and day, batch by batch; the row of the greatest id stays."""
     path = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
     rows = _events(spark, d).select("fid", F.to_date("ts").alias("day"), "event_id", "value")
-    run = rows.writeStream.foreachBatch(streams.upsert(path, ["fid", "day"], ["event_id"]))
-    run = run.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = max(p["batchId"] for p in run.recentProgress)
-    return b.rounded(spark.read.parquet(f"{path}/{last:09d}"))
+    kept = upserts.UpsertTable(spark, path, ["fid", "day"], ["event_id"], "day")
+    run = rows.writeStream.foreachBatch(kept.merge)
+    run.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return b.rounded(kept.read())
+
+
+@query(REGISTRY["st06_rejection_monitor"])
+def st06_rejection_stream(spark, d):
+    """The monitor of st06 as a stream: days come in five batches, out of order, and each goes out when it closes.
+
+    A row of a later day, of a station of its own, lets the watermark pass all others.
+    """
+    path = f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
+    bad = F.when(F.col("delta") < 0, F.col("n")).otherwise(0)
+    x = b.daily_obs(spark, d).select("fid", "day", "n", bad.alias("bad")).withColumn("place", F.unix_date("day") + F.col("fid") % 5)
+    ends = x.agg(F.min("place").alias("a"), F.max("place").alias("z"), F.max("day").alias("last")).first()
+    for i in range(5):
+        cut = [ends.a + (ends.z + 1 - ends.a) * k // 5 for k in (i, i + 1)]
+        x.where((F.col("place") >= cut[0]) & (F.col("place") < cut[1])).drop("place").coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(-1, ends.last + datetime.timedelta(days=100), 0, 0)], x.drop("place").schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(x.drop("place").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = _run(streams.rejection_stream(stream, 10), f"{path}-out")
+    return b.rounded(out.withColumn("day", F.col("day").cast("string")))
 
 
 @query(f"WITH {b.EV} SELECT day, count(*) AS n, round(sum(value), 3) AS total FROM ev GROUP BY 1", dates=("day",))

@@ -1,4 +1,4 @@
-"""Streams: daily aggregates, late upserts, runs, windows, rejection monitor."""
+"""Streams: daily aggregates, runs, windows, rejection monitor."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.sinks import keep_last
-
 
 def daily_stream(events: DataFrame, value: str = "value", late: str = "6 hours", least: int = 1) -> DataFrame:
     """Daily mean, extremes and count of each station; rows later than ``late`` are dropped."""
@@ -31,43 +29,49 @@ def run_stream(days: DataFrame, late: str = "1 day") -> DataFrame:
     return w.agg(F.count("*").alias("n")).select("fid", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upsert(path: str, keys: list[str], order: list[str]):
-    """A foreachBatch function that merges a batch into Parquet by key, the newer row wins.
-
-    Inside a batch the row of the greatest ``order`` is the newest.  The merged table
-    goes to a folder of the batch's number, so a repeated batch writes the same folder
-    again; the reader takes the highest number.  A batch whose predecessor's folder is
-    missing fails, so that no history is lost.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("row")
-        new = batch.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(newest).select("row.*")
-        old = spark.read.parquet(f"{path}/{number - 1:09d}") if number else None
-        (new if old is None else keep_last(old, new, keys)).write.mode("overwrite").parquet(f"{path}/{number:09d}")
-
-    return merge
-
+def rejection_stream(rows: DataFrame, days: int = 90, limit: float = 0.5, late: str = "7 days") -> DataFrame:
+    """(fid, day, n, bad, rate, listed): the rate of rejected rows over the trailing days, once for each day that is closed.
 
-def rejection_stream(rows: DataFrame, days: int = 90, limit: float = 0.5) -> DataFrame:
-    """(fid, n, bad, listed) as batches arrive: counts of the trailing days are kept as state.
-
-    rows: fid, day (date), bad (0 or 1).
+    rows: fid (long), day (date), n, bad (counts), in any order and any number a day.
+    They are kept as state by station and day.  A day closes when the watermark passes
+    it, which a timer tells where no row comes; then its row goes out, and days that no
+    open day can reach leave the state.  Rows of closed days are dropped as late.
     """
+    day_ms = 86_400_000
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(state.get[0], zip(state.get[1], state.get[2], strict=True), strict=True)) if state.exists else {}
+        first, held = 0, {}
+        if state.exists:
+            first, *lists = state.get
+            held = dict(zip(lists[0], zip(*lists[1:], strict=True), strict=True))
         for part in batches:
-            for day, group in part.groupby(part["day"].map(lambda d: d.toordinal())):
-                n, bad = held.get(day, (0, 0))
-                held[day] = n + len(group), bad + int(group["bad"].sum())
-        last = max(held)
-        held = {d: v for d, v in held.items() if d > last - days}
-        state.update((list(held), [v[0] for v in held.values()], [v[1] for v in held.values()]))
-        n, bad = sum(v[0] for v in held.values()), sum(v[1] for v in held.values())
-        yield pd.DataFrame({"fid": [key[0]], "n": [n], "bad": [bad], "listed": [bad > limit * n]})
-
-    return rows.groupBy("fid").applyInPandasWithState(
-        update, "fid long, n long, bad long, listed boolean", "days array<long>, n array<long>, bad array<long>", "update", GroupStateTimeout.NoTimeout
+            for number, n, bad in zip(part["number"], part["n"], part["bad"], strict=True):
+                a, b = held.get(number, (0, 0))
+                held[int(number)] = a + int(n), b + int(bad)
+        mark = state.getCurrentWatermarkMs()
+        waiting = sorted(d for d in held if d >= first)
+        closed = [d for d in waiting if d * day_ms < mark]
+        out = []
+        for d in closed:
+            near = [held[x] for x in held if d - days < x <= d]
+            n, bad = sum(v[0] for v in near), sum(v[1] for v in near)
+            rate = bad / n if n else None
+            out.append((key[0], d, *held[d], rate, None if rate is None else rate > limit))
+        first = max(first, closed[-1] + 1) if closed else first
+        held = {d: v for d, v in held.items() if d > first - days}
+        open_days = [d for d in waiting if d >= first]
+        after = (first + days) * day_ms  # no open day reaches the closed ones any more
+        if not held or (not open_days and mark >= after):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((first, list(held), [v[0] for v in held.values()], [v[1] for v in held.values()]))
+            state.setTimeoutTimestamp(max(open_days[0] * day_ms if open_days else after, mark) + 1)
+        yield pd.DataFrame(out, columns=["fid", "number", "n", "bad", "rate", "listed"]).astype({"listed": "boolean"})
+
+    kept = rows.select("fid", F.unix_date("day").cast("long").alias("number"), "n", "bad", F.to_timestamp("day").alias("ts"))
+    out = kept.withWatermark("ts", late).groupBy("fid").applyInPandasWithState(
+        update, "fid long, number long, n long, bad long, rate double, listed boolean",
+        "first long, days array<long>, n array<long>, bad array<long>", "append", GroupStateTimeout.EventTimeTimeout,
     )
+    return out.select("fid", F.date_from_unix_date(F.col("number").cast("int")).alias("day"), "n", "bad", "rate", "listed")

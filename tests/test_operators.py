@@ -194,15 +194,6 @@ def test_streams(spark, tmp_path):
     assert {(str(r.day), r["mean"], r.n) for r in end(streams.daily_stream(events), "daily")} == {("2024-01-01", 2.0, 2), ("2024-01-02", 5.0, 1)}
     assert {r.n for r in end(streams.run_stream(events), "runs")} == {3}
     assert all(r.n >= 2 for r in end(streams.sliding_stream(events, 2, 1, 2), "slides"))
-    rows = events.select("fid", F.to_date("ts").alias("day"), (F.col("value") > 2).cast("long").alias("bad"))
-    assert [(r.n, r.bad, r.listed) for r in end(streams.rejection_stream(rows, 90, 0.5), "listed", "update")] == [(4, 3, True)]
-    merge = streams.upsert(str(tmp_path / "up"), ["fid"], ["at"])
-    a = spark.createDataFrame([(1, "old", 0), (2, "old", 0)], "fid long, x string, at int")
-    b = spark.createDataFrame([(2, "late", 2), (2, "new", 3), (2, "stale", 1)], "fid long, x string, at int")
-    merge(a, 0), merge(b, 1), merge(b, 1)
-    assert {(r.fid, r.x) for r in spark.read.parquet(str(tmp_path / "up" / "000000001")).collect()} == {(1, "old"), (2, "new")}
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        merge(b, 3)
 
 
 def test_long_patch_is_one(spark):
