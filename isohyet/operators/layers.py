@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import bearing
 from ..shared import shared_dir
-from .spatial import _start_km, ranked, within
+from .spatial import _start_km, neighbours, ranked, within
 
 HALF_EARTH_KM = 20016.0
 
@@ -128,16 +128,17 @@ def star_windows(targets: DataFrame, edges: DataFrame, sequences: DataFrame, len
     return out.withColumn("seq", F.coalesce("seq", F.array_repeat(F.lit(0.0), length)))
 
 
-def same_day_neighbours(edges: DataFrame, obs: DataFrame, m: int, values: list[str], norms: DataFrame) -> DataFrame:
-    """(fid, day, rank, dst, km, z-score and known flag a value): the m nearest stations that report on the day.
+def same_day_neighbours(points: DataFrame, m: int, values: list[str], norms: DataFrame, r_km: float = 150.0) -> DataFrame:
+    """(fid, day, rank, dst, km, z-score and known flag a value): the m nearest stations within r_km that report on the day.
 
-    edges(src, dst, km) hold no station with itself; norms is one row of {value}_mean and {value}_std.
+    points(fid, day, lat, lon, values), a row for each report; norms is one row of
+    {value}_mean and {value}_std.  Neighbours are sought among a day's reports alone, in
+    a radius that widens only for reports that lack m, so that candidates grow with the
+    reports and not with the pairs of stations.
     """
-    days = obs.select(F.col("fid").alias("src"), "day")
-    other = obs.select(F.col("fid").alias("dst"), "day", *values)
-    near = Window.partitionBy("src", "day").orderBy("km", "dst")
-    met = edges.select("src", "dst", "km").join(days, "src").join(other, ["dst", "day"]).withColumn("rank", F.row_number().over(near))
-    met = met.where(F.col("rank") <= m).join(F.broadcast(norms))
+    other = points.select(F.col("fid").alias("dst"), "day", *values)
+    near = neighbours(points, points, m, r_km, keys=["day"]).select("src", "day", "rank", "dst", "km")
+    met = near.join(other, ["dst", "day"]).join(F.broadcast(norms))  # one row
     made = []
     for v in values:
         made.append(F.coalesce((F.col(v) - F.col(f"{v}_mean")) / F.nullif(F.col(f"{v}_std"), F.lit(0.0)), F.lit(0.0)).alias(v))

@@ -32,14 +32,14 @@ def _column(lon: Column, nx: int, dx: float) -> Column:
     return F.pmod(F.floor((lon + 180) / dx).cast("int"), F.lit(nx))
 
 
-def within(left: DataFrame, right: DataFrame, r_km: float, lid="fid", rid="fid", keep_self: bool = False) -> DataFrame:
-    """(src, dst, km) of all right points within r_km of each left point.
+def within(left: DataFrame, right: DataFrame, r_km: float, lid="fid", rid="fid", keep_self: bool = False, keys: list[str] = ()) -> DataFrame:
+    """(src, dst, km, keys) of all right points within r_km of each left point of the same keys.
 
-    Sides need the id and lat, lon; rows with a null coordinate match nothing.
+    Sides need the id, lat, lon and the keys (a day, say); rows with a null among them match nothing.
     """
     dy, nx, dx = _grid(r_km)
-    a = left.select(F.col(lid).alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).dropna()
-    b = right.select(F.col(rid).alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).dropna()
+    a = left.select(F.col(lid).alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), *keys).dropna()
+    b = right.select(F.col(rid).alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *keys).dropna()
     edge = F.greatest(F.abs((_row(F.col("lat1"), dy) - 1) * dy - 90), F.abs((_row(F.col("lat1"), dy) + 2) * dy - 90))
     top = F.least(F.lit(90.0), edge)
     width = F.cos(F.radians(top))
@@ -53,45 +53,56 @@ def within(left: DataFrame, right: DataFrame, r_km: float, lid="fid", rid="fid",
     a = a.withColumn("cx", F.explode(columns))
     b = b.withColumn("cy", _row(F.col("lat2"), dy)).withColumn("cx", _column(F.col("lon2"), nx, dx))
     km = distance_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    out = a.join(b, ["cy", "cx"]).withColumn("km", km).where(F.col("km") <= r_km)
+    out = a.join(b, ["cy", "cx", *keys]).withColumn("km", km).where(F.col("km") <= r_km)
     if not keep_self:
         out = out.where("src <> dst")
-    return out.select("src", "dst", "km", "lat1", "lon1", "lat2", "lon2")
+    return out.select("src", "dst", "km", "lat1", "lon1", "lat2", "lon2", *keys)
 
 
-def ranked(edges: DataFrame, k: int | Column, by: str = "src") -> DataFrame:
+def ranked(edges: DataFrame, k: int | Column, by: str = "src", keys: list[str] = ()) -> DataFrame:
     """The k nearest edges of each group, with their rank; ties by id."""
     other = "dst" if by == "src" else "src"
-    order = Window.partitionBy(by).orderBy("km", other)
+    order = Window.partitionBy(*keys, by).orderBy("km", other)
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _start_km(right: DataFrame, k: int, r_km: float) -> float:
-    """A radius that holds about 2 k points where points are, from counts of cells."""
-    dy, nx, dx = _grid(r_km / 8)
-    cells = right.select("lat", "lon").dropna().groupBy(_row(F.col("lat"), dy).alias("y"), _column(F.col("lon"), nx, dx).alias("x"))
-    cells = cells.agg(F.count("*").alias("n"), F.avg("lat").alias("lat"))
-    near = cells.agg(F.sum(F.col("n") * F.col("n") / F.cos(F.radians("lat"))) / F.sum("n")).first()[0]
-    return math.sqrt(2 * k * dy * dx / (math.pi * near)) * KM_A_DEGREE if near else r_km
+def _start_km(right: DataFrame, k: int, r_km: float, keys: list[str] = ()) -> float:
+    """A radius that holds about 2 k points of the same keys where points are, from counts of cells.
+
+    Counted again by finer cells while the radius is small beside them, so that a few
+    dense places are seen as dense.
+    """
+    side = r_km / 8
+    for _ in range(6):
+        dy, nx, dx = _grid(side)
+        cells = right.select("lat", "lon", *keys).dropna().groupBy(*keys, _row(F.col("lat"), dy).alias("y"), _column(F.col("lon"), nx, dx).alias("x"))
+        cells = cells.agg(F.count("*").alias("n"), F.avg("lat").alias("lat"))
+        near = cells.agg(F.sum(F.col("n") * F.col("n") / F.greatest(F.cos(F.radians("lat")), F.lit(1e-6))) / F.sum("n")).first()[0]
+        found = math.sqrt(2 * k * dy * dx / (math.pi * near)) * KM_A_DEGREE if near else r_km
+        if not near or found >= side / 4:
+            break
+        side = max(found, r_km / 512)
+    return found
 
 
-def neighbours(left: DataFrame, right: DataFrame, k: int = 16, r_km: float = 150.0, lid: str = "fid", **ids) -> DataFrame:
-    """k nearest within r_km, itself excluded before ranking; with bearings.
+def neighbours(left: DataFrame, right: DataFrame, k: int = 16, r_km: float = 150.0, lid: str = "fid", keys: list[str] = (), **ids) -> DataFrame:
+    """k nearest within r_km, of the same keys, itself excluded before ranking; with bearings.
 
     The radius starts where about 2 k points are expected and doubles for the points
     that still lack k, so candidates grow with the points and not with their square.
+    With a day among the keys, a point's neighbours are those that are there on its day.
     Each round is written to the checkpoint folder.
     """
     shared_dir(left.sparkSession)
-    r = min(r_km, max(_start_km(right, k, r_km), r_km / 256))
-    r, open_side, parts = r_km if 1.5 * r > r_km else r, left.select(lid, "lat", "lon").dropna(), []
+    r = min(r_km, max(_start_km(right, k, r_km, keys), r_km / 512))
+    r, open_side, parts = r_km if 1.5 * r > r_km else r, left.select(lid, "lat", "lon", *keys).dropna(), []
     while r < r_km:
-        found = ranked(within(open_side, right, r, lid=lid, **ids), k).checkpoint()
-        full = found.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("src")
-        parts.append(found.join(full, "src", "left_semi"))
-        open_side = open_side.join(full.withColumnRenamed("src", lid), lid, "left_anti").checkpoint()
+        found = ranked(within(open_side, right, r, lid=lid, keys=keys, **ids), k, keys=keys).checkpoint()
+        full = found.groupBy(*keys, "src").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(*keys, "src")
+        parts.append(found.join(full, [*keys, "src"], "left_semi"))
+        open_side = open_side.join(full.withColumnRenamed("src", lid), [*keys, lid], "left_anti").checkpoint()
         r = min(2 * r, r_km)
-    out = ranked(within(open_side, right, r_km, lid=lid, **ids), k)
+    out = ranked(within(open_side, right, r_km, lid=lid, keys=keys, **ids), k, keys=keys)
     for p in parts:
         out = out.unionByName(p)
     angle = bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
@@ -142,14 +153,10 @@ def similar_neighbours(edges: DataFrame, vectors: DataFrame, k: int) -> DataFram
 
 def pairs(points: DataFrame, k: int = 8, r_km: float = 35.0) -> DataFrame:
     """Unordered same-day pairs: points(fid, day, lat, lon, elev, y)."""
-    dy, nx, dx = _grid(r_km)
     base = points.select("fid", "day", "lat", "lon").distinct()
-    # the day joins the bucket key, so days never meet
-    a = base.withColumn("fid2", F.struct("day", "fid"))
-    edges = within(a.select(F.col("fid2").alias("fid"), "lat", "lon"), a.select(F.col("fid2").alias("fid"), "lat", "lon"), r_km)
-    edges = ranked(edges.where("src.day = dst.day"), k)
-    i, j = F.least("src.fid", "dst.fid"), F.greatest("src.fid", "dst.fid")
-    edges = edges.select(F.col("src.day").alias("day"), i.alias("i"), j.alias("j"), "km").dropDuplicates(["day", "i", "j"])
+    edges = neighbours(base, base, k, r_km, keys=["day"])
+    i, j = F.least("src", "dst"), F.greatest("src", "dst")
+    edges = edges.select("day", i.alias("i"), j.alias("j"), "km").dropDuplicates(["day", "i", "j"])
     side = lambda n: points.select("day", F.col("fid").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("lat", "lon", "elev", "y")])
     out = edges.join(side("i"), ["day", "i"]).join(side("j"), ["day", "j"])
     angle = F.degrees(bearing(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j")))

@@ -183,4 +183,4 @@ def j40_same_day_neighbours(spark, d):
     """The five nearest stations within 150 km that report on a station's day, z-scored."""
     x, s = b.daily_obs(spark, d).withColumn("delta", F.when(F.col("n") > 1, F.col("delta"))), b.stations(spark, d)
     norms = x.agg(*[f(v).alias(f"{v}_{n}") for v in ("obs", "delta") for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))])
-    return b.rounded(layers.same_day_neighbours(spatial.within(s, s, 150.0), x, 5, ["obs", "delta"], norms), 5)
+    return b.rounded(layers.same_day_neighbours(x.join(s.select("fid", "lat", "lon"), "fid"), 5, ["obs", "delta"], norms), 5)

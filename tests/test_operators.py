@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -335,3 +336,40 @@ def test_facets_of_a_ridge_at_two_scales(spark):
     assert ridge == {0}  # twelve flat cells, enough at the first scale
     assert 0 not in {r.kind for r in out if r.scale == 1}
     assert grid.facet_scales(df.limit(0), "z", 10.0, [(5.0, 3)], 11).count() == 0
+
+
+def test_neighbours_by_day(spark):
+    """Neighbours of a day are among that day's reports, whatever the density; as brute force finds them."""
+    draw = random.Random(3)
+    rows = []
+    for day in range(4):
+        for fid in range(120):
+            if draw.random() < 0.5:
+                dense = fid % 3 == 0  # a third of all stations within a few hundred metres
+                lat, lon = (45 + fid * 1e-5, -120 + fid * 2e-5) if dense else (43 + fid % 11 * 0.31, -122 + fid % 13 * 0.37)
+                rows.append((fid, dt.date(2024, 1, 1 + day), lat, lon))
+    rows.append((500, None, 45.0, -120.0))
+    df = spark.createDataFrame(rows, "fid long, day date, lat double, lon double")
+    got, want = {}, {}
+    for r in spatial.neighbours(df, df, 4, 150.0, keys=["day"]).collect():
+        got.setdefault((r.day, r.src), []).append((r["rank"], round(r.km, 6)))
+    for f, d, la, lo in rows[:-1]:
+        near = sorted(_km(la, lo, x, y) for g, e, x, y in rows[:-1] if e == d and g != f)
+        want[d, f] = [(i, round(km, 6)) for i, km in enumerate([km for km in near if km <= 150][:4], 1)]
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_candidates_grow_with_the_points(spark):
+    """Twice the stations, twice the candidates: the first radius follows the density."""
+    def candidates(n):
+        df = spark.range(n).selectExpr("id fid", "40 + (id * 7919 % 10007) / 10007.0d * 5 lat", "-120 + (id * 104729 % 20011) / 20011.0d * 5 lon")
+        return spatial.within(df, df, spatial._start_km(df, 8, 150.0)).count()
+
+    a, b = candidates(2000), candidates(4000)
+    assert 1.5 * a < b < 2.6 * a and a < 2000 * 40
+
+
+def _km(la1, lo1, la2, lo2):
+    p, q = math.radians(la1), math.radians(la2)
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lo2 - lo1) / 2) ** 2
+    return 2 * 6371.0 * math.asin(math.sqrt(h))
