@@ -93,10 +93,10 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     stripes, entries, _, size = np.frombuffer(data, "<u4", 4).tolist()
     at, made = 16, []
     for number, kind in ((stripes, f"<u{size}"), (stripes, f"<u{size}"), (stripes, "<u4"), (entries, f"<u{size}"), (entries, "<u4")):
-        made.append(np.frombuffer(data, kind, number, at).astype(np.int64))
-        at += made[-1].nbytes // 8 * int(kind[-1])
+        made.append(np.frombuffer(data, kind, number, at))
+        at += made[-1].nbytes
     w, x, lengths, y, n = made
-    return np.repeat(w, lengths), np.repeat(x, lengths), y, n, data[at:].split(b" ")
+    return np.repeat(w, lengths), np.repeat(x, lengths), y, n.astype(np.int64), data[at:].split(b" ")
 
 
 def _sent(streams: dict, ids: _Ids, shards: int) -> pa.RecordBatch:
@@ -162,9 +162,12 @@ def merged(lang: str, blobs: list[bytes], least: int) -> pa.RecordBatch:
     ids, parts = _Ids(), []
     for blob in blobs:
         w, x, y, n, words = unpacked(blob)
-        to = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        to = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
         parts.append((to[w], to[x], to[y], n))
-    w, x, y, n = added(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+    whole = [np.concatenate(p) for p in zip(*parts, strict=True)]
+    parts.clear()
+    w, x, y, n = added(*whole)
+    del whole
     words = pa.array(list(ids), pa.binary())
     single = w == 0
     total = int(n[single].sum())
@@ -204,7 +207,7 @@ def merged(lang: str, blobs: list[bytes], least: int) -> pa.RecordBatch:
     )
 
 
-def frequent(docs: DataFrame, least: int, shard_bytes: int = 4_000_000) -> DataFrame:
+def frequent(docs: DataFrame, least: int, shard_bytes: int = 1_500_000) -> DataFrame:
     """(lang, k, w, x, y, f, head, longest) of all phrases of k words that occur ``least`` times.
 
     k = 0 has parts of the number of all words of a language; head is the count of a
@@ -217,12 +220,12 @@ def frequent(docs: DataFrame, least: int, shard_bytes: int = 4_000_000) -> DataF
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for shard, lang, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, lang, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if (shard, lang) != key:
                     if held:
                         yield merged(key[1], held, least)
                     key, held = (shard, lang), []
-                held.append(blob)
+                held.append(blob.as_py())
         if held:
             yield merged(key[1], held, least)
 
