@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,40 @@ def source_nodes(table: DataFrame, holdout: DataFrame, targets: list[str]) -> Da
     return rows.select("day", "fid", F.array(*payload).alias("payload"))
 
 
+def node_table(
+    rows: DataFrame, places: DataFrame, edges: DataFrame, held: DataFrame, weather: list[str], terrain: list[str], targets: list[str], most_abs: float | None = None
+) -> DataFrame:
+    """(day, fid, x, y, supervised): the nodes of each day's graph as arrays of features, targets and flags.
+
+    x holds the weather columns (0 where ``rows`` lacks one), the places' terrain, the
+    mean, the spread and the number of the neighbours' first target on the day, sine and
+    cosine of the day of year, latitude and longitude; what is null or not finite is 0.
+    Neighbours are the ``dst`` of a station's edges(src, dst) that report on its day;
+    ``held`` stations are none, so that no held-out value reaches another node.  A target
+    is supervised if it is finite and, with ``most_abs``, no larger than that; else it is 0.
+    """
+    first = F.col(targets[0]).cast("double")
+    seen = rows.join(held.select("fid").distinct(), "fid", "left_anti").select(F.col("fid").alias("dst"), "day", first.alias("v"))
+    seen = seen.where(_finite(F.col("v")))
+    near = edges.select(F.col("src").alias("fid"), "dst").join(seen, "dst").groupBy("fid", "day")
+    near = near.agg(F.avg("v").alias("_mean"), F.stddev_pop("v").alias("_std"), F.count("v").cast("double").alias("_n"))
+    doy = 2 * math.pi * F.dayofyear("day") / 365.25
+    features = [F.col(c) if c in rows.columns else F.lit(0.0) for c in weather] + [F.col(f"_p.{c}") for c in terrain]
+    features += [F.col("_mean"), F.col("_std"), F.col("_n"), F.sin(doy), F.cos(doy), F.col("_p.lat"), F.col("_p.lon")]
+    fine = [_finite(F.col(t)) & ((F.abs(t) <= most_abs) if most_abs is not None else F.lit(True)) for t in targets]
+    out = rows.join(places.select("fid", F.struct("lat", "lon", *terrain).alias("_p")), "fid", "left").join(near, ["fid", "day"], "left")
+    clean = lambda c: F.when(_finite(c.cast("double")), c.cast("double")).otherwise(F.lit(0.0))
+    return out.select(
+        "day", "fid", F.array(*map(clean, features)).alias("x"),
+        F.array(*[F.when(ok, F.col(t).cast("double")).otherwise(F.lit(0.0)) for t, ok in zip(targets, fine, strict=True)]).alias("y"),
+        F.array(*[F.coalesce(ok, F.lit(False)) for ok in fine]).alias("supervised"),
+    )
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf"))
+
+
 def day_matrix(stations: DataFrame, table: DataFrame, day: Column, columns: list[str]) -> DataFrame:
     """Every station of one day: zeros and a flag of 0 where it has no row."""
     rows = table.where(F.col("day") == day).select("fid", *columns, F.lit(1).alias("present"))

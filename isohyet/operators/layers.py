@@ -128,6 +128,52 @@ def star_windows(targets: DataFrame, edges: DataFrame, sequences: DataFrame, len
     return out.withColumn("seq", F.coalesce("seq", F.array_repeat(F.lit(0.0), length)))
 
 
+def filled_stars(edges: DataFrame, stations: DataFrame, records: DataFrame, n: int, holders: int) -> DataFrame:
+    """(fid, dst, place, filler, km, bearing): n neighbours of each station, near ones first.
+
+    A station with fewer than n edges(src, dst, rank, km, bearing) is filled from the
+    ``holders`` stations with the longest records(fid, days) (ties by id) that are not
+    itself and not yet its neighbours, longest first; a filler has distance and bearing 0.
+    The holders are one row, an array whose size the parameter bounds.
+    """
+    near = edges.where(F.col("rank") <= n).select(F.col("src").alias("fid"), "dst", F.col("rank").alias("place"), "km", "bearing")
+    longest = records.select("fid", "days").orderBy(F.desc("days"), "fid").limit(holders)
+    longest = longest.agg(F.array_sort(F.collect_list(F.struct((-F.col("days")).alias("d"), "fid"))).alias("h"))
+    held = near.groupBy("fid").agg(F.collect_list("dst").alias("has"))  # n at most
+    short = stations.select("fid").distinct().join(held, "fid", "left").withColumn("has", F.coalesce("has", F.array().cast(held.schema["has"].dataType)))
+    short = short.where(F.size("has") < n).join(F.broadcast(longest))
+    free = F.filter(F.transform("h", lambda x: x["fid"]), lambda x: (x != F.col("fid")) & ~F.array_contains("has", x))
+    more = short.select("fid", F.size("has").alias("c"), F.posexplode(F.slice(free, F.lit(1), n - F.size("has"))).alias("i", "dst"))
+    more = more.select("fid", "dst", (F.col("c") + F.col("i") + 1).alias("place"), F.lit(True).alias("filler"), F.lit(0.0).alias("km"), F.lit(0.0).alias("bearing"))
+    return near.withColumn("filler", F.lit(False)).select(*more.columns).unionByName(more)
+
+
+def star_samples(targets: DataFrame, stars: DataFrame, obs: DataFrame, value: str, outer: list[str], length: int) -> DataFrame:
+    """The sequences of each target day's star: (fid, day, place, dst, filler, km, bearing,
+    known, today, lagged, {outer}_seq, {outer}_delta).
+
+    targets(fid, day); obs(fid, day, value, outer).  A neighbour is known where it has
+    ``length`` consecutive days up to the target's day: ``lagged`` are its values one day
+    late (the first one twice, so that the day's own value is not among them), ``today``
+    is that value, and the outer columns go along, with the target's less the
+    neighbour's of the day.  Else all of these are 0.
+    """
+    run = Window.partitionBy("fid").orderBy("day").rowsBetween(-(length - 1), 0)
+    rows = obs.where(F.col(value).isNotNull()).select("fid", "day", F.col(value).cast("double").alias("_v"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in outer])
+    kept = rows.select(F.col("fid").alias("dst"), "day", F.collect_list(F.struct("_v", *outer)).over(run).alias("w"), F.min("day").over(run).alias("a"))
+    kept = kept.where((F.size("w") == length) & (F.datediff("day", "a") == length - 1)).drop("a")
+    own = rows.select("fid", "day", F.struct(*outer).alias("own"))
+    out = targets.select("fid", "day").join(own, ["fid", "day"], "left").join(stars, "fid").join(kept, ["dst", "day"], "left")
+    zeros, last = F.array_repeat(F.lit(0.0), length), F.get("w", F.lit(length - 1))
+    values = F.transform("w", lambda x: x["_v"])
+    lagged = F.concat(F.slice(values, 1, 1), F.slice(values, 1, length - 1))
+    made = [F.col("w").isNotNull().alias("known"), F.coalesce(last["_v"], F.lit(0.0)).alias("today"), F.coalesce(lagged, zeros).alias("lagged")]
+    for c in outer:
+        made.append(F.coalesce(F.transform("w", lambda x: x[c]), zeros).alias(f"{c}_seq"))
+        made.append((F.coalesce(F.col(f"own.{c}"), F.lit(0.0)) - F.coalesce(last[c], F.lit(0.0))).alias(f"{c}_delta"))
+    return out.select("fid", "day", "place", "dst", "filler", "km", "bearing", *made)
+
+
 def same_day_neighbours(points: DataFrame, m: int, values: list[str], norms: DataFrame, r_km: float = 150.0) -> DataFrame:
     """(fid, day, rank, dst, km, z-score and known flag a value): the m nearest stations within r_km that report on the day.
 

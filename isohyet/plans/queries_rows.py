@@ -207,15 +207,6 @@ def src17_source_preference(spark, d):
     return series.one_of_each(l, ["slot"], [first.desc(), F.col("source"), F.col("line")]).select("slot", "line", "source", F.lit(1).alias("r"))
 
 
-@query("""SELECT l_orderkey AS file, l_linenumber AS msg, l_partkey AS first, coalesce(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1, -1) AS last FROM lineitem""")
-def src18_byte_ranges(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file").orderBy("msg", "first")
-    l = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("msg"), F.col("l_partkey").alias("first"))
-    return l.withColumn("last", F.coalesce(F.lead("first").over(w) - 1, F.lit(-1)))
-
-
 @query(f"WITH {b.ST} SELECT fid, lat, lon FROM st WHERE lat >= 43 AND lat < 47 AND lon >= -120 AND lon < -110")
 def p01_box(spark, d):
     return qc.inside(b.stations(spark, d), -120, 43, -110, 47).select("fid", "lat", "lon")

@@ -321,12 +321,6 @@ def g15_tiles(spark, d):
     return grid.tiles(b.cells(spark, d), 8).select(F.col("r0").cast("int").alias("r0"), F.col("c0").cast("int").alias("c0"), "n")
 
 
-@query(f"""WITH {b.DD} SELECT fid, count(*) AS n, sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END) AS warm, list_sum(list(obs)) IS NOT NULL AS seq FROM dd GROUP BY 1""")
-def gr01_node_table(spark, d):
-    x = b.daily_obs(spark, d).withColumn("features", F.array("obs", "base", "delta"))
-    return x.groupBy("fid").agg(F.count("*").alias("n"), F.sum((F.col("delta") > 0).cast("long")).alias("warm"), F.bool_and(F.size("features") == 3).alias("seq"))
-
-
 @query(f"""WITH {b.DD}, {b.ST}, {NB} SELECT dd.day, nb.src, nb.dst, round(km, 6) AS km FROM nb JOIN dd ON dd.fid = nb.src JOIN dd z ON z.fid = nb.dst AND z.day = dd.day WHERE rank <= 4 AND nb.src % 10 <> 0""", dates=("day",))
 def j21_daily_edges(spark, d):
     s = b.stations(spark, d)

@@ -11,6 +11,16 @@ def write_station_days(df: DataFrame, path: str) -> None:
     df.repartitionByRange("fid").sortWithinPartitions("fid", "day").write.mode("overwrite").parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """A table in buckets of its keys, sorted inside; joins and groups by these keys read it without an exchange.
+
+    Rows are dealt to the buckets before they are written, so that a bucket is one file.
+    """
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys, *order).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_by_station(df: DataFrame, path: str, key: str = "fid") -> None:
     """One folder a station; only the stations at hand are replaced."""
     df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.qc import first_present
+from ..shared import shared_dir
+
+
+#: Blocks of more files than this are joined without a broadcast.
+MANY = 100_000
+
+
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, at, value): lines of each file, numbered from 0, in as many tasks as there are blocks.
+
+    A task numbers the lines of its block; how many lines stand before the block is
+    added from a count of the lines of each block.  Fails if the blocks of the two scans
+    differ, as they do when their size is changed in between.
+    """
+    shared_dir(spark)
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    first = read.groupBy("file", "block").agg(F.count("*").alias("n"))
+    first = first.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).checkpoint()
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = None, 0
+        for batch in batches:
+            places = []
+            for own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                last, at = own, at + 1 if own == last else 0
+                places.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["value", "file", "block", "i"])
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, value): numbered lines of each file."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    own = read.mapInArrow(number, "value string, file string, block long, i long")
+    small = first.count() <= MANY
+    met = own.join(F.broadcast(first) if small else first, ["file", "block"], "left")
+    known = F.when(F.col("first").isNull(), F.raise_error(F.lit("the blocks of a file changed between two scans"))).otherwise(F.col("first"))
+    return met.select("file", (F.col("i") + known).alias("at"), "value")
 
 
-def fixed_ids(spark: SparkSession, path: str, skip: int, start: int = 0, size: int = 8) -> DataFrame:
+def fixed_ids(spark: SparkSession, path: str | list[str], skip: int, start: int = 0, size: int = 8) -> DataFrame:
     """Distinct ids in columns [start, start + size) after ``skip`` header lines of each file."""
     fid = F.trim(F.regexp_replace(F.substring("value", start + 1, size), "'", ""))
     return lines(spark, path).where(F.col("at") >= skip).select(fid.alias("fid")).where("fid <> ''").distinct()
@@ -37,23 +68,44 @@ BUOY = {"WDIR": "wdir", "WSPD": "wind", "GST": "gust", "WVHT": "wave", "DPD": "d
 MISSING = (99.0, 999.0, 9999.0)
 
 
-def buoy(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Whitespace text with YY MM DD hh mm first; sentinels are null; the first row of a time stays."""
-    part = F.split(F.trim("value"), r"\s+")
-    rows = lines(spark, path).where(F.trim("value").rlike(r"^\d")).select("file", "at", part.alias("p"))
-    year = F.get("p", F.lit(0)).cast("int")
-    stamp = F.make_timestamp(F.when(year < 100, year + 1900).otherwise(year), *[F.get("p", F.lit(i)).cast("int") for i in (1, 2, 3, 4)], F.lit(0))
-    out = rows.select("file", "at", stamp.alias("ts"), *[_number(F.get("p", F.lit(5 + i))).alias(BUOY.get(c, c)) for i, c in enumerate(columns)])
+#: What stands for a missing value in each column.
+OWN_MISSING = {"WDIR": 999.0, "MWD": 999.0, "PRES": 9999.0, "ATMP": 999.0, "WTMP": 999.0, "DEWP": 999.0}
+
+
+def buoy(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, legacy: bool = True) -> DataFrame:
+    """Whitespace text with YY MM DD hh mm first; sentinels are null; the first row of a time stays.
+
+    Without ``columns`` the names come from each file's first line where that is no
+    number, else they are all of ``BUOY`` in order; years of two digits are of 1900, and
+    minutes may be missing.  ``legacy`` takes 99, 999 and 9999 for missing in every
+    column, also a wind direction of 99 degrees; else each column has its own sentinel.
+    """
+    rows = lines(spark, path).withColumn("p", F.split(F.trim("value"), r"\s+"))
+    data = rows.where(F.trim("value").rlike(r"^\d"))
+    if columns is not None:
+        data = data.withColumn("names", F.array(*map(F.lit, ["YY", "MM", "DD", "hh", "mm", *columns])))
+    else:
+        head = rows.where((F.col("at") == 0) & F.trim("value").rlike(r"^[^\d\s]")).select("file", F.split(F.regexp_replace(F.trim("value"), r"^#\s*", ""), r"\s+").alias("names"))
+        default = F.array(*map(F.lit, ["YY", "MM", "DD", "hh", "mm", *BUOY]))
+        data = data.join(head, "file", "left").withColumn("names", F.coalesce("names", default))
+
+    def part(*names: str) -> Column:
+        return F.coalesce(*[F.get("p", (F.array_position("names", n) - 1).cast("int")) for n in names])
+
+    year = part("YY", "YYYY").try_cast("int")
+    numbers = [part(n).try_cast("int") for n in ("MM", "DD", "hh")] + [F.coalesce(part("mm").try_cast("int"), F.lit(0)), F.lit(0)]
+    stamp = F.try_make_timestamp(F.when(year < 100, year + 1900).otherwise(year), *numbers)
+    out = data.select("file", "at", stamp.alias("ts"), *[_number(part(c), c, legacy).alias(BUOY.get(c, c)) for c in (BUOY if columns is None else columns)])
     w = Window.partitionBy("file", "ts").orderBy("at")
     return out.where("ts IS NOT NULL").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "at")
 
 
-def _number(text: Column) -> Column:
+def _number(text: Column, column: str, legacy: bool) -> Column:
     x = text.try_cast("double")
-    return F.when(~x.isin(*MISSING), x)
+    return F.when(~x.isin(*MISSING) if legacy else x != OWN_MISSING.get(column, 99.0), x)
 
 
-def byte_ranges(spark: SparkSession, path: str) -> DataFrame:
+def byte_ranges(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Inventory lines msg:offset:date:var:level:forecast with the range of each message."""
     p = F.split("value", ":")
     rows = lines(spark, path).where(F.size(p) >= 6).select(

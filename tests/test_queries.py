@@ -8,6 +8,7 @@ import isohyet.plans.queries_graph
 import isohyet.plans.queries_io
 import isohyet.plans.queries_rows
 import isohyet.plans.queries_sets
+import isohyet.plans.queries_sources
 import isohyet.plans.queries_tables  # noqa: F401
 from isohyet.plans import registry
 
