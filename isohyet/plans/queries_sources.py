@@ -173,8 +173,8 @@ def gr01_node_table(spark, d):
 @query(f"""WITH {b.DD}, {b.ST}, k AS (SELECT src, dst, km, row_number() OVER (PARTITION BY src ORDER BY km, dst) AS place FROM (SELECT a.fid AS src, z.fid AS dst, {HAV.format(a='a', d='z')} AS km FROM st a JOIN st z ON a.fid <> z.fid) WHERE km <= 40),
 near AS (SELECT src AS fid, dst, place, km FROM k WHERE place <= 6), rec AS (SELECT fid AS dst, row_number() OVER (ORDER BY count(*) DESC, fid) AS h FROM dd GROUP BY fid QUALIFY h <= 8),
 c AS (SELECT st.fid, count(near.dst) AS has FROM st LEFT JOIN near ON near.fid = st.fid GROUP BY 1),
-fill AS (SELECT c.fid, rec.dst, has + row_number() OVER (PARTITION BY c.fid ORDER BY h) AS at FROM c JOIN rec ON rec.dst <> c.fid LEFT JOIN near ON near.fid = c.fid AND near.dst = rec.dst WHERE has < 6 AND near.dst IS NULL QUALIFY at <= 6),
-e AS (SELECT fid, dst, place, false AS filler, km FROM near UNION ALL SELECT fid, dst, at, true, 0 FROM fill),
+fill AS (SELECT c.fid, rec.dst, has + row_number() OVER (PARTITION BY c.fid ORDER BY h) AS spot FROM c JOIN rec ON rec.dst <> c.fid LEFT JOIN near ON near.fid = c.fid AND near.dst = rec.dst WHERE has < 6 AND near.dst IS NULL QUALIFY spot <= 6),
+e AS (SELECT fid, dst, place, false AS filler, km FROM near UNION ALL SELECT fid, dst, spot, true, 0 FROM fill),
 w AS (SELECT fid, day, list(struct_pack(v := obs, o := top)) OVER (PARTITION BY fid ORDER BY day ROWS 2 PRECEDING) AS w, min(day) OVER (PARTITION BY fid ORDER BY day ROWS 2 PRECEDING) AS a FROM dd),
 q AS (SELECT * FROM w WHERE len(w) = 3 AND day - a = 2)
 SELECT dd.fid, dd.day, CAST(e.place AS INT) AS place, e.dst, filler, round(km, 5) AS km, q.fid IS NOT NULL AS known, round(coalesce(w[3].v, 0), 5) AS today, round(coalesce(w[1].v + 10 * w[1].v + 100 * w[2].v, 0), 4) AS lagged,
