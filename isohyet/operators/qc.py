@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import one_row
+from .quantiles import one_row, quantiles
 from .stats import long_form
 
 #: Rejecting bits and accepted flags of hourly observations.
@@ -104,9 +104,8 @@ def filled_by_train_median(df: DataFrame, columns: list[str], train: Column) ->
 
 def unit_facts(df: DataFrame, key: str, column: str) -> DataFrame:
     """Median, maximum and 99th percentile of each group, by which units are guessed."""
-    return df.groupBy(key).agg(
-        F.median(column).alias("med"), F.max(column).alias("top"), F.percentile(column, F.lit(0.99)).alias("p99")
-    )
+    got = quantiles(df, [key], column, [0.5, 0.99, 1.0])
+    return got.select(key, F.col("q")[0].alias("med"), F.col("q")[2].alias("top"), F.col("q")[1].alias("p99"))
 
 
 def guessed_unit(kind: str) -> Column:
@@ -124,11 +123,12 @@ def guessed_unit(kind: str) -> Column:
 
 def modified_z(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Adds z = 0.6745 (x - median) / MAD of the group; null where the MAD is 0."""
-    middle = df.groupBy(*keys).agg(F.median(column).alias("_m"))
-    off = df.join(middle, keys)
-    spread = off.groupBy(*keys).agg(F.median(F.abs(F.col(column) - F.col("_m"))).alias("_d"))
-    out = off.join(spread, keys)
-    return out.withColumn("z", 0.6745 * (F.col(column) - F.col("_m")) / F.nullif(F.col("_d"), F.lit(0.0))).drop("_m", "_d")
+    group = F.struct(*keys)
+    middle = quantiles(df, keys, column, [0.5]).select(group.alias("_k"), F.col("q")[0].alias("_m"))
+    off = df.withColumn("_k", group).join(middle, "_k", "left").withColumn("_a", F.abs(F.col(column) - F.col("_m")))
+    spread = quantiles(off.select(*keys, "_a"), keys, "_a", [0.5]).select(group.alias("_k"), F.col("q")[0].alias("_d"))
+    out = off.drop("_a").join(spread, "_k", "left")
+    return out.withColumn("z", 0.6745 * (F.col(column) - F.col("_m")) / F.nullif(F.col("_d"), F.lit(0.0))).drop("_m", "_d", "_k")
 
 
 def isolated(df: DataFrame, key: str, order: Column, column: str, reach: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import met
 from .qc import first_present
+from .quantiles import quantiles
 from .stats import mixed_hash
 
 
@@ -290,10 +291,10 @@ def graph_checks(edges: DataFrame, nodes: DataFrame, r_km: float) -> DataFrame:
     )
 
 
-def humidity_drift(df: DataFrame, key: str, year: Column, rh: str, accuracy: int = 10_000) -> DataFrame:
-    """The yearly 99th percentile of relative humidity and the factor that lifts it to 100."""
-    got = df.groupBy(key, year.alias("year")).agg(F.percentile_approx(rh, 0.99, accuracy).alias("p99"), F.count(rh).alias("n"))
-    return got.withColumn("factor", 100 / F.nullif(F.col("p99"), F.lit(0.0)))
+def humidity_drift(df: DataFrame, key: str, year: Column, rh: str) -> DataFrame:
+    """The yearly 99th percentile of relative humidity (the value of that rank) and the factor that lifts it to 100."""
+    got = quantiles(df.select(key, year.alias("year"), rh), [key, "year"], rh, [0.99], discrete=True)
+    return got.select(key, "year", F.col("q")[0].alias("p99"), "n").withColumn("factor", 100 / F.nullif(F.col("p99"), F.lit(0.0)))
 
 
 def dew_over_minimum(dew: Column, low: Column, wet: Column, most: float = 2.0) -> Column:

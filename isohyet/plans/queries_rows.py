@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, met
-from ..operators import qc, series
+from ..operators import qc, series, stats
 from . import bindings as b
 from .registry import query
 
@@ -160,8 +160,7 @@ x AS (SELECT l_orderkey, l_linenumber, l_quantity - 1 AS x, xs, ys, len(list_fil
 SELECT l_orderkey, l_linenumber, round(CASE WHEN k = 0 THEN ys[1] WHEN k >= 5 THEN ys[5] ELSE ys[k] + (ys[k + 1] - ys[k]) * (x - xs[k]) / nullif(xs[k + 1] - xs[k], 0) END, 4) AS y FROM x""")
 def f22_quantile_map(spark, d):
     l = b.table(spark, d, "lineitem")
-    at = F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    q = l.groupBy("l_returnflag").agg(F.percentile("l_quantity", at).alias("xs"), F.percentile("l_extendedprice", at).alias("ys"))
+    q = stats.breakpoints(l, ["l_returnflag"], "l_quantity", "l_extendedprice", 5)
     y = geo.quantile_map(F.col("l_quantity") - 1, F.col("xs"), F.col("ys"))
     return l.join(F.broadcast(q), "l_returnflag").select("l_orderkey", "l_linenumber", F.round(y, 4).alias("y"))  # one row a flag
 
