@@ -12,6 +12,7 @@ row without row or column takes no part and gets null; null keys are a group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -57,12 +58,13 @@ class Tile:
         return a[self.at_home]
 
 
-def applied(df: DataFrame, columns: list[str], reach: int, work: Callable, name: str, keys: list[str] = (), size: int = TILE) -> DataFrame:
+def applied(df: DataFrame, columns: list[str], reach: int, work: Callable, name: str | list[str], keys: list[str] = (), size: int = TILE) -> DataFrame:
     """``df`` with a column ``name``, a double, that ``work(tile, arrays)`` gives for a tile's own rows.
 
     arrays are the values of ``columns`` for all rows that the tile sees; what is no
-    number in the result is null.
+    number in the result is null.  For several names, ``work`` gives a list of results.
     """
+    names = [name] if isinstance(name, str) else name
     at = lambda c, d: F.floor((F.col(c) + d) / size).cast("long")
     seen = {f"_v{i}": F.col(c).cast("double") for i, c in enumerate(columns)} | {f"_k{i}": F.col(k) for i, k in enumerate(keys)}
     out = df.select(
@@ -73,21 +75,22 @@ def applied(df: DataFrame, columns: list[str], reach: int, work: Callable, name:
     out = out.withColumn("_tc", F.explode_outer(F.sequence(at("col", -reach), at("col", reach)))).drop("col")
     home = F.floor(F.col("_row") / size).eqNullSafe(F.col("_tr")) & F.floor(F.col("_col") / size).eqNullSafe(F.col("_tc"))
     out = out.withColumn("_home", home).withColumn("_own", F.when(F.col("_home"), F.col("_own")))
-    kind = T.StructType([T.StructField("_own", out.schema["_own"].dataType), T.StructField("_made", T.DoubleType())])
+    kind = T.StructType([T.StructField("_own", out.schema["_own"].dataType), *[T.StructField(f"_m{i}", T.DoubleType()) for i in range(len(names))]])
 
     def tile_rows(table: pa.Table) -> pa.Table:
         home = table["_home"].to_numpy(zero_copy_only=False).astype(bool)
-        made = np.full(int(home.sum()), np.nan)
-        if len(made) and table["_row"][0].is_valid and table["_col"][0].is_valid:
+        made = [np.full(int(home.sum()), np.nan)] * len(names)
+        if home.any() and table["_row"][0].is_valid and table["_col"][0].is_valid:
             tile = Tile(table["_row"].to_numpy(), table["_col"].to_numpy(), home, reach)
-            made = work(tile, [table[f"_v{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))])
+            found = work(tile, [table[f"_v{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))])
+            made = found if len(names) > 1 else [found]
         own = table["_own"].combine_chunks().filter(pa.array(home))
-        return pa.table({"_own": own, "_made": pa.array(made, pa.float64(), from_pandas=True)})
+        return pa.table({"_own": own} | {f"_m{i}": pa.array(m, pa.float64(), from_pandas=True) for i, m in enumerate(made)})
 
     grouped = out.groupBy(*[f"_k{i}" for i in range(len(keys))], "_tr", "_tc")
     done = grouped.applyInArrow(tile_rows, kind)
-    others = [c for c in df.columns if c != name]
-    return done.select(*[F.col("_own").getField(c).alias(c) for c in others], F.col("_made").alias(name))
+    others = [c for c in df.columns if c not in names]
+    return done.select(*[F.col("_own").getField(c).alias(c) for c in others], *[F.col(f"_m{i}").alias(n) for i, n in enumerate(names)])
 
 
 def focal(df: DataFrame, kernel: list[tuple[int, int, float]], value: str, how: str = "mean", cover: float = 0.0, keys: list[str] = (), size: int = TILE) -> DataFrame:
@@ -143,6 +146,49 @@ def seam_gap(df: DataFrame, label: str, reach: int, name: str = "gap", keys: lis
     return applied(df, [label], reach, work, name, keys, size)
 
 
+def ray_steps(azimuths: list[float], distances: list[float], cell: float, half: float = 15.0, rays: int = 3) -> list[tuple[int, int, int, int, float]]:
+    """(azimuth's place, distance's place, rows, columns, metres) of each step along the rays of each sector.
+
+    A step belongs to the shortest distance that reaches it; azimuths are degrees from
+    north, rows go south.
+    """
+    out = []
+    for i, azimuth in enumerate(azimuths):
+        for angle in np.radians(np.linspace(azimuth - half, azimuth + half, rays) if rays > 1 and half > 0 else [azimuth]):
+            for k in range(1, int((max(distances) - cell) / cell) + 2):
+                reach = next(j for j, d in enumerate(distances) if k <= int((d - cell) / cell) + 1)
+                out.append((i, reach, round(-math.cos(angle) * k), round(math.sin(angle) * k), k * cell))
+    return out
+
+
+def shelter(
+    df: DataFrame, value: str, cell: float, azimuths: list[float], distances: list[float], half: float = 15.0, rays: int = 3, keys: list[str] = (), size: int = TILE
+) -> DataFrame:
+    """``df`` with the largest slope, rise over distance, seen from each cell in each sector up to each distance.
+
+    Columns are sx_{azimuth}_{distance in km}k.  A running maximum goes out along the
+    rays, and a shorter distance is read off on the way; cells without a value or beyond
+    the grid are passed over, and where nothing is seen the result is 0.  ``distances``
+    ascend.  A cell without a value has null.
+    """
+    steps = ray_steps(azimuths, distances, cell, half, rays)
+    names = [f"sx_{int(a) % 360:03d}_{int(d // 1000)}k" for a in azimuths for d in distances]
+
+    def work(tile: Tile, arrays: list[np.ndarray]) -> list[np.ndarray]:
+        z = tile.lowest(np.where(np.isnan(arrays[0]), np.inf, arrays[0]))
+        z[np.isinf(z)] = np.nan
+        own, out = tile.shifted(z, 0, 0), []
+        best = np.full((len(azimuths), len(distances), tile.height, tile.width), -np.inf)
+        for i, j, dr, dc, metres in steps:
+            np.fmax(best[i, j], (tile.shifted(z, dr, dc) - own) / metres, out=best[i, j])
+        best = np.maximum.accumulate(best, axis=1)
+        best = np.where(np.isinf(best), 0.0, best)
+        out = [tile.own(np.where(np.isnan(own), np.nan, best[i, j])) for i in range(len(azimuths)) for j in range(len(distances))]
+        return out if len(out) > 1 else out[0]
+
+    return applied(df, [value], max(max(abs(s[2]), abs(s[3])) for s in steps), work, names, keys, size)
+
+
 def _steps(diagonal: bool) -> list[tuple[int, int]]:
     return [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
 

@@ -95,8 +95,8 @@ def present_edges(index: DataFrame, present: DataFrame) -> DataFrame:
 
     index(src: cell, dst: station, km); present(day, fid).  Numbers count from 0 in id order.
     """
-    days = present.select("day", "fid").distinct().groupBy("day").agg(F.array_sort(F.collect_set("fid")).alias("fids"))
-    local = days.select("day", F.posexplode("fids").alias("s", "dst"))
+    place = F.row_number().over(Window.partitionBy("day").orderBy("fid")) - 1
+    local = present.select("day", "fid").distinct().select("day", place.alias("s"), F.col("fid").alias("dst"))
     return index.select("src", "dst", "km").join(local, "dst").select("day", "s", F.col("src").alias("cell"), "km")
 
 

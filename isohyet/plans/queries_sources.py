@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, layers, spatial
+from ..operators import graph, halo, layers, spatial
 from ..shared import shared_dir
-from ..sources import sinks, text
+from ..sources import grids, sinks, text
 from . import bindings as b
 from .queries_rows import HAV
 from .queries_sets import NB
@@ -189,3 +189,66 @@ def j39_filled_stars(spark, d):
         "fid", "day", F.col("place").cast("int").alias("place"), "dst", "filler", F.round("km", 5).alias("km"), "known", F.round("today", 5).alias("today"),
         F.round(weigh("lagged"), 4).alias("lagged"), F.round(weigh("top_seq"), 4).alias("outer_seq"), F.round("top_delta", 5).alias("outer_delta"),
     )
+
+
+AZIMUTHS, DISTANCES = [22.5 * i for i in range(16)], [2000.0, 10_000.0]
+_RAYS = ", ".join(str(x) for x in halo.ray_steps(AZIMUTHS, DISTANCES, 1000.0))
+_SX = ", ".join(f"round(coalesce(max(s) FILTER (az = {i} AND reach <= {j}), 0), 6) AS sx_{int(a):03d}_{int(x) // 1000}k" for i, a in enumerate(AZIMUTHS) for j, x in enumerate(DISTANCES))
+
+
+@query(f"""WITH {b.GR}, o AS (SELECT * FROM (VALUES {_RAYS}) t(az, reach, dr, dc, d)),
+m AS (SELECT g.row, g.col, az, reach, max((n.z - g.z) / d) AS s FROM gr g JOIN o ON true JOIN gr n ON n.row = g.row + dr AND n.col = g.col + dc GROUP BY 1, 2, 3, 4)
+SELECT gr.row, gr.col, {_SX} FROM gr LEFT JOIN m ON m.row = gr.row AND m.col = gr.col GROUP BY 1, 2""")
+def g14_shelter_sectors(spark, d):
+    """Shelter of every cell in 16 sectors of three rays, up to 2 and 10 km."""
+    out = halo.shelter(b.cells(spark, d).select("row", "col", "z"), "z", 1000.0, AZIMUTHS, DISTANCES)
+    return b.rounded(out.drop("z"))
+
+
+@query(f"""WITH {b.EV}, e AS (SELECT max(day) - 9 AS a FROM ev) SELECT day, CAST(fid // 50 AS INT) AS row, CAST(fid % 50 AS INT) AS col, round(avg(value), 6) AS tmp_net, CAST(count(*) AS DOUBLE) AS n_net FROM ev, e WHERE day >= a GROUP BY 1, 2, 3""", dates=("day",))
+def x01_grid_source(spark, d):
+    """The last ten days of a daily grid, read through the data source, which leaves out the other days."""
+    h, path = b.hourly(spark, d), fresh(spark, "grid")
+    cells = h.groupBy("day", F.floor(F.col("fid") / 50).cast("int").alias("row"), (F.col("fid") % 50).cast("int").alias("col"))
+    cells.agg(F.avg("value").alias("TMP"), F.count("*").cast("double").alias("N")).repartition("day").write.partitionBy("day").parquet(path)
+    spark.dataSource.register(grids.GridSource)
+    first = h.agg(F.date_sub(F.max("day"), 9).alias("a")).first().a
+    out = spark.read.format("daily_grid").options(path=path, product="net", columns="TMP=tmp,N=n", first=first.isoformat()).load()
+    return b.rounded(out)
+
+
+@query("""WITH x AS (SELECT o_custkey % 20 AS fid, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS x FROM orders GROUP BY 1, 2), w AS (SELECT *, year(day) + CASE WHEN month(day) >= 10 THEN 1 ELSE 0 END AS wy FROM x)
+SELECT fid, day, round(x * 25.4 - coalesce(lag(x * 25.4) OVER (PARTITION BY fid, wy ORDER BY day), 0), 3) AS prec FROM w""", dates=("day",))
+def src20_water_years(spark, d):
+    """Daily amounts from tables of water years by day and month."""
+    o = b.table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("fid"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("x"))
+    wy = F.year("day") + (F.month("day") >= 10).cast("int")
+    o = o.withColumn("m", F.date_format("day", "MMM"))
+    table = o.groupBy("fid", wy.alias("wy"), F.dayofmonth("day").alias("d")).pivot("m", text.MONTHS).agg(F.sum("x"))
+    return b.rounded(text.water_years(table, "fid", "prec", "inch", cumulative=True), 3)
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS fid, round(42 + c_custkey % 7, 6) AS latitude, round(-120 + c_custkey % 11 / 2.0, 6) AS longitude, c_acctbal AS slope, CAST(c_nationkey AS DOUBLE) AS elevation FROM customer""")
+def src25_station_attributes(spark, d):
+    """Attributes of all stations from four tile files."""
+    c, folder = b.table(spark, d, "customer"), fresh(spark, "tiles")
+    k = F.col("c_custkey")
+    t = c.select(k.alias("fid"), (42 + k % 7).alias("MGRS_Y"), (-120 + k % 11 / 2).alias("MGRS_X"), F.col("c_acctbal").alias("slope"), F.col("c_nationkey").alias("elevation"), F.lit("x").alias("other"), "c_nationkey")
+    files = [as_file(t.where(F.col("c_nationkey") % 4 == i).drop("c_nationkey"), folder, f"tile_{i}.csv") for i in range(4)]
+    return b.rounded(text.station_attributes(spark, files, "fid", ["slope", "elevation"], ("MGRS_Y", "MGRS_X")))
+
+
+@query(f"""WITH {b.EV}, l AS (SELECT max(day) AS last FROM ev), c AS (SELECT day, fid, avg(value) * CASE WHEN day = last THEN 2 ELSE 1 END AS obs FROM ev, l WHERE event_type = 'click' GROUP BY day, fid, last), w AS (SELECT day, fid, avg(value) AS obs, CAST(count(*) AS DOUBLE) AS n FROM ev GROUP BY 1, 2)
+SELECT w.day, CAST(w.fid // 50 AS INT) AS row, CAST(w.fid % 50 AS INT) AS col, round(coalesce(c.obs, w.obs), 6) AS obs, n, CAST(1 AS BIGINT) AS built FROM w LEFT JOIN c ON c.day = w.day AND c.fid = w.fid""", dates=("day",))
+def g25_layer_refresh(spark, d):
+    """A layer of two sources, built twice: the second run finds one day changed and builds that one alone."""
+    h = b.hourly(spark, d)
+    place = [F.floor(F.col("fid") / 50).cast("int").alias("row"), (F.col("fid") % 50).cast("int").alias("col")]
+    clicks = h.where("event_type = 'click'").groupBy("day", *place).agg(F.avg("value").alias("obs"), F.lit(None).cast("double").alias("n")).checkpoint()
+    every = h.groupBy("day", *place).agg(F.avg("value").alias("obs"), F.count("*").cast("double").alias("n")).checkpoint()
+    layer = grids.DayLayer(spark, fresh(spark, "layer"), ["obs", "n"])
+    layer.build([clicks, every])
+    last = h.agg(F.max("day").alias("z")).first().z
+    changed = clicks.withColumn("obs", F.when(F.col("day") == F.lit(last), F.col("obs") * 2).otherwise(F.col("obs")))
+    built = layer.build([changed, every])
+    return b.rounded(layer.read().join(built.agg(F.count("*").alias("built"))))

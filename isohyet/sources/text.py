@@ -143,6 +143,46 @@ def wide_bands(df: DataFrame, key: str, year: str, starts: dict[int, str]) -> Da
     return out.select(key, F.to_date(F.concat_ws("-", F.col("y").cast("string"), "c.at")).alias("day"), "c.band", "c.value")
 
 
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
+def water_years(df: DataFrame, key: str, value: str, unit: str | None = None, cumulative: bool = False, reset: bool = True) -> DataFrame:
+    """(key, day, value) of rows (key, wy, d, Jan .. Dec): a row for each day of the month of a water year.
+
+    Months from October on are of the year before.  ``unit``: ``inch`` to millimetres or
+    ``fahrenheit`` to degrees Celsius.  A cumulative series becomes daily amounts, each
+    less that of the row before; with ``reset`` the count starts anew with the water
+    year, so its first row is its own amount, else that row is less the last year's and
+    only the first of all is null.  Days that no calendar has, and nulls, drop out.
+    """
+    months = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("m"), F.col(n).cast("double").alias("x")) for i, n in enumerate(MONTHS)]))
+    rows = df.select(key, F.col("wy").cast("int").alias("wy"), F.col("d").cast("int").alias("d"), months.alias("c"))
+    year = F.when(F.col("c.m") >= 10, F.col("wy") - 1).otherwise(F.col("wy"))
+    real = F.col("d") <= F.dayofmonth(F.last_day(F.make_date(year, F.col("c.m"), F.lit(1))))
+    x = {None: F.col("c.x"), "inch": F.col("c.x") * 25.4, "fahrenheit": (F.col("c.x") - 32) * 5 / 9}[unit]
+    out = rows.where((F.col("d") >= 1) & real & F.col("c.x").isNotNull()).select(key, "wy", F.make_date(year, "c.m", "d").alias("day"), x.alias(value))
+    if not cumulative:
+        return out.drop("wy")
+    w = Window.partitionBy(key, "wy").orderBy("day") if reset else Window.partitionBy(key).orderBy("day")
+    before = F.lag(value).over(w)
+    return out.withColumn(value, F.col(value) - (F.coalesce(before, F.lit(0.0)) if reset else before)).drop("wy")
+
+
+def station_attributes(spark: SparkSession, files: list[str], key: str, columns: list[str], places: tuple[str, str]) -> DataFrame:
+    """(key, latitude, longitude, columns) of station records in tile files of the same header.
+
+    ``places`` names the files' latitude and longitude.  Of a station's records that of
+    the first file by name stays (ties: the smallest row); what is no number is null.
+    """
+    read = spark.read.csv(files, header=True, enforceSchema=False).withColumn("_file", F.col("_metadata.file_path"))
+    out = read.select(
+        F.col(key), *[F.col(p).try_cast("double").alias(n) for p, n in zip(places, ("latitude", "longitude"), strict=True)],
+        *[F.col(c).try_cast("double").alias(c) for c in columns], "_file",
+    )
+    own = F.struct(*[c for c in out.columns if c != "_file"])
+    return out.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min_by(own, F.struct(F.col("_file"), own)).alias("r")).select("r.*")
+
+
 def drifting_csv(spark: SparkSession, paths: list[str], drop: tuple[str, ...] = (".geo", "system:index")) -> DataFrame:
     """Yearly files of differing columns as one table; ``year`` from the name, all-null rows dropped."""
     out = None

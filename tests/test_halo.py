@@ -140,3 +140,24 @@ def test_shuffle_is_halo_sized(spark):
     dealt = df.selectExpr("explode(sequence(floor((row - 20) / 256), floor((row + 20) / 256))) a", "col")
     dealt = dealt.selectExpr("explode(sequence(floor((col - 20) / 256), floor((col + 20) / 256))) b")
     assert dealt.count() <= 1.4 * df.count()
+
+
+@pytest.mark.parametrize("size", [4, 256])
+def test_shelter(spark, size):
+    rows, df = cells_of(spark, 21, missing=0.05)
+    at = {(r, c): z for _, r, c, z, _, _ in rows if z is not None}
+    azimuths, distances = [0.0, 45.0, 200.0], [2000.0, 4000.0]
+    out = {(r.row, r.col): r for r in halo.shelter(df.select("row", "col", "z"), "z", 1000.0, azimuths, distances, 10.0, 3, size=size).collect()}
+    assert len(out) == len(rows)
+    for (r, c), got in out.items():
+        for a in azimuths:
+            for d in distances:
+                seen = []
+                for angle in (a - 10, a, a + 10):
+                    for k in range(1, int(d / 1000) + 1):
+                        n = r + round(-math.cos(math.radians(angle)) * k), c + round(math.sin(math.radians(angle)) * k)
+                        if n in at and (r, c) in at:
+                            seen.append((at[n] - at[r, c]) / (k * 1000))
+                want = None if (r, c) not in at else max(seen, default=0.0)
+                value = got[f"sx_{int(a):03d}_{int(d // 1000)}k"]
+                assert value == want or abs(value - want) < 1e-12

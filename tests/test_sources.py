@@ -93,3 +93,66 @@ def test_filled_stars(spark):
     by = {r.day.day: r for r in out}
     assert (by[3].known, by[3].today, by[3].lagged, by[3].o_seq, by[3].o_delta) == (True, 3.0, [1.0, 1.0, 2.0], [10.0, 20.0, 30.0], -29.0)
     assert (by[5].known, by[5].today, by[5].lagged, by[5].o_delta) == (False, 0.0, [0.0] * 3, 1.0)
+
+
+def test_grid_source_prunes_days(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from isohyet.sources import grids
+
+    path = f"file://{tmp_path}/grid"
+    rows = spark.range(40).selectExpr("date_add(date'2024-01-01', int(id div 4)) day", "int(id % 2) row", "int(id % 4 div 2) col", "double(id) TMP", "float(id) U")
+    rows.write.partitionBy("day").parquet(path)
+    spark.dataSource.register(grids.GridSource)
+    read = lambda **more: spark.read.format("daily_grid").options(path=path, product="net", columns="TMP=tmp,U=u", **more).load()
+    assert read().columns == ["day", "row", "col", "tmp_net", "u_net"] and read().count() == 40
+    assert read(first="2024-01-03", last="2024-01-04").count() == 8 and read(first="2025-01-01").count() == 0
+    assert grids.available_range(read()) == (dt.date(2024, 1, 1), dt.date(2024, 1, 10))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        few = read(pushdown="true").where((F.col("day") > F.lit(dt.date(2024, 1, 7))) & (F.col("day") <= F.lit(dt.date(2024, 1, 9))) & (F.col("tmp_net") > 28))
+        assert few.rdd.getNumPartitions() == 2
+        assert {(str(r.day), r.tmp_net) for r in few.collect()} == {("2024-01-08", float(i)) for i in (29, 30, 31)} | {("2024-01-09", float(i)) for i in (32, 33, 34, 35)}
+        assert read(pushdown="true").where(F.col("day") == F.lit(dt.date(2030, 1, 1))).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_day_layer_builds_changed_days_alone(spark, tmp_path):
+    import os
+
+    from isohyet.sources import grids
+
+    make = lambda rows: spark.createDataFrame([(dt.date(2024, 1, d), 0, c, x) for d, c, x in rows], "day date, row int, col int, v double")
+    layer = grids.DayLayer(spark, str(tmp_path / "l"), ["v"])
+    a, b = make([(1, 0, 1.0), (2, 0, None)]), make([(1, 0, 9.0), (1, 1, 8.0), (2, 0, 7.0), (3, 0, 6.0)])
+    assert layer.build([a, b]).count() == 3
+    got = lambda: sorted((r.day.day, r.col, r.v) for r in layer.read().collect())
+    assert got() == [(1, 0, 1.0), (1, 1, 8.0), (2, 0, 7.0), (3, 0, 6.0)]
+    stamp = {d: os.stat(f"{layer.path}/layer/{d}").st_mtime_ns for d in os.listdir(f"{layer.path}/layer") if d.startswith("day")}
+    assert [r.day.day for r in layer.build([make([(1, 0, 1.0), (2, 0, 5.0)]), b]).collect()] == [2]
+    assert got() == [(1, 0, 1.0), (1, 1, 8.0), (2, 0, 5.0), (3, 0, 6.0)]
+    after = {d: os.stat(f"{layer.path}/layer/{d}").st_mtime_ns for d in stamp}
+    assert {d for d in stamp if after[d] != stamp[d]} == {"day=2024-01-02"}
+    assert layer.build([make([(1, 0, 1.0), (2, 0, 5.0)]), b]).count() == 0
+    layer.build([make([(1, 0, 1.0), (2, 0, 5.0)]), b.where("day < '2024-01-03'")])
+    assert got() == [(1, 0, 1.0), (1, 1, 8.0), (2, 0, 5.0)]  # a day that no source has any more is not read
+
+
+def test_water_years(spark):
+    columns = "fid string, wy int, d int, " + ", ".join(f"{m} double" for m in text.MONTHS)
+    none = dict.fromkeys(text.MONTHS)
+    row = lambda f, wy, d, **x: (f, wy, d, *(none | x).values())
+    df = spark.createDataFrame([row("a", 2000, 1, Oct=1.0, Nov=3.0, Sep=9.0), row("a", 2001, 1, Oct=2.0), row("a", 2000, 30, Feb=5.0, Jan=4.0), row("a", 2000, 29, Feb=4.5)], columns)
+    days = lambda **k: {str(r.day): r.v for r in text.water_years(df, "fid", "v", **k).collect()}
+    assert days() == {"1999-10-01": 1.0, "1999-11-01": 3.0, "2000-09-01": 9.0, "2000-10-01": 2.0, "2000-01-30": 4.0, "2000-02-29": 4.5}
+    assert days(cumulative=True) == {"1999-10-01": 1.0, "1999-11-01": 2.0, "2000-01-30": 1.0, "2000-02-29": 0.5, "2000-09-01": 4.5, "2000-10-01": 2.0}
+    assert days(cumulative=True, reset=False)["2000-10-01"] == -7.0 and days(cumulative=True, reset=False)["1999-10-01"] is None
+    assert days(unit="fahrenheit")["2000-10-01"] == (2 - 32) * 5 / 9 and days(unit="inch")["2000-10-01"] == 50.8
+
+
+def test_station_attributes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("fid,Y,X,slope,o\ns1,45,-120,1.5,q\ns2,x,-121,,q\n,1,1,1,1\n")
+    (tmp_path / "b.csv").write_text("fid,Y,X,slope,o\ns1,46,-120,9,q\ns3,47,-122,3,q\n")
+    out = text.station_attributes(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "fid", ["slope"], ("Y", "X"))
+    assert {tuple(r) for r in out.collect()} == {("s1", 45.0, -120.0, 1.5), ("s2", None, -121.0, None), ("s3", 47.0, -122.0, 3.0)}
