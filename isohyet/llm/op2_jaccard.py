@@ -406,13 +406,15 @@ def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
     groups = linked(docs, k, num, den, words).where("n_shingles > 0")
     lowest = groups.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("row"))
     keep = _known(lowest, F.col("row.doc_id"), F.col("row.th")).select(*_KEY)
-    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = _known(docs, F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
-    stay = marked.where(worded)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # apart from the names used here
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(own, F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("t"), text.rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    marked = _known(rows, F.col("d"), F.col("t"))
+    stay = marked.where("worded")
     if groups.groupBy("doc_id", "th").count().where("count > 1").head(1):  # rows alike: one of them stays
         stay = stay.dropDuplicates(_KEY)
-    stay = stay.join(keep, _KEY, "left_semi")
-    return stay.unionByName(marked.where(~worded)).drop(*_KEY)
+    stay = stay.join(keep, _KEY, "left_semi").select("row")
+    return stay.unionByName(marked.where("not worded").select("row")).select("row.*")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Test items inside documents: sketches by item size, then exact containment.
 
-An item is its set of k-word shingles (lower case, no punctuation).  Items are
-partitioned by size; an item of q shingles that a document must hold to ``least``
+An item is its set of k-word shingles (lower case, no punctuation).  The sketch is
+sized by the item: one of q shingles that a document must hold to ``least``
 of 100 parts can lack at most ``q - ceil(least * q / 100)`` of them, so of its
 smallest hashes (a bottom-k MinHash sketch) one more than that are kept.  A document
 that contains the item holds one of them for certain: the search loses nothing.
@@ -37,24 +37,20 @@ def texts_of(words: list[str], k: int) -> set[str]:
 
 
 def sketches(items: DataFrame, k: int, least: int) -> DataFrame:
-    """(h, item_id, text): the sketch of each item, as many hashes as its size asks for."""
+    """(h, item_id): the sketch of each item, as many hashes as its size asks for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"h": [], "item_id": [], "text": []}
+            hashes, names = [np.zeros(0, np.int64)], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = np.unique(windows(word_hashes(letters_and_digits(text), _SEEN), k))
                 keep = len(h) - -(-least * len(h) // 100) + 1 if len(h) else 0
-                for x in h[:keep].view(np.int64).tolist():
-                    out["h"].append(x)
-                    out["item_id"].append(item)
-                    out["text"].append(text)
-            yield pa.RecordBatch.from_pydict(
-                out, schema=pa.schema([("h", pa.int64()), ("item_id", pa.int64()), ("text", pa.string())])
-            )
+                hashes.append(h[:keep].view(np.int64))
+                names += [item] * keep
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(names, pa.int64())], names=["h", "item_id"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInArrow(work, "h long, item_id long, text string")
+    return rows.mapInArrow(work, "h long, item_id long")
 
 
 def contains(words: list[str], wanted: list[str], k: int, least: int) -> tuple[int, int] | None:
@@ -138,9 +134,10 @@ def clean_rows(docs: DataFrame, items: DataFrame, k: int = 5, least: int = 80, b
     """The rows of ``docs`` that contain no item, with all their columns."""
     shared = _shared(items, broadcast_bytes)
     if shared is None:
-        marked = docs.withColumn("__th", F.xxhash64("text"))
-        bad = _by_join(marked.select(F.col("__th").alias("doc_id"), "text"), items, k, least).select(F.col("doc_id").alias("__th"))
-        return marked.join(bad.distinct(), "__th", "left_anti").drop("__th")
+        own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # apart from the names used here
+        marked = docs.select(own, F.col("text").alias("text"), F.xxhash64("text").alias("t"))
+        bad = _by_join(marked.select(F.col("t").alias("doc_id"), "text"), items, k, least).select(F.col("doc_id").alias("t"))
+        return marked.join(bad.distinct(), "t", "left_anti").select("row.*")
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
