@@ -215,7 +215,7 @@ def frequent(docs: DataFrame, least: int, shard_bytes: int = 1_500_000) -> DataF
     phrase of three that starts with a phrase of two.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(12, -(-size // shard_bytes))
+    shards = max(96, -(-size // shard_bytes))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -229,7 +229,8 @@ def frequent(docs: DataFrame, least: int, shard_bytes: int = 1_500_000) -> DataF
         if held:
             yield merged(key[1], held, least)
 
-    dealt = stripes(docs, shards).repartition("shard").sortWithinPartitions("shard", "lang")
+    # as many tasks as shards ask for, whatever the session's number
+    dealt = stripes(docs, shards).repartition(-(-shards // 8), "shard").sortWithinPartitions("shard", "lang")
     return materialise(dealt.mapInArrow(work, _COUNTS), "phrase-counts")
 
 
