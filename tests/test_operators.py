@@ -249,14 +249,17 @@ def test_exact_quantiles(spark):
     for g, x in rows:
         if x is not None:
             values.setdefault(g, []).append(x)
-    for accuracy in (2000, 20):  # the sketch's error must not matter
-        got = {r.g: (r.q, r.n) for r in quantiles(df, ["g"], "x", at, accuracy=accuracy).collect()}
+    for edges in (32, 1):  # where the sketch cuts must not matter
+        got = {r.g: (r.q, r.n) for r in quantiles(df, ["g"], "x", at, edges=edges).collect()}
         assert set(got) == set(values)
         for g, xs in values.items():
             assert got[g][1] == len(xs)
             assert got[g][0] == pytest.approx(np.quantile(xs, at).tolist())
     whole = quantiles(df, [], "x", at).collect()
     assert whole[0].q == pytest.approx(np.quantile(sum(values.values(), []), at).tolist())
+    ranks = {r.g: r.q for r in quantiles(df, ["g"], "x", at, discrete=True).collect()}
+    for g, xs in values.items():
+        assert ranks[g] == [sorted(xs)[max(0, math.ceil(round(p * len(xs), 9)) - 1)] for p in at]
     assert quantiles(df.limit(0), [], "x", at).count() == 0
 
 
