@@ -64,8 +64,12 @@ def wind_speed(u: Column, v: Column) -> Column:
 
 
 def wind_from(u: Column, v: Column) -> Column:
-    """Direction that the wind comes from, degrees in [0, 360)."""
-    return _turn(F.degrees(F.atan2(-u, -v)))
+    """Direction that the wind comes from, degrees in [0, 360); without wind that of the signed zeros.
+
+    Spark's atan2 takes -0.0 as 0.0; SQL and numpy do not, so that u = v = 0.0 is 180 there.
+    """
+    calm = F.when(v.cast("double").cast("string") == "0.0", F.lit(180.0)).otherwise(F.lit(0.0))
+    return F.when((u == 0) & (v == 0), calm).otherwise(_turn(F.degrees(F.atan2(-u, -v))))
 
 
 def wind_uv(speed: Column, direction: Column) -> tuple[Column, Column]:
