@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.met import wind_from
 
 def spine(df: DataFrame, key: str, day: str = "day") -> DataFrame:
     """Every (key, day) between each key's first and last day."""
@@ -36,10 +37,9 @@ def local_daily(df: DataFrame, key: str, ts: str, tz: str | Column, value: str,
 
 def vector_daily(df: DataFrame, key: str, ts: str, u: str, v: str) -> DataFrame:
     """Mean speed of the hours and the direction of the mean vector."""
-    turned = F.degrees(F.atan2(-F.avg(u), -F.avg(v)))
     speed = F.avg(F.sqrt(F.col(u) * F.col(u) + F.col(v) * F.col(v)))
-    out = df.groupBy(key, F.to_date(ts).alias("day")).agg(speed.alias("wind"), turned.alias("a"), F.count("*").alias("n_hours"))
-    return out.withColumn("wdir", F.when(F.col("a") < 0, F.col("a") + 360).otherwise(F.col("a"))).drop("a")
+    out = df.groupBy(key, F.to_date(ts).alias("day")).agg(speed.alias("wind"), F.avg(u).alias("_u"), F.avg(v).alias("_v"), F.count("*").alias("n_hours"))
+    return out.withColumn("wdir", wind_from(F.col("_u"), F.col("_v"))).drop("_u", "_v")
 
 
 def priority_rain(df: DataFrame, key: str, day: str, code: str, value: str, codes: list[int]) -> DataFrame:

@@ -33,6 +33,17 @@ def test_wind_round_trip(spark):
     assert (round(r.u, 9), round(r.v, 9)) == (5.0, 1.0)
 
 
+def test_calm_direction_as_in_sql(spark, duck):
+    """Zeros of either sign; a calm day among others."""
+    rows = [(i, dt.datetime(2024, 1, 1, i), u, v) for i, (u, v) in enumerate([(0.0, 0.0), (0.0, -0.0), (-0.0, 0.0), (-0.0, -0.0), (0.0, 2.0), (-1.0, 0.0)])]
+    df = spark.createDataFrame(rows, "fid long, ts timestamp, u double, v double")
+    got = {r.fid: r.d for r in df.select("fid", met.wind_from(F.col("u"), F.col("v")).alias("d")).collect()}
+    by_day = {r.fid: r.wdir for r in series.vector_daily(df, "fid", "ts", "u", "v").collect()}
+    for i, _, u, v in rows:
+        a, b = duck.execute("SELECT degrees(atan2(-u, -v)), degrees(atan2(-avg(u), -avg(v))) FROM (SELECT CAST(? AS DOUBLE) u, CAST(? AS DOUBLE) v) GROUP BY u, v", [u, v]).fetchone()
+        assert (got[i], by_day[i]) == (a + 360 if a < 0 else a, b + 360 if b < 0 else b)
+
+
 def test_vapour_pressure_inverse(spark):
     r = one(spark, t=met.dew_point(met.vapour_pressure(F.lit(12.5))), q=met.ea_from_q(met.q_from_ea(F.lit(1.2), F.lit(90.0)), F.lit(90.0)))
     assert abs(r.t - 12.5) < 1e-9 and abs(r.q - 1.2) < 1e-9
