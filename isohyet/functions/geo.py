@@ -14,7 +14,7 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0))
     b = F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
     h = a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), h))))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

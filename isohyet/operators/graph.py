@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, shuffled
+from .spatial import within
 from .stats import mixed_hash
 
 
@@ -30,15 +32,15 @@ def node_table(
     is supervised if it is finite and, with ``most_abs``, no larger than that; else it is 0.
     """
     first = F.col(targets[0]).cast("double")
-    seen = rows.join(held.select("fid").distinct(), "fid", "left_anti").select(F.col("fid").alias("dst"), "day", first.alias("v"))
+    seen = rows.join(shuffled(held.select("fid").distinct()), "fid", "left_anti").select(F.col("fid").alias("dst"), "day", first.alias("v"))
     seen = seen.where(_finite(F.col("v")))
-    near = edges.select(F.col("src").alias("fid"), "dst").join(seen, "dst").groupBy("fid", "day")
+    near = edges.select(F.col("src").alias("fid"), "dst").join(shuffled(seen), "dst").groupBy("fid", "day")
     near = near.agg(F.avg("v").alias("_mean"), F.stddev_pop("v").alias("_std"), F.count("v").cast("double").alias("_n"))
     doy = 2 * math.pi * F.dayofyear("day") / 365.25
     features = [F.col(c) if c in rows.columns else F.lit(0.0) for c in weather] + [F.col(f"_p.{c}") for c in terrain]
     features += [F.col("_mean"), F.col("_std"), F.col("_n"), F.sin(doy), F.cos(doy), F.col("_p.lat"), F.col("_p.lon")]
     fine = [_finite(F.col(t)) & ((F.abs(t) <= most_abs) if most_abs is not None else F.lit(True)) for t in targets]
-    out = rows.join(places.select("fid", F.struct("lat", "lon", *terrain).alias("_p")), "fid", "left").join(near, ["fid", "day"], "left")
+    out = rows.join(shuffled(places.select("fid", F.struct("lat", "lon", *terrain).alias("_p"))), "fid", "left").join(shuffled(near), ["fid", "day"], "left")
     clean = lambda c: F.when(_finite(c.cast("double")), c.cast("double")).otherwise(F.lit(0.0))
     return out.select(
         "day", "fid", F.array(*map(clean, features)).alias("x"),
@@ -60,11 +62,11 @@ def day_matrix(stations: DataFrame, table: DataFrame, day: Column, columns: list
 
 def retrieved(nodes: DataFrame, edges: DataFrame, excluded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes without excluded ones, numbered from 0 by fid within each day, and the edges between them."""
-    left = nodes.join(excluded.select("fid").distinct(), "fid", "left_anti")
+    left = nodes.join(shuffled(excluded.select("fid").distinct()), "fid", "left_anti")
     left = left.withColumn("local", F.dense_rank().over(Window.partitionBy("day").orderBy("fid")) - 1)
     ids = left.select("day", "fid", "local")
-    out = edges.join(ids.select("day", F.col("fid").alias("src"), F.col("local").alias("s")), ["day", "src"])
-    out = out.join(ids.select("day", F.col("fid").alias("dst"), F.col("local").alias("d")), ["day", "dst"])
+    out = edges.join(shuffled(ids.select("day", F.col("fid").alias("src"), F.col("local").alias("s"))), ["day", "src"])
+    out = out.join(shuffled(ids.select("day", F.col("fid").alias("dst"), F.col("local").alias("d"))), ["day", "dst"])
     return left, out.select("day", "s", "d", *[c for c in edges.columns if c not in ("day", "src", "dst")])
 
 
@@ -107,7 +109,7 @@ def tile_sample(points: DataFrame, n: int, seed: int, box: tuple[float, float, f
 def stars(targets: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """Targets with exactly k neighbours inside the sample, as arrays; others drop out."""
     ids = targets.select("fid").distinct()
-    e = edges.join(ids.withColumnRenamed("fid", "src"), "src", "left_semi").join(ids.withColumnRenamed("fid", "dst"), "dst", "left_semi")
+    e = edges.join(shuffled(ids.withColumnRenamed("fid", "src")), "src", "left_semi").join(shuffled(ids.withColumnRenamed("fid", "dst")), "dst", "left_semi")
     w = Window.partitionBy("src").orderBy("km", "dst")
     e = e.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     pairs = F.array_sort(F.collect_list(F.struct("r", "dst", "km")))
@@ -151,6 +153,35 @@ def spaced(points: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
     return kept
 
 
+def spaced_by_km(points: DataFrame, r_km: float, seed: int) -> DataFrame:
+    """Greedy sample of points of which no two are within r_km, in hash order, without the pairs of points.
+
+    In each round the first open point of each bucket asks whether an open point within
+    r_km is before it.  If none is, it stays, and the points within r_km of it go.  The
+    first open point of all always stays, so the rounds end with the greedy result; a round
+    compares each open point with the few buckets around it.  Points without a place stay.
+    """
+    shared_dir(points.sparkSession)
+    open_ = points.select("fid", "lat", "lon").distinct()
+    kept = open_.where("lat is null or lon is null").select("fid").distinct()
+    open_ = open_.dropna().withColumn("h", mixed_hash(F.col("fid"), seed)).checkpoint()
+    side, turn = r_km / 111.2 / 2, 0
+    while open_.head(1):
+        bucket = [F.floor(F.col("lat") / side), F.floor(F.col("lon") * F.cos(F.radians(F.floor(F.col("lat") / side) * side)) / side)]
+        first = open_.groupBy(*bucket).agg(F.min(F.struct("h", "fid", "lat", "lon")).alias("p")).select("p.*").checkpoint()
+        near = within(open_, first, r_km).select("src", "dst").checkpoint()
+        order = open_.select(F.col("fid").alias("src"), F.struct("h", "fid").alias("a"))
+        other = first.select(F.col("fid").alias("dst"), F.struct("h", "fid").alias("b"))
+        late = near.join(shuffled(order), "src").join(shuffled(other), "dst").where("a < b").select(F.col("dst").alias("fid")).distinct()
+        stay = first.select("fid").join(shuffled(late), "fid", "left_anti").checkpoint()
+        kept, turn = kept.unionByName(stay), turn + 1
+        if turn % 20 == 0:  # else the plan grows with the rounds
+            kept = kept.checkpoint()
+        gone = near.join(shuffled(stay.withColumnRenamed("fid", "dst")), "dst", "left_semi").select(F.col("src").alias("fid"))
+        open_ = open_.join(shuffled(stay.unionByName(gone).distinct()), "fid", "left_anti").checkpoint()
+    return kept.distinct()
+
+
 def merged_lists(lists: list[DataFrame], near: float = 0.2) -> DataFrame:
     """Station lists (fid, name, lat) by precedence: an id that recurs with the same name or
     a near latitude is dropped, else renamed with its list's number and flagged."""

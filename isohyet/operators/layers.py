@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing
-from ..shared import shared_dir
+from ..shared import shared_dir, shuffled
 from .spatial import _start_km, neighbours, ranked, within
 
 HALF_EARTH_KM = 20016.0
@@ -97,7 +97,7 @@ def present_edges(index: DataFrame, present: DataFrame) -> DataFrame:
     """
     place = F.row_number().over(Window.partitionBy("day").orderBy("fid")) - 1
     local = present.select("day", "fid").distinct().select("day", place.alias("s"), F.col("fid").alias("dst"))
-    return index.select("src", "dst", "km").join(local, "dst").select("day", "s", F.col("src").alias("cell"), "km")
+    return index.select("src", "dst", "km").join(shuffled(local), "dst").select("day", "s", F.col("src").alias("cell"), "km")
 
 
 def patch_arrays(cells: DataFrame, bands: list[str], norms: DataFrame, size: int, keys: list[str] = ()) -> DataFrame:
@@ -114,7 +114,7 @@ def patch_arrays(cells: DataFrame, bands: list[str], norms: DataFrame, size: int
 
 def sampled_slices(cell_of: DataFrame, slices: DataFrame) -> DataFrame:
     """Each station's rows of its cell: cell_of(fid, cell), slices(cell, ...)."""
-    return cell_of.select("fid", "cell").join(slices, "cell")
+    return cell_of.select("fid", "cell").join(shuffled(slices), "cell")
 
 
 def star_windows(targets: DataFrame, edges: DataFrame, sequences: DataFrame, length: int) -> DataFrame:
@@ -122,9 +122,9 @@ def star_windows(targets: DataFrame, edges: DataFrame, sequences: DataFrame, len
 
     targets(fid, day); edges(src, dst, rank, km, bearing); sequences(fid, end, seq) as series.sequences gives them.
     """
-    near = targets.select("fid", "day").join(edges.select(F.col("src").alias("fid"), "dst", "rank", "km", "bearing"), "fid")
+    near = targets.select("fid", "day").join(shuffled(edges.select(F.col("src").alias("fid"), "dst", "rank", "km", "bearing")), "fid")
     seen = sequences.select(F.col("fid").alias("dst"), F.col("end").alias("day"), "seq")
-    out = near.join(seen, ["dst", "day"], "left").withColumn("known", F.col("seq").isNotNull())
+    out = near.join(shuffled(seen), ["dst", "day"], "left").withColumn("known", F.col("seq").isNotNull())
     return out.withColumn("seq", F.coalesce("seq", F.array_repeat(F.lit(0.0), length)))
 
 
@@ -140,7 +140,7 @@ def filled_stars(edges: DataFrame, stations: DataFrame, records: DataFrame, n: i
     longest = records.select("fid", "days").orderBy(F.desc("days"), "fid").limit(holders)
     longest = longest.agg(F.array_sort(F.collect_list(F.struct((-F.col("days")).alias("d"), "fid"))).alias("h"))
     held = near.groupBy("fid").agg(F.collect_list("dst").alias("has"))  # n at most
-    short = stations.select("fid").distinct().join(held, "fid", "left").withColumn("has", F.coalesce("has", F.array().cast(held.schema["has"].dataType)))
+    short = stations.select("fid").distinct().join(shuffled(held), "fid", "left").withColumn("has", F.coalesce("has", F.array().cast(held.schema["has"].dataType)))
     short = short.where(F.size("has") < n).join(F.broadcast(longest))
     free = F.filter(F.transform("h", lambda x: x["fid"]), lambda x: (x != F.col("fid")) & ~F.array_contains("has", x))
     more = short.select("fid", F.size("has").alias("c"), F.posexplode(F.slice(free, F.lit(1), n - F.size("has"))).alias("i", "dst"))
@@ -163,7 +163,7 @@ def star_samples(targets: DataFrame, stars: DataFrame, obs: DataFrame, value: st
     kept = rows.select(F.col("fid").alias("dst"), "day", F.collect_list(F.struct("_v", *outer)).over(run).alias("w"), F.min("day").over(run).alias("a"))
     kept = kept.where((F.size("w") == length) & (F.datediff("day", "a") == length - 1)).drop("a")
     own = rows.select("fid", "day", F.struct(*outer).alias("own"))
-    out = targets.select("fid", "day").join(own, ["fid", "day"], "left").join(stars, "fid").join(kept, ["dst", "day"], "left")
+    out = targets.select("fid", "day").join(shuffled(own), ["fid", "day"], "left").join(shuffled(stars), "fid").join(shuffled(kept), ["dst", "day"], "left")
     zeros, last = F.array_repeat(F.lit(0.0), length), F.get("w", F.lit(length - 1))
     values = F.transform("w", lambda x: x["_v"])
     lagged = F.concat(F.slice(values, 1, 1), F.slice(values, 1, length - 1))
@@ -184,7 +184,7 @@ def same_day_neighbours(points: DataFrame, m: int, values: list[str], norms: Dat
     """
     other = points.select(F.col("fid").alias("dst"), "day", *values)
     near = neighbours(points, points, m, r_km, keys=["day"]).select("src", "day", "rank", "dst", "km")
-    met = near.join(other, ["dst", "day"]).join(F.broadcast(norms))  # one row
+    met = near.join(shuffled(other), ["dst", "day"]).join(F.broadcast(norms))  # one row
     made = []
     for v in values:
         made.append(F.coalesce((F.col(v) - F.col(f"{v}_mean")) / F.nullif(F.col(f"{v}_std"), F.lit(0.0)), F.lit(0.0)).alias(v))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shuffled
 from .quantiles import quantiles
 
 
@@ -72,13 +73,13 @@ def innovations(table: DataFrame, edges: DataFrame, holdout: DataFrame, values:
     edges(src, dst): dst is a neighbour of src.  Holdout stations never feed another
     station.  Rows without a neighbour keep null statistics and the number 0.
     """
-    sources = table.join(holdout.select("fid").distinct(), "fid", "left_anti")
+    sources = table.join(shuffled(holdout.select("fid").distinct()), "fid", "left_anti")
     sources = sources.select(F.col("fid").alias("dst"), "day", *[F.col(v).alias(f"_{v}") for v in values])
-    met = edges.select("src", "dst").join(sources, "dst").groupBy(F.col("src").alias("fid"), "day")
+    met = edges.select("src", "dst").join(shuffled(sources), "dst").groupBy(F.col("src").alias("fid"), "day")
     aggs = []
     for v in values:
         aggs += [F.avg(f"_{v}").alias(f"inn_{v}_mean"), F.stddev_pop(f"_{v}").alias(f"inn_{v}_std"), F.count(f"_{v}").alias(f"inn_{v}_n")]
-    out = table.join(met.agg(*aggs), ["fid", "day"], "left")
+    out = table.join(shuffled(met.agg(*aggs)), ["fid", "day"], "left")
     return out.withColumns({f"inn_{v}_n": F.coalesce(f"inn_{v}_n", F.lit(0)) for v in values})
 
 

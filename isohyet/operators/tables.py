@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import met
+from ..shared import shuffled
 from .qc import first_present
 from .quantiles import quantiles
 from .stats import mixed_hash
@@ -131,7 +132,7 @@ def matched_sensors(a: DataFrame, b: DataFrame, keys: list[str], key: str, share
 def split_pairs(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """Pairs (i, j, day) as sample numbers, with the split of both ends; pairs across splits go."""
     end = lambda x: samples.select(F.col("fid").alias(x), "day", F.col("sample").alias(f"s{x}"), F.col("split").alias(f"p{x}"))
-    both = pairs.join(end("i"), ["i", "day"]).join(end("j"), ["j", "day"])
+    both = pairs.join(shuffled(end("i")), ["i", "day"]).join(shuffled(end("j")), ["j", "day"])
     return both.where("pi = pj").select("si", "sj", F.col("pi").alias("split"))
 
 
@@ -147,10 +148,10 @@ def drifted(old: DataFrame, new: DataFrame, km: Column, most_km: float = 0.25) -
 def usable_edges(edges: DataFrame, valid: list[DataFrame], n: int) -> DataFrame:
     """Edges between nodes of all ``valid`` tables, of sources that keep at least n."""
     for nodes in valid:
-        edges = edges.join(nodes.select(F.col("fid").alias("src")).distinct(), "src", "left_semi")
-        edges = edges.join(nodes.select(F.col("fid").alias("dst")).distinct(), "dst", "left_semi")
+        edges = edges.join(shuffled(nodes.select(F.col("fid").alias("src")).distinct()), "src", "left_semi")
+        edges = edges.join(shuffled(nodes.select(F.col("fid").alias("dst")).distinct()), "dst", "left_semi")
     enough = edges.groupBy("src").count().where(F.col("count") >= n).select("src")
-    return edges.join(enough, "src", "left_semi")
+    return edges.join(shuffled(enough), "src", "left_semi")
 
 
 def daily_maps(df: DataFrame, maps: Mapping[str, str], ts: Column) -> DataFrame:
@@ -271,20 +272,20 @@ def node_table(df: DataFrame, features: list[str], targets: list[str], holdout:
 
 def station_graph(edges: DataFrame, stations: DataFrame, columns: list[str], train: DataFrame) -> DataFrame:
     """Static edges with attribute deltas; attributes are scaled to 0..1 by the training stations."""
-    ends = stations.join(train, "fid", "left_semi").agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    ends = stations.join(shuffled(train), "fid", "left_semi").agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
     low = stations.join(F.broadcast(ends), F.lit(True))  # one row
     scaled = {c: (F.col(c) - F.col(f"lo_{c}")) / F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0.0)) for c in columns}
     node = low.select("fid", *[x.alias(c) for c, x in scaled.items()])
     a = node.select(F.col("fid").alias("src"), *[F.col(c).alias(f"a_{c}") for c in columns])
     b = node.select(F.col("fid").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    out = edges.join(a, "src").join(b, "dst")
+    out = edges.join(shuffled(a), "src").join(shuffled(b), "dst")
     return out.select(*edges.columns, *[(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"d_{c}") for c in columns])
 
 
 def graph_checks(edges: DataFrame, nodes: DataFrame, r_km: float) -> DataFrame:
     """One row: edges, self loops, edges beyond the radius, ends that are no node, repeated edges."""
     known = nodes.select(F.col("fid").alias("dst"), F.lit(1).alias("known")).distinct()
-    n = edges.groupBy("src", "dst", "km").agg(F.count("*").alias("n")).join(known, "dst", "left")
+    n = edges.groupBy("src", "dst", "km").agg(F.count("*").alias("n")).join(shuffled(known), "dst", "left")
     return n.agg(
         F.sum("n").alias("edges"), F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("loops"), F.count(F.when(F.col("km") > r_km, 1)).alias("far"),
         F.count(F.when(F.col("known").isNull(), 1)).alias("unknown"), F.count(F.when(F.col("n") > 1, 1)).alias("repeated"),

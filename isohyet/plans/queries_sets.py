@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grid, series, spatial, stats
-from ..shared import shared_dir
+from ..shared import shared_dir, shuffled
 from . import bindings as b
 from .queries_rows import HAV
 from .registry import query
@@ -326,7 +326,7 @@ def j21_daily_edges(spark, d):
     s = b.stations(spark, d)
     e = spatial.neighbours(s, s, 4, 150.0).where(F.col("src") % 10 != 0).select("src", "dst", "km")
     day = b.daily_obs(spark, d).select("fid", "day")
-    out = e.join(day.withColumnRenamed("fid", "src"), "src").join(day.withColumnRenamed("fid", "dst"), ["dst", "day"])
+    out = e.join(shuffled(day.withColumnRenamed("fid", "src")), "src").join(shuffled(day.withColumnRenamed("fid", "dst")), ["dst", "day"])
     return b.rounded(out.select("day", "src", "dst", "km"))
 
 
@@ -334,7 +334,7 @@ def j21_daily_edges(spark, d):
 SELECT src AS fid, round(CASE WHEN count(*) >= 2 THEN sum(v / (km * km)) / sum(1 / (km * km)) END, 5) AS v, count(*) AS n FROM e WHERE r <= 6 GROUP BY 1""")
 def g10_inverse_distance(spark, d):
     s = b.stations(spark, d)
-    k = b.daily_obs(spark, d).where(F.col("fid") % 10 != 0).groupBy("fid").agg(F.avg("delta").alias("v")).join(s, "fid")
+    k = b.daily_obs(spark, d).where(F.col("fid") % 10 != 0).groupBy("fid").agg(F.avg("delta").alias("v")).join(shuffled(s), "fid")
     out = spatial.idw(k, s.where(F.col("fid") % 10 == 0), "v", 150.0, 6)
     return out.select("fid", F.round("v", 5).alias("v"), "n")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, met
 from ..operators import grid, qc, series, spatial, stats, tables
-from ..shared import shared_dir
+from ..shared import shared_dir, shuffled
 from . import bindings as b
 from .queries_rows import HAV
 from .queries_sets import NB, H
@@ -170,8 +170,8 @@ def j22_terrain_edges(spark, d):
     e = spatial.neighbours(s, s, 4, 150.0).where("dst % 10 <> 0")
     w = b.hourly(spark, d).groupBy("fid", "day").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
     side = lambda x: s.select(F.col("fid").alias(x), F.col("elev").alias(f"e_{x}"))
-    out = e.join(side("src"), "src").join(side("dst"), "dst").join(w.withColumnRenamed("fid", "src"), "src")
-    out = out.join(w.select(F.col("fid").alias("dst"), "day"), ["dst", "day"])
+    out = e.join(shuffled(side("src")), "src").join(shuffled(side("dst")), "dst").join(shuffled(w.withColumnRenamed("fid", "src")), "src")
+    out = out.join(shuffled(w.select(F.col("fid").alias("dst"), "day")), ["dst", "day"])
     up, _ = geo.upwind(F.col("u"), F.col("v"), F.col("bearing"))
     return out.select("day", "src", "dst", F.round("km", 6).alias("km"), F.round(F.col("e_src") - F.col("e_dst"), 6).alias("d_elev"), F.round(up, 5).alias("upwind"))
 
@@ -191,7 +191,7 @@ def j29_split_pairs(spark, d):
     split = F.when(stats.mixed_hash(F.col("fid"), 3) < 70000, "train").otherwise("val").alias("split")
     samples = o.select("fid", "day", (F.col("fid") * 100000 + dayno()).alias("sample"), split)
     e = spatial.neighbours(s, s, 3, 150.0).select(F.col("src").alias("i"), F.col("dst").alias("j"))
-    return tables.split_pairs(e.join(o.select(F.col("fid").alias("i"), "day"), "i"), samples)
+    return tables.split_pairs(e.join(shuffled(o.select(F.col("fid").alias("i"), "day")), "i"), samples)
 
 
 @query(f"""WITH {b.ST}, n AS (SELECT CASE WHEN fid % 4 = 0 THEN fid + 1000000 ELSE fid END AS fid, lat + 0.01 * (fid % 2) AS lat, lon FROM st)
@@ -224,7 +224,7 @@ def j38_nearest_cell(spark, d):
     shared_dir(spark)
     s, c = b.stations(spark, d), placed_cells(spark, d)
     near = spatial.nearest(s.select("fid", "lat", "lon"), c.select("fid", "lat", "lon"), 25.0)
-    out = near.select(F.col("src").alias("fid"), F.col("dst").alias("cell"), "km").join(s.select("fid", "elev"), "fid").join(c.select(F.col("fid").alias("cell"), "z"), "cell")
+    out = near.select(F.col("src").alias("fid"), F.col("dst").alias("cell"), "km").join(shuffled(s.select("fid", "elev")), "fid").join(shuffled(c.select(F.col("fid").alias("cell"), "z")), "cell")
     return out.select("fid", "cell", F.round("km", 5).alias("km"), F.round(F.col("elev") - F.col("z"), 6).alias("above"), F.round("z", 6).alias("z"))
 
 

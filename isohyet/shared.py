@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     elif context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: joined by its keys, and not sent whole through
+    the driver where its estimated size is small."""
+    return side.hint("merge")

@@ -100,6 +100,32 @@ def test_within_against_brute_force(spark, r):
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(km <= r), strict=True)}
 
 
+def test_within_beyond_a_pole(spark):
+    """Latitudes that go on beyond a pole mean the place on its other side, as in the distance."""
+    rows = [(1, 89.9, 10.0), (2, 90.1, 10.0), (3, 89.9, -170.0), (4, 44.0, -120.0), (5, 404.0, -120.0), (6, 136.0, 60.0), (7, -270.0, 3.0)]
+    df = spark.createDataFrame(rows, "fid long, lat double, lon double")
+    got = {(x.src, x.dst) for x in spatial.within(df, df, 30.0).collect()}
+    groups = [{1, 2, 3, 7}, {4, 5, 6}]
+    assert got == {(a, b) for g in groups for a in g for b in g if a != b}
+
+
+def test_neighbours_send_no_side_through_the_driver(spark, tmp_path):
+    """Files whose estimated size is below the limit of a broadcast."""
+    spark.range(500).selectExpr("id fid", "42 + id * 0.01d lat", "-120 + id * 0.01d lon").write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    day = df.select("fid", F.current_date().alias("day"), F.col("lat").alias("d"))
+    for made in (spatial.within(df, df, 20.0), stats.innovations(day, spatial.neighbours(df, df, 2), df.select("fid"), ["d"]), spatial.not_near(df, df, 5.0)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spaced_without_pairs(spark):
+    """As the greedy choice over all pairs."""
+    df = spark.range(300).selectExpr("id fid", "42 + (id * 7919 % 1009) / 500d lat", "-120 + (id * 104729 % 2003) / 700d lon")
+    df = df.unionByName(spark.createDataFrame([(900, None, 1.0)], "fid long, lat double, lon double"))
+    want = graph.spaced(df, spatial.within(df, df, 40.0), 3)
+    assert sorted(r.fid for r in graph.spaced_by_km(df, 40.0, 3).collect()) == sorted(r.fid for r in want.collect())
+
+
 def test_innovations_leave_holdout_out(spark):
     day = dt.date(2024, 1, 1)
     table = spark.createDataFrame([(1, day, 1.0), (2, day, 3.0), (3, day, 100.0), (4, day, None)], "fid long, day date, d double")
