@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, spatial, stats
-from ..shared import shared_dir
+from ..shared import shuffled
 from . import bindings as b
 from .queries_rows import HAV
 from .queries_sets import NB, H
@@ -31,7 +31,7 @@ SELECT a.day, CAST(a.local AS INT) AS s, CAST(z.local AS INT) AS d, round(km, 6)
 def gr07_graph_retrieval(spark, d):
     s, nodes = b.stations(spark, d), b.daily_obs(spark, d).select("day", "fid")
     e = spatial.neighbours(s, s, 8, 150.0).select("src", "dst", "km")
-    e = e.join(nodes.withColumnRenamed("fid", "src"), "src").select("day", "src", "dst", "km")
+    e = e.join(shuffled(nodes.withColumnRenamed("fid", "src")), "src").select("day", "src", "dst", "km")
     _, out = graph.retrieved(nodes, e, nodes.where(F.col("fid") % 10 == 0))
     return b.rounded(out)
 
@@ -46,7 +46,7 @@ def j15_padded_neighbours(spark, d):
 SELECT src, CAST(rank AS INT) AS rank, CASE WHEN km > 60 THEN -1 ELSE dst END AS dst, round(CASE WHEN km > 60 THEN 0 ELSE km END, 6) AS km FROM r WHERE rank <= 4""")
 def j17_pixel_index(spark, d):
     s = b.stations(spark, d)
-    e = spatial.ranked(spatial.within(s, s.where(F.col("fid") % 5 == 0), 300.0, keep_self=True), 4)
+    e = spatial.neighbours(s, s.where(F.col("fid") % 5 == 0), 4, 300.0, keep_self=True)
     return b.rounded(graph.with_sentinels(e, 60.0))
 
 
@@ -65,8 +65,8 @@ def s11_tile_sample(spark, d):
 SELECT e.src AS fid, CAST(r - 1 AS INT) AS i, dst, round(km, 6) AS km FROM e JOIN k ON k.src = e.src WHERE r <= 5 AND n = 5""")
 def s12_star_sample(spark, d):
     s = b.stations(spark, d)
-    e = spatial.within(s, s, 150.0).select("src", "dst", "km")
-    out = graph.stars(s.where(F.col("fid") % 3 == 0), e, 5)
+    third = s.where(F.col("fid") % 3 == 0)
+    out = graph.stars(third, spatial.neighbours(third, third, 5, 150.0).select("src", "dst", "km"), 5)
     out = out.select("fid", F.posexplode(F.arrays_zip("dst", "km")).alias("i", "p"))
     return b.rounded(out.select("fid", "i", F.col("p.dst").alias("dst"), F.col("p.km").alias("km")))
 
@@ -92,9 +92,7 @@ def s15_window_pairs(spark, d):
 @query()
 def s10_spaced_sample(spark, d):
     """Stations of which no two are closer than 40 km, greedy in hash order."""
-    shared_dir(spark)
-    s = b.stations(spark, d)
-    return graph.spaced(s, spatial.within(s, s, 40.0), 3)
+    return graph.spaced_by_km(b.stations(spark, d), 40.0, 3)
 
 
 @query("""WITH x AS (SELECT 'N' || c_nationkey || '_' || c_custkey % 40 AS fid, c_name AS name, c_acctbal / 200 AS lat, 0 AS list FROM customer UNION ALL SELECT 'N' || s_nationkey || '_' || s_suppkey % 40, s_name, s_acctbal / 200, 1 FROM supplier),
@@ -142,7 +140,7 @@ def a42_pair_skill(spark, d):
     e = spatial.neighbours(s, s, 16, 150.0).select("src", "dst")
     x = b.daily_obs(spark, d).select("fid", "day", "obs", "base")
     side = lambda n: x.select(F.col("fid").alias(n), "day", F.col("obs").alias(f"o_{n}"), F.col("base").alias(f"b_{n}"))
-    out = e.join(side("src"), "src").join(side("dst"), ["dst", "day"])
+    out = e.join(shuffled(side("src")), "src").join(shuffled(side("dst")), ["dst", "day"])
     gap = F.abs((F.col("b_src") - F.col("b_dst")) - (F.col("o_src") - F.col("o_dst")))
     return b.rounded(out.groupBy((F.col("src") % 10 == 0).alias("held")).agg(F.count("*").alias("n"), F.avg(gap).alias("mae")))
 
