@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import shuffled
 from .spatial import idw
 
 
@@ -75,7 +76,7 @@ def surface(stations: DataFrame, cells: DataFrame, coefficient: str, r_km: float
     rest = s.withColumn("rest", F.col(coefficient) - line()).select("fid", "lat", "lon", "rest")
     out = terrain_features(cells).withColumn("line", line())
     near = idw(rest, cells, "rest", r_km, k)
-    return out.join(near.select("fid", "rest"), "fid", "left").withColumn(coefficient, F.col("line") + F.coalesce("rest", F.lit(0.0))).drop("line", "rest", "z", "z2", "latz")
+    return out.join(shuffled(near.select("fid", "rest")), "fid", "left").withColumn(coefficient, F.col("line") + F.coalesce("rest", F.lit(0.0))).drop("line", "rest", "z", "z2", "latz")
 
 
 def evaluated(coef: DataFrame, key: str, cycles: int = 2) -> DataFrame:
@@ -85,6 +86,13 @@ def evaluated(coef: DataFrame, key: str, cycles: int = 2) -> DataFrame:
     return days.select(key, "doy", value.alias("value"))
 
 
+def evaluated_at(rows: DataFrame, coef: DataFrame, key: str, doy: str, cycles: int = 2) -> DataFrame:
+    """Rows of days 1 to 365 with their key's value on that day, from coefficient arrays; others drop out."""
+    value = sum((F.col("coef")[i] * x for i, x in enumerate(basis(F.col(doy), cycles))), F.lit(0.0))
+    met = rows.where(F.col(doy).between(1, 365)).join(shuffled(coef.select(key, "coef")), key)
+    return met.withColumn("value", value).drop("coef")
+
+
 def line(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
     """(keys, intercept, slope, n) of the least-squares line, over rows with both values; null where x does not vary."""
     return df.groupBy(*keys).agg(F.regr_intercept(y, x).alias("intercept"), F.regr_slope(y, x).alias("slope"), F.regr_count(y, x).alias("n"))

@@ -106,9 +106,10 @@ def w11_repeated_years(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY g2, dst) AS near, row_number() OVER (PARTITION BY src ORDER BY g2 DESC, dst DESC) AS far, count(*) OVER (PARTITION BY src) AS n FROM e)
 SELECT src, dst, round(km, 5) AS km FROM r WHERE n <= 10 OR near <= 7 OR far <= 3""")
 def j14_similar_neighbours(spark, d):
-    s = b.stations(spark, d)
+    s, v = b.stations(spark, d), b.vectors(spark, d)
+    s = s.join(v.select("fid").distinct(), "fid", "left_semi")  # others have no candidates and are none
     e = spatial.within(s, s, 120.0).select("src", "dst", "km")
-    return b.rounded(spatial.similar_neighbours(e, b.vectors(spark, d), 10).select("src", "dst", F.round("km", 5).alias("km")))
+    return b.rounded(spatial.similar_neighbours(e, v, 10).select("src", "dst", F.round("km", 5).alias("km")))
 
 
 @query(f"""WITH {b.ST}, c AS (SELECT src, dst, km FROM (SELECT a.fid AS src, z.fid AS dst, {HAV.format(a='a', d='z')} AS km FROM st a JOIN st z ON a.fid <> z.fid) WHERE km <= 150),
