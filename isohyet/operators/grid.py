@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import aspect_class
+from ..shared import shuffled
 from .halo import borders, focal, patches, position_index  # noqa: F401
 
 
@@ -72,12 +73,15 @@ def bilinear(df: DataFrame, points: DataFrame, value: str) -> DataFrame:
     return met.groupBy("id").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0.0))).alias(value))
 
 
-def adjacency(df: DataFrame, diagonal: bool = False) -> DataFrame:
-    """(row, col, row2, col2) of neighbouring cells that are both there, both ways."""
+def adjacency(df: DataFrame, diagonal: bool = False, values: list[str] = ()) -> DataFrame:
+    """(row, col, row2, col2) of neighbouring cells that are both there, both ways; with the ``values`` of
+    the cell and, as {value}2, of the other one."""
     steps = [(a, b, 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
-    a = df.select("row", "col", F.explode(offsets(None, steps)).alias("o"))
-    a = a.select("row", "col", (F.col("row") + F.col("o.dr")).alias("row2"), (F.col("col") + F.col("o.dc")).alias("col2"))
-    return a.join(df.select(F.col("row").alias("row2"), F.col("col").alias("col2")), ["row2", "col2"]).select("row", "col", "row2", "col2")
+    a = df.select("row", "col", *values, F.explode(offsets(None, steps)).alias("o"))
+    a = a.select("row", "col", *values, (F.col("row") + F.col("o.dr")).alias("row2"), (F.col("col") + F.col("o.dc")).alias("col2"))
+    other = [f"{c}2" for c in values]
+    b = df.select(*[F.col(c).alias(f"{c}2") for c in ("row", "col", *values)])
+    return a.join(shuffled(b), ["row2", "col2"]).select("row", "col", "row2", "col2", *values, *other)
 
 
 def connected(edges: DataFrame) -> DataFrame:

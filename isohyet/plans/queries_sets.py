@@ -185,8 +185,7 @@ def j24_not_near_all(spark, d):
 @query(f"""WITH {b.GR} SELECT a.row, a.col, z.row AS row2, z.col AS col2, round(z.z - a.z, 6) AS dz FROM gr a JOIN gr z ON abs(a.row - z.row) + abs(a.col - z.col) = 1""")
 def j25_grid_edges(spark, d):
     g = b.cells(spark, d)
-    e = grid.adjacency(g).join(g.select("row", "col", "z"), ["row", "col"])
-    e = e.join(g.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("z").alias("z2")), ["row2", "col2"])
+    e = grid.adjacency(g, values=["z"])
     return b.rounded(e.select("row", "col", "row2", "col2", (F.col("z2") - F.col("z")).alias("dz")))
 
 

@@ -118,6 +118,20 @@ def test_neighbours_send_no_side_through_the_driver(spark, tmp_path):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_queries_of_neighbours_send_no_side_through_the_driver(spark):
+    """No join of these is by a broadcast of a side that grows with the input, though the tables are small."""
+    for name in ("j11_knn_graph", "g22_graph_checks", "j25_grid_edges"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_adjacency_carries_values(spark):
+    df = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 1, None)], "row int, col int, z double")
+    got = {tuple(r) for r in grid.adjacency(df, values=["z"]).collect()}
+    assert got == {(0, 0, 0, 1, 1.0, 2.0), (0, 1, 0, 0, 2.0, 1.0), (0, 1, 1, 1, 2.0, None), (1, 1, 0, 1, None, 2.0)}
+    assert {tuple(r) for r in grid.adjacency(df).collect()} == {g[:4] for g in got}
+
+
 def test_far_places_go_through_the_tree(spark):
     """Nearest points of places on the whole sphere, with and without heights, as by brute force."""
     rng = np.random.default_rng(5)
