@@ -110,3 +110,21 @@ def test_rejection_stream_out_of_order(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == monitored(rows, 10, 0.5)
     kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(kept) >= 5 and kept[-1] <= 1  # what no open day can reach has left the state
+
+
+def test_rejection_stream_calls_by_shard(spark, tmp_path):
+    """Python is called for a shard of stations, not for each station; a station may be null, a count too."""
+    start = dt.date(2024, 1, 1)
+    days = [start + dt.timedelta(days=i) for i in range(4)]
+    rows = [(f, d, 2, f % 3) for f in range(2**60, 2**60 + 40) for d in days] + [(None, days[1], 4, 1), (0, days[1], 3, None)]
+    schema = "fid long, day date, n long, bad long"
+    for b in (rows, [(-1, start + dt.timedelta(days=30), 0, 0)]):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = streams.rejection_stream(source, 2, 0.5, shards=4).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query = run.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.fid, r.day): (r.n, r.bad, r.rate, r.listed) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(f, d): (2, f % 3, f % 3 / 2, f % 3 == 2) for f in range(2**60, 2**60 + 40) for d in days}
+    assert got == want | {(None, days[1]): (4, 1, 0.25, False), (0, days[1]): (3, 0, 0.0, False)}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
