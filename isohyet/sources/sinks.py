@@ -22,8 +22,13 @@ def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, keys: lis
 
 
 def write_by_station(df: DataFrame, path: str, key: str = "fid") -> None:
-    """One folder a station; only the stations at hand are replaced."""
-    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """One folder a station; only the stations at hand are replaced.
+
+    The rows are few beside the files, so the number of tasks is given: by size alone, a
+    few tasks would make the files of all stations.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(tasks, key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def keep_last(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
