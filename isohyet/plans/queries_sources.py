@@ -21,10 +21,13 @@ def fresh(spark, label: str) -> str:
 
 
 def as_file(rows: DataFrame, folder: str, name: str) -> str:
-    """rows(at, value), or a table as CSV with a header, as one file of that name."""
+    """rows(at, value), or a table as CSV with a header, as one file of that name.
+
+    Rows are put in order by ranges; the task that writes the file only reads one after the other.
+    """
     spark, draft = rows.sparkSession, f"{folder}/.draft-{name}"
     if rows.columns == ["at", "value"]:
-        rows.coalesce(1).sortWithinPartitions("at").select("value").write.text(draft)
+        rows.orderBy("at").checkpoint().select("value").coalesce(1).write.text(draft)
     else:
         rows.coalesce(1).write.csv(draft, header=True)
     path = spark._jvm.org.apache.hadoop.fs.Path

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.qc import first_present
-from ..shared import shared_dir
+from ..shared import shared_dir, shuffled
 
 
 #: Blocks of more files than this are joined without a broadcast.
@@ -106,13 +106,25 @@ def _number(text: Column, column: str, legacy: bool) -> Column:
 
 
 def byte_ranges(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Inventory lines msg:offset:date:var:level:forecast with the range of each message."""
+    """Inventory lines msg:offset:date:var:level:forecast with the range of each message.
+
+    Lines are dealt by ranges of file and message and written to the checkpoint folder, so
+    that no task holds a file; the last message of a range ends before the first one of
+    the file's next range.
+    """
+    shared_dir(spark)
     p = F.split("value", ":")
-    rows = lines(spark, path).where(F.size(p) >= 6).select(
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = read.where(F.size(p) >= 6).select(
         "file", F.get(p, F.lit(0)).cast("int").alias("msg"), F.get(p, F.lit(1)).cast("long").alias("first"), F.get(p, F.lit(3)).alias("var"), F.get(p, F.lit(4)).alias("level")
     )
-    w = Window.partitionBy("file").orderBy("msg")
-    return rows.withColumn("last", F.coalesce(F.lead("first").over(w) - 1, F.lit(-1)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(tasks, "file", "msg").withColumn("_part", F.spark_partition_id()).checkpoint()
+    heads = rows.groupBy("file", "_part").agg(F.min(F.struct("msg", "first")).alias("_head"))  # a row a range and file
+    heads = heads.withColumn("_next", F.lead("_head").over(Window.partitionBy("file").orderBy("_part"))).drop("_head")
+    w = Window.partitionBy("file", "_part").orderBy("msg", "first")
+    out = rows.repartition(tasks, "file", "_part").withColumn("last", F.lead(F.struct("msg", "first")).over(w)).join(shuffled(heads), ["file", "_part"])
+    return out.withColumn("last", F.coalesce(F.coalesce("last", "_next")["first"] - 1, F.lit(-1))).drop("_part", "_next")
 
 
 def name_facts(df: DataFrame, column: str = "file") -> DataFrame:

@@ -156,3 +156,46 @@ def test_station_attributes(spark, tmp_path):
     (tmp_path / "b.csv").write_text("fid,Y,X,slope,o\ns1,46,-120,9,q\ns3,47,-122,3,q\n")
     out = text.station_attributes(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "fid", ["slope"], ("Y", "X"))
     assert {tuple(r) for r in out.collect()} == {("s1", 45.0, -120.0, 1.5), ("s2", None, -121.0, None), ("s3", 47.0, -122.0, 3.0)}
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_byte_ranges_across_tasks(spark, tmp_path, tasks):
+    """Ranges of messages in any order, in more than one file; no window holds a file."""
+    draw, want = random.Random(tasks), set()
+    for name in "ab":
+        first = sorted(draw.sample(range(10_000), 200))
+        rows = [f"{i}:{x}:d=2024010100:TMP:2 m above ground:anl:" for i, x in enumerate(first)]
+        want |= {(name, i, x, z - 1) for i, (x, z) in enumerate(zip(first, first[1:] + [0], strict=True))}
+        draw.shuffle(rows)
+        (tmp_path / f"{name}.idx").write_text("\n".join(rows))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = text.byte_ranges(spark, str(tmp_path))
+        assert {(r.file[-5], r.msg, r["first"], r["last"]) for r in out.collect()} == want and out.count() == 400
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert any("windowspecdefinition(file" in x and "_part" in x and "msg" in x for x in plan.splitlines())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_one_file_of_rows_in_order(spark, tmp_path):
+    """The file's lines are in order, from rows of several ranges; no rows make an empty file."""
+    from isohyet.plans import queries_sources
+
+    rows = spark.range(5000).selectExpr("(id * 7919) % 5000 AS at", "cast((id * 7919) % 5000 AS string) AS value")
+    path = queries_sources.as_file(rows.repartition(5), str(tmp_path), "rows.txt")
+    assert open(path).read().split() == [str(i) for i in range(5000)]
+    empty = queries_sources.as_file(rows.where("at < 0"), str(tmp_path), "empty.txt")
+    assert open(empty).read() == ""
+
+
+def test_by_station_keeps_its_tasks(spark, tmp_path):
+    """Stations are dealt to all tasks, however few bytes there are: with 50 stations each task gets some."""
+    rows = spark.range(50).selectExpr("id AS fid", "1.0d AS v")
+    sinks.write_by_station(rows, str(tmp_path / "s"))
+    files = [str(p) for p in (tmp_path / "s").rglob("part-*.parquet")]
+    assert len(files) == 50
+    assert len({p.rsplit("part-", 1)[1].split("-")[0] for p in files}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
