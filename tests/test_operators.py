@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from isohyet.functions import geo, met
 import isohyet.plans.queries_io
 import isohyet.plans.queries_sets  # noqa: F401
@@ -125,6 +126,30 @@ def test_queries_of_neighbours_send_no_side_through_the_driver(spark):
         assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
+def _broadcast_rows(spark, first):
+    """Rows of each side that was broadcast by the executions from number ``first`` on, rounds among them."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), []
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        if run >= first:
+            values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                if node.name().startswith("BroadcastExchange"):
+                    metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                    rows += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return rows
+
+
+@pytest.mark.parametrize("name", ["flagship_residuals"])
+def test_whole_run_broadcasts_days_at_most(spark, name):
+    """No step of the whole run, rounds of neighbours among them, broadcasts more than the 30 days' means."""
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    first = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1) + 1
+    __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert max(_broadcast_rows(spark, first), default=0) <= 30
+
+
 def test_adjacency_carries_values(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 1, None)], "row int, col int, z double")
     got = {tuple(r) for r in grid.adjacency(df, values=["z"]).collect()}
