@@ -47,7 +47,7 @@ def satellite_cell(lat: Column, lon: Column, north: float, west: float, size: fl
 
 def with_features(rows: DataFrame, pixels: DataFrame, features: list[str]) -> DataFrame:
     """rows(day, row, col, ...) with each feature of the pixel and a flag, 1 where it is missing."""
-    out = rows.join(pixels.select("day", "row", "col", *features), ["day", "row", "col"], "left")
+    out = rows.join(shuffled(pixels.select("day", "row", "col", *features)), ["day", "row", "col"], "left")
     return out.withColumns({f"{f}_miss": F.col(f).isNull().cast("int") for f in features})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, met
 from ..operators import qc, series, stats
+from ..shared import shuffled
 from . import bindings as b
 from .registry import query
 
@@ -284,7 +285,7 @@ def st06_rejection_monitor(spark, d):
  FROM dd LEFT JOIN c ON dd.fid = c.fid AND dd.day = c.day JOIN (WITH {b.ST} SELECT * FROM st) s ON s.fid = dd.fid""", dates=("day",))
 def j02_station_day(spark, d):
     c = b.hourly(spark, d).where("event_type = 'view'").groupBy("fid", "day").agg(F.avg("value").alias("clim"))
-    out = b.daily_obs(spark, d).join(c, ["fid", "day"], "left").join(b.stations(spark, d).select("fid", "elev"), "fid")
+    out = b.daily_obs(spark, d).join(shuffled(c), ["fid", "day"], "left").join(shuffled(b.stations(spark, d).select("fid", "elev")), "fid")
     return b.rounded(out.select("fid", "day", "obs", "clim", "delta", "elev"))
 
 

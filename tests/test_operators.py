@@ -141,7 +141,7 @@ def _broadcast_rows(spark, first):
     return rows
 
 
-@pytest.mark.parametrize("name", ["flagship_residuals", "gr01_node_table", "gr03_station_graph", "j35_usable_edges", "j39_filled_stars", "j40_same_day_neighbours"])
+@pytest.mark.parametrize("name", ["flagship_residuals", "gr01_node_table", "gr03_station_graph", "j35_usable_edges", "j39_filled_stars", "j40_same_day_neighbours", "j20_pairs", "snk07_satellite_features", "g20_cells_in_radius", "a39_split_audit", "j02_station_day"])
 def test_whole_run_broadcasts_days_at_most(spark, name):
     """No step of the whole run, rounds of neighbours among them, broadcasts more than the 30 days' means."""
     runs = spark._jsparkSession.sharedState().statusStore().executionsList()
