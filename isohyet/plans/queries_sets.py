@@ -171,8 +171,7 @@ def j20_pairs(spark, d):
 @query(f"""WITH {b.ST}, {NB}, c AS (SELECT * FROM nb WHERE km >= 20), n AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY km, src) AS r FROM c) SELECT src, dst, round(km, 6) AS km, r AS rank FROM n WHERE r <= 4""")
 def j23_pruned(spark, d):
     s = b.stations(spark, d)
-    e = spatial.within(s, s, 150.0).select("src", "dst", "km")
-    return b.rounded(spatial.pruned(e, 20.0, 4).select("src", "dst", "km", "rank"))
+    return b.rounded(spatial.pruned(s, 20.0, 150.0, 4))
 
 
 @query(f"""WITH {b.ST} SELECT fid FROM st a WHERE NOT EXISTS (SELECT 1 FROM st z WHERE z.fid % 20 = 1 AND {HAV.format(a='a', d='z')} <= 60)""")

@@ -488,3 +488,46 @@ def test_neighbours_end_when_no_point_lacks_any(spark, tmp_path):
         for a in list(at.values())[::29]:
             near = sorted(_km(a.lat, a.lon, z.lat, z.lon) for z in at.values() if z.fid != a.fid and (not keys or z.day == a.day))
             assert [km for _, km in sorted(got[a.fid])] == pytest.approx(near[:3], abs=1e-6)
+
+
+def test_pruned_edges_do_not_make_all_pairs(spark):
+    """Rings around places, some of them shared and one beyond the date line, as brute force finds them; no join makes the pairs within the radius."""
+    draw = random.Random(8)
+    rows = [(i, 43 + draw.random() * 2, -121 + draw.random() * 2) for i in range(300)]
+    rows += [(i + 300, *rows[i][1:]) for i in range(120)] + [(500, 60.0, 179.9), (501, 60.0, -179.6), (502, 60.3, -179.9), (503, None, 1.0), (504, 20.0, 20.0)]
+    df = spark.createDataFrame(rows, "fid long, lat double, lon double").repartition(5)
+    places = [r for r in rows if r[1] is not None]
+    ring = {a[0]: sorted((round(_km(*a[1:], *z[1:]), 9), z[0]) for z in places if z[0] != a[0]) for a in places}
+    got = {}
+    for r in spatial.pruned(df, 20.0, 150.0, 4).collect():
+        got.setdefault(r.dst, []).append((r["rank"], round(r.km, 3), r.src))
+    want = {a: [(i, round(km, 3), f) for i, (km, f) in enumerate([x for x in near if 20 <= x[0] <= 150][:4], 1)] for a, near in ring.items()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("name", ["j23_pruned"])
+def test_pruning_joins_few_rows(spark, tmp_path, name):
+    """No join of the whole run makes more than forty rows a station, where all pairs within 150 km are above a hundred."""
+    folder = _stations_at(spark, tmp_path, 3000)
+    assert max(_joined_rows(spark, lambda: registry.QUERIES[name](spark, folder).collect())) < 3000 * 40
+
+
+def _joined_rows(spark, run):
+    """Rows that each join of a run's executions gave, rounds among them."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), []
+    runs = lambda: [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    first = max(runs(), default=-1) + 1
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for one in (i for i in runs() if i >= first):
+        values, nodes = store.executionMetrics(one), store.planGraph(one).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name():
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                rows += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return rows
+
+
+def _stations_at(spark, folder, n):
+    spark.range(n).selectExpr("id c_custkey", "'x' c_name", "1 c_nationkey", "1.0d c_acctbal", "'s' c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
