@@ -118,8 +118,7 @@ f AS (SELECT c.src, c.dst, c.km, row_number() OVER (PARTITION BY c.dst ORDER BY
 SELECT src, dst, round(km, 6) AS km FROM n UNION ALL SELECT src, dst, round(km, 6) FROM f WHERE r <= room""")
 def j23_mixed_local(spark, d):
     s = b.stations(spark, d)
-    e = spatial.within(s, s, 150.0).select("src", "dst", "km")
-    return b.rounded(spatial.pruned_mixed(e, 40.0, 3, 8).select("src", "dst", "km"))
+    return b.rounded(spatial.pruned_mixed(s, 40.0, 150.0, 3, 8))
 
 
 @query(f"""WITH {b.GR}, o AS (SELECT * FROM (VALUES (0, -1, 0), (1, -1, 1), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, -1), (6, 0, -1), (7, -1, -1)) t(ray, dr, dc)), s AS (SELECT CAST(i AS INT) AS s FROM range(1, 5) t(i)),

@@ -503,9 +503,16 @@ def test_pruned_edges_do_not_make_all_pairs(spark):
         got.setdefault(r.dst, []).append((r["rank"], round(r.km, 3), r.src))
     want = {a: [(i, round(km, 3), f) for i, (km, f) in enumerate([x for x in near if 20 <= x[0] <= 150][:4], 1)] for a, near in ring.items()}
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    mixed = {}
+    for r in spatial.pruned_mixed(df, 40.0, 150.0, 3, 8).collect():
+        mixed.setdefault(r.dst, []).append((round(r.km, 3), r.src))
+    for a, near in ring.items():
+        local = [x for x in near if x[0] <= 40][:3]
+        far = [x for x in near if 40 < x[0] <= 150][: 8 - len(local)]
+        assert sorted(mixed.get(a, [])) == [(round(km, 3), f) for km, f in local + far]
 
 
-@pytest.mark.parametrize("name", ["j23_pruned"])
+@pytest.mark.parametrize("name", ["j23_pruned", "j23_mixed_local"])
 def test_pruning_joins_few_rows(spark, tmp_path, name):
     """No join of the whole run makes more than forty rows a station, where all pairs within 150 km are above a hundred."""
     folder = _stations_at(spark, tmp_path, 3000)
