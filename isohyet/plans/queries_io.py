@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import climatology, grid, qc, series, spatial, stats
-from ..shared import shared_dir
+from ..shared import shared_dir, shuffled
 from ..sources import sinks, text
 from ..streaming import streams, upserts
 from . import bindings as b
@@ -107,9 +107,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY g2, dst) AS near, r
 SELECT src, dst, round(km, 5) AS km FROM r WHERE n <= 10 OR near <= 7 OR far <= 3""")
 def j14_similar_neighbours(spark, d):
     s, v = b.stations(spark, d), b.vectors(spark, d)
-    s = s.join(v.select("fid").distinct(), "fid", "left_semi")  # others have no candidates and are none
-    e = spatial.within(s, s, 120.0).select("src", "dst", "km")
-    return b.rounded(spatial.similar_neighbours(e, v, 10).select("src", "dst", F.round("km", 5).alias("km")))
+    points = s.select("fid", "lat", "lon").join(shuffled(v.select("fid", "vec")), "fid")  # others have no candidates and are none
+    return spatial.similar_neighbours(points, 120.0, 10).select("src", "dst", F.round("km", 5).alias("km"))
 
 
 @query(f"""WITH {b.ST}, c AS (SELECT src, dst, km FROM (SELECT a.fid AS src, z.fid AS dst, {HAV.format(a='a', d='z')} AS km FROM st a JOIN st z ON a.fid <> z.fid) WHERE km <= 150),

@@ -538,3 +538,28 @@ def _joined_rows(spark, run):
 def _stations_at(spark, folder, n):
     spark.range(n).selectExpr("id c_custkey", "'x' c_name", "1 c_nationkey", "1.0d c_acctbal", "'s' c_mktsegment").write.parquet(f"{folder}/customer.parquet")
     return str(folder)
+
+
+def test_similar_neighbours_by_blocks(spark, monkeypatch):
+    """Most and least alike of all within the radius, ties by id, with tiles dealt to several tasks and small batches, as brute force finds them."""
+    monkeypatch.setattr(spatial, "HELD", 40)
+    for name, value in (("OWN", 16), ("OTHER", 32), ("PAIRS", 50)):
+        monkeypatch.setattr(spatial._Alike, name, value)
+    draw = random.Random(2)
+    rows = [(i, 43 + draw.random() * 3, -121 + draw.random() * 3, [float(draw.randint(0, 2)) for _ in range(4)]) for i in range(400)]
+    rows += [(900, 80.0, 10.0, [1.0] * 4), (901, 80.1, 10.0, [2.0] * 4), (902, None, 1.0, [0.0] * 4), (903, 1.0, 1.0, [0.0] * 4)]
+    rows += [(5, *rows[5][1:3], [1.0] * 4), (901, 80.1, 10.0, [2.0] * 4)]  # ids of two rows
+    df = spark.createDataFrame(rows, "fid long, lat double, lon double, vec array<double>").repartition(3)
+    got = Counter((r.src, r.dst, round(r.km, 4)) for r in spatial.similar_neighbours(df, 60.0, 10).collect())
+    places, want = [r for r in rows if r[1] is not None], Counter()
+    for src in {r[0] for r in places}:
+        near = [(sum((p - q) ** 2 for p, q in zip(a[3], z[3], strict=True)), z[0], round(km, 4)) for a in places if a[0] == src for z in places if z[0] != src and (km := _km(a[1], a[2], z[1], z[2])) <= 60]
+        want.update((src, f, km) for i, (_, f, km) in enumerate(sorted(near)) if i < 7 or i >= len(near) - 3)
+    assert got == want
+
+
+def test_similar_neighbours_join_few_rows(spark, tmp_path):
+    """No join makes the pairs within 120 km."""
+    folder = _stations_at(spark, tmp_path, 3000)
+    spark.range(3000).selectExpr("id vec_id", "transform(sequence(1, 8), i -> float(id * i % 13)) embedding", "1 label").write.parquet(f"{folder}/embeddings.parquet")
+    assert max(_joined_rows(spark, lambda: registry.QUERIES["j14_similar_neighbours"](spark, folder).collect())) < 3000 * 40
