@@ -184,18 +184,6 @@ def climatology_fill(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*[F.coalesce(value, "_m").alias(c) if c == value else c for c in df.columns])
 
 
-def shelter(points: DataFrame, dem: DataFrame, size: float, steps: int, value: str = "z") -> DataFrame:
-    """Largest upward gradient along eight rays from each point(fid, row, col); 0 if none."""
-    rays = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-    ray = F.explode(F.array(*[F.struct(F.lit(i).alias("ray"), F.lit(a).alias("dr"), F.lit(b).alias("dc")) for i, (a, b) in enumerate(rays)]))
-    out = points.select("fid", "row", "col", ray.alias("r")).withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    out = out.select("fid", "r.ray", F.col("row").alias("r0"), F.col("col").alias("c0"), (F.col("row") + F.col("s") * F.col("r.dr")).alias("row"),
-                     (F.col("col") + F.col("s") * F.col("r.dc")).alias("col"), (F.col("s") * size * F.sqrt(F.abs(F.col("r.dr")) + F.abs(F.col("r.dc")).cast("double"))).alias("d"))
-    own = dem.select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col(value).alias("z0"))
-    met = out.join(own, ["r0", "c0"]).join(dem.select("row", "col", F.col(value).alias("z")), ["row", "col"], "left")
-    return met.groupBy("fid", "ray").agg(F.greatest(F.lit(0.0), F.coalesce(F.max((F.col("z") - F.col("z0")) / F.col("d")), F.lit(0.0))).alias("sx"))
-
-
 def tiles(df: DataFrame, stride: int, keys: list[str] = ()) -> DataFrame:
     r0, c0 = F.floor(F.col("row") / stride) * stride, F.floor(F.col("col") / stride) * stride
     return df.groupBy(*keys, r0.alias("r0"), c0.alias("c0")).agg(F.count("*").alias("n"))

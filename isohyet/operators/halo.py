@@ -189,6 +189,32 @@ def shelter(
     return applied(df, [value], max(max(abs(s[2]), abs(s[3])) for s in steps), work, names, keys, size)
 
 
+#: Rows and columns of a step along each of eight rays, clockwise from north.
+RAYS = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+
+
+def rays(df: DataFrame, value: str, cell: float, steps: int, size: int = TILE) -> DataFrame:
+    """(row, col, ray, sx): largest upward gradient along each of eight rays from each cell, 0 if there is none.
+
+    Of a cell of several rows the lowest looks up, at the highest ones.
+    """
+    cells = df.groupBy("row", "col").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    names = [f"_r{i}" for i in range(len(RAYS))]
+
+    def work(tile: Tile, arrays: list[np.ndarray]) -> list[np.ndarray]:
+        own = tile.shifted(tile.lowest(np.where(np.isnan(arrays[0]), np.inf, arrays[0])), 0, 0)
+        high, out = -tile.lowest(np.where(np.isnan(arrays[1]), np.inf, -arrays[1])), []
+        for dr, dc in RAYS:
+            best = np.zeros((tile.height, tile.width))
+            for s in range(1, steps + 1):
+                np.fmax(best, (tile.shifted(high, s * dr, s * dc) - own) / (s * cell * math.sqrt(abs(dr) + abs(dc))), out=best)
+            out.append(tile.own(best))
+        return out
+
+    out = applied(cells, ["_lo", "_hi"], steps, work, names, size=size)
+    return out.select("row", "col", F.posexplode(F.array(*[F.coalesce(n, F.lit(0.0)) for n in names])).alias("ray", "sx"))
+
+
 def _steps(diagonal: bool) -> list[tuple[int, int]]:
     return [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import climatology, grid, qc, series, spatial, stats
+from ..operators import climatology, grid, halo, qc, series, spatial, stats
 from ..shared import shared_dir, shuffled
 from ..sources import sinks, text
 from ..streaming import streams, upserts
@@ -125,9 +125,8 @@ p AS (SELECT row * 50 + col AS fid, row, col, z FROM gr) SELECT fid, ray, round(
 FROM p, o, s LEFT JOIN gr ON gr.row = p.row + s * dr AND gr.col = p.col + s * dc GROUP BY 1, 2""")
 def g14_shelter_all(spark, d):
     """Shelter of every cell."""
-    g = b.cells(spark, d).drop("k")
-    p = g.select((F.col("row") * 50 + F.col("col")).alias("fid"), "row", "col")
-    return grid.shelter(p, g, 10.0, 4).select("fid", "ray", F.round("sx", 5).alias("sx"))
+    out = halo.rays(b.cells(spark, d), "z", 10.0, 4)
+    return out.select((F.col("row") * 50 + F.col("col")).alias("fid"), "ray", F.round("sx", 5).alias("sx"))
 
 
 @query(f"WITH {b.GR}, a AS (SELECT count(*) AS n, count(z) AS v, min(z) AS lo, max(z) AS hi FROM gr) SELECT 'not_empty' AS \"check\", n > 0 AS ok, CAST(n AS DOUBLE) AS detail FROM a UNION ALL SELECT 'has_values', v > 0, v FROM a UNION ALL SELECT 'low', lo >= 0, lo FROM a UNION ALL SELECT 'high', hi <= 1000, hi FROM a")

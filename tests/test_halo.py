@@ -5,8 +5,11 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+import isohyet.plans.queries_io  # noqa: F401
 from isohyet.operators import grid, halo
+from isohyet.plans import registry
 
 
 def cells_of(spark, seed, height=13, width=17, missing=0.15, keys=("x",)):
@@ -161,3 +164,29 @@ def test_shelter(spark, size):
                 want = None if (r, c) not in at else max(seen, default=0.0)
                 value = got[f"sx_{int(a):03d}_{int(d // 1000)}k"]
                 assert value == want or abs(value - want) < 1e-12
+
+
+@pytest.mark.parametrize("size", [4, 256])
+def test_rays(spark, size):
+    """As brute force over all rows of cells, some repeated, some without a value; no join, whatever the grid."""
+    rows, df = cells_of(spark, 11)
+    df = df.unionByName(spark.createDataFrame(rows[:9], df.schema).withColumn("z", F.col("z") + 2))
+    rows = [(r.row, r.col, r.z) for r in df.collect()]
+    out = halo.rays(df, "z", 10.0, 4, size)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    at = {}
+    for r, c, z in rows:
+        at.setdefault((r, c), []).append(z)
+    got = {(r.row, r.col, r.ray): r.sx for r in out.collect()}
+    assert len(got) == out.count() == 8 * len(at)
+    for (r, c), own in at.items():
+        for i, (a, b) in enumerate(halo.RAYS):
+            seen = [(x - z) / (s * 10.0 * math.sqrt(abs(a) + abs(b))) for z in own if z is not None for s in range(1, 5) for x in at.get((r + s * a, c + s * b), []) if x is not None]
+            assert got[r, c, i] == pytest.approx(max([0.0, *seen]))
+
+
+def test_shelter_of_every_cell_makes_no_join(spark):
+    from helpers import DATA
+
+    plan = registry.QUERIES["g14_shelter_all"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
