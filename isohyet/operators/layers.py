@@ -8,11 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing
-from ..shared import shared_dir, shuffled
-from .spatial import _start_km, descended, neighbours, ranked, within
-
-HALF_EARTH_KM = 20016.0
-
+from ..shared import shuffled
+from .spatial import descended, neighbours
 
 def keyed(manifest: DataFrame) -> DataFrame:
     """A manifest with fid, the text after the first colon of station_key, or of key where that column is missing."""
@@ -56,48 +53,15 @@ def cell_index(cells: DataFrame, stations: DataFrame, k: int = 10, scale: float
 
     With ``scale`` the rank goes by the distance in three dimensions, heights times scale;
     a station without height has the middle one (within one percent of ranks), a cell 0.
-    The radius doubles for cells whose k-th station may still be beaten by one outside; cells
-    far from all stations go through a tree of places.  Rounds are written to the checkpoint folder.
+    Cells meet the few nodes of stations that may hold one of their k nearest (``descended``).
     Ties go by id.
     """
-    shared_dir(cells.sparkSession)
-    places, points = cells.select("fid", "lat", "lon").dropna(), stations.select("fid", "lat", "lon").dropna()
-    heights = stations.agg(F.percentile_approx("elev", 0.5).alias("middle"))
-    up = stations.join(F.broadcast(heights)).select(F.col("fid").alias("dst"), F.coalesce("elev", "middle", F.lit(0.0)).alias("up"))
-    down = cells.select(F.col("fid").alias("src"), F.coalesce("elev", F.lit(0.0)).alias("down")) if scale is not None else None
-    r, open_side, parts = _start_km(points, k, 150.0), places, []
-    start = r
-    while open_side.head(1):
-        if r > 4 * start:
-            a = open_side.select(F.col("fid").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-            z = points.select(F.col("fid").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-            if scale is None:
-                a, z = a.withColumn("down", F.lit(0.0)), z.withColumn("up", F.lit(0.0))
-            else:
-                a = a.join(shuffled(down.withColumn("down", scale * F.col("down") / 1000)), "src")
-                z = z.join(shuffled(up.withColumn("up", scale * F.col("up") / 1000)), "dst")
-            parts.append(descended(a, z, k).select(*found.columns))
-            break
-        near = within(open_side, points, r, keep_self=True)
-        if scale is not None:
-            rise = scale * (F.col("up") - F.col("down")) / 1000
-            near = near.join(shuffled(up), "dst").join(shuffled(down), "src").withColumn("flat", F.col("km"))
-            near = near.withColumn("km", F.sqrt(F.col("flat") * F.col("flat") + rise * rise)).drop("up", "down")
-        else:
-            near = near.withColumn("flat", F.col("km"))
-        found = ranked(near, k).checkpoint()
-        if r >= HALF_EARTH_KM:
-            parts.append(found)
-            break
-        full = found.groupBy("src").agg(F.count("*").alias("n"), F.max("km").alias("far"))
-        full = full.where((F.col("n") >= k) & (F.col("far") <= r)).select("src")
-        parts.append(found.join(shuffled(full), "src", "left_semi"))
-        open_side, r = open_side.join(shuffled(full.withColumnRenamed("src", "fid")), "fid", "left_anti").checkpoint(), 2 * r
-    if not parts:
-        parts = [ranked(within(places, points, 1.0, keep_self=True).withColumn("flat", F.col("km")), k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    a = cells.select(F.col("fid").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.lit(0.0) if scale is None else F.coalesce("elev", F.lit(0.0))).alias("down"))
+    z = stations.select(F.col("fid").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), (F.lit(0.0) if scale is None else F.col("elev")).alias("up"))
+    if scale is not None:
+        middle = stations.agg(F.percentile_approx("elev", 0.5).alias("middle"))
+        z = z.join(F.broadcast(middle)).withColumn("up", F.coalesce("up", "middle", F.lit(0.0))).drop("middle")
+    out = descended(a, z, k, scale)
     angle = bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return out.select("src", "dst", "rank", F.col("flat").alias("km"), F.sin(angle).alias("bsin"), F.cos(angle).alias("bcos"))
 

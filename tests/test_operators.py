@@ -563,3 +563,25 @@ def test_similar_neighbours_join_few_rows(spark, tmp_path):
     folder = _stations_at(spark, tmp_path, 3000)
     spark.range(3000).selectExpr("id vec_id", "transform(sequence(1, 8), i -> float(id * i % 13)) embedding", "1 label").write.parquet(f"{folder}/embeddings.parquet")
     assert max(_joined_rows(spark, lambda: registry.QUERIES["j14_similar_neighbours"](spark, folder).collect())) < 3000 * 40
+
+
+@pytest.mark.parametrize("scale", [None, 10.0])
+def test_cells_meet_few_nodes(spark, monkeypatch, scale):
+    """Cells all over the globe, many of them far, against stations in several nodes, as brute force finds them; no join makes the pairs and rows stay few."""
+    for name, value in (("LEAST", 16), ("DEALT", 50)):
+        monkeypatch.setattr(spatial, name, value, raising=False)
+    draw = random.Random(6)
+    stations = [(i, 42 + draw.random() * 7, -125 + draw.random() * 21, float(draw.randint(0, 3000))) for i in range(400)]
+    stations += [(i + 400, *stations[i][1:]) for i in range(90)] + [(600, 44.0, 179.95, 5.0), (601, 44.1, -179.95, 5.0), (602, None, 1.0, 5.0)]
+    cells = [(i, 42 + i * 0.9, -125 + i % 50 * 0.4, float(draw.randint(900, 2000))) for i in range(500)]
+    place = "fid long, lat double, lon double, elev double"
+    a, z = spark.createDataFrame(cells, place).repartition(3), spark.createDataFrame(stations, place).repartition(3)
+    got = {}
+    made = _joined_rows(spark, lambda: got.update({(r.src, r["rank"]): (r.dst, r.km) for r in layers.cell_index(a, z, 4, scale).collect()}))
+    assert max(made) < 500 * 12
+    places = [s for s in stations if s[1] is not None]
+    for i, la, lo, h in cells:
+        near = sorted((math.hypot(km := _km(la, lo, x, y), (scale or 0) * (e - h) / 1000), f, km) for f, x, y, e in places)[:4]
+        assert [got[i, n][1] for n in range(1, 5)] == pytest.approx([km for _, _, km in near], abs=1e-4)
+        assert all(got[i, n][0] == near[n - 1][1] for n in range(1, 5) if near[n - 1][2] < 19000)
+    assert len(got) == 2000
