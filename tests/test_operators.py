@@ -585,3 +585,13 @@ def test_cells_meet_few_nodes(spark, monkeypatch, scale):
         assert [got[i, n][1] for n in range(1, 5)] == pytest.approx([km for _, _, km in near], abs=1e-4)
         assert all(got[i, n][0] == near[n - 1][1] for n in range(1, 5) if near[n - 1][2] < 19000)
     assert len(got) == 2000
+
+
+@pytest.mark.parametrize("name", ["j16_cell_stations"])
+def test_cells_of_a_whole_run_meet_few_nodes(spark, name):
+    """No join of the whole run makes more rows than the result, or a dozen a cell."""
+    from helpers import DATA
+
+    found, cells = [], spark.read.parquet(f"{DATA}/part.parquet").count()
+    made = _joined_rows(spark, lambda: found.extend(__spark_entry__.queries()[name](spark, DATA).collect()))
+    assert max(made) <= max(len(found), 12 * cells)
