@@ -587,7 +587,7 @@ def test_cells_meet_few_nodes(spark, monkeypatch, scale):
     assert len(got) == 2000
 
 
-@pytest.mark.parametrize("name", ["j16_cell_stations"])
+@pytest.mark.parametrize("name", ["j16_cell_stations", "j26_station_grid_edges"])
 def test_cells_of_a_whole_run_meet_few_nodes(spark, name):
     """No join of the whole run makes more rows than the result, or a dozen a cell."""
     from helpers import DATA
