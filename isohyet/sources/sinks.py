@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 
 def write_station_days(df: DataFrame, path: str) -> None:
     """Ranges of stations, sorted by station and day inside a file."""
@@ -25,10 +35,80 @@ def write_by_station(df: DataFrame, path: str, key: str = "fid") -> None:
     """One folder a station; only the stations at hand are replaced.
 
     The rows are few beside the files, so the number of tasks is given: by size alone, a
-    few tasks would make the files of all stations.
+    few tasks would make the files of all stations.  In a folder of the file system that all
+    share, with whole numbers as keys, the tasks write the files themselves: there Hadoop's writer starts
+    processes for each file, which takes far longer than the file.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(tasks, key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    dealt = df.repartition(tasks, key)
+    if uri.getScheme() == "file" and dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+        _write_folders(dealt.sortWithinPartitions(key), uri.getPath(), key, tasks)
+    else:
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def _write_folders(df: DataFrame, path: str, key: str, tasks: int) -> None:
+    """Each station's rows, which stand together, as one Parquet file; all files are written aside, then the folders change places."""
+    name = uuid.uuid4().hex
+    aside = f"{path}/.staging-{name}"
+
+    def write(batches):
+        task = TaskContext.get()
+        attempt, last, writer, at = task.taskAttemptId(), object(), None, None
+
+        def done():
+            writer.close()
+            os.replace(f"{at}/.{attempt}", f"{at}/part-{task.partitionId():05d}-{name}.snappy.parquet")
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            column = table[key].combine_chunks()
+            values, none = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero((values[1:] != values[:-1]) | (none[1:] != none[:-1])) + 1
+            rows, made = table.drop_columns([key]), []
+            for i, j in zip([0, *ends], [*ends, len(values)], strict=True):
+                station = column[i].as_py() if j > i else last
+                if station != last:
+                    if writer:
+                        done()
+                    last, folder = station, f"{key}={'__HIVE_DEFAULT_PARTITION__' if station is None else station}"
+                    made.append(folder)
+                    at = f"{aside}/new/{folder}"
+                    os.makedirs(at, exist_ok=True)
+                    writer = pq.ParquetWriter(f"{at}/.{attempt}", rows.schema)
+                if j > i:
+                    writer.write_table(rows.slice(i, j - i))
+            yield pa.RecordBatch.from_pydict({"folder": pa.array(made, pa.string())})
+        if writer:
+            done()
+
+    def change(batches):
+        for batch in batches:
+            for folder in batch["folder"].to_pylist():
+                new, old, at = f"{aside}/new/{folder}", f"{aside}/old/{folder}", f"{path}/{folder}"
+                if os.path.isdir(new):  # else an earlier attempt was here
+                    if os.path.isdir(at):
+                        os.makedirs(f"{aside}/old", exist_ok=True)
+                        os.replace(at, old)
+                    os.replace(new, at)
+                    shutil.rmtree(old, ignore_errors=True)
+            yield batch
+
+    os.makedirs(path, exist_ok=True)
+    shared_dir(df.sparkSession)
+    try:
+        folders = df.mapInArrow(write, "folder string").checkpoint()
+    except Exception:
+        shutil.rmtree(aside, ignore_errors=True)
+        raise
+    # should this fail, what stands aside is not removed: a folder may have no other copy
+    folders.repartition(tasks).mapInArrow(change, "folder string").write.format("noop").mode("overwrite").save()
+    shutil.rmtree(aside, ignore_errors=True)
+    with open(f"{path}/_SUCCESS", "w"):
+        pass
 
 
 def keep_last(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

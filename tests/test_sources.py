@@ -199,3 +199,17 @@ def test_by_station_keeps_its_tasks(spark, tmp_path):
     files = [str(p) for p in (tmp_path / "s").rglob("part-*.parquet")]
     assert len(files) == 50
     assert len({p.rsplit("part-", 1)[1].split("-")[0] for p in files}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_by_station_files_are_made_without_processes(spark, tmp_path):
+    """A second write replaces its stations' folders whole and leaves the others; no checksum beside a file, as Hadoop's writer, which starts processes, makes it."""
+    at = tmp_path / "s"
+    rows = spark.range(60).selectExpr("if(id < 50, id % 20, null) AS fid", "date_add(date '2024-01-01', int(id)) AS day", "if(id % 3 = 0, null, id / 2) AS v")
+    sinks.write_by_station(rows, f"file://{at}")
+    sinks.write_by_station(rows.where("fid % 4 = 0 and v > 3").selectExpr("fid", "day", "-v AS v"), f"file://{at}")
+    want = rows.where("fid is null or fid % 4 > 0").unionByName(rows.where("fid % 4 = 0 and v > 3").selectExpr("fid", "day", "-v AS v"))
+    back = spark.read.schema("day date, v double, fid long").parquet(str(at))
+    line = lambda df: sorted(map(str, df.select("fid", "day", "v").collect()))
+    assert line(back) == line(want)
+    assert len(list(at.rglob("*.parquet"))) == len([p for p in at.iterdir() if p.is_dir()]) == 21
+    assert (at / "_SUCCESS").exists() and not list(at.rglob("*.parquet.crc")) and not list(at.glob(".staging*"))
